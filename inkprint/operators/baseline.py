@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.operators.stats import auroc, exact_median
+from inkprint.operators.stats import auroc, exact_median, melt
 
 # The nine stable features, the warning level, and the documented reading bands of the score.
 STABLE_FEATURES = [
@@ -31,12 +31,9 @@ def _clean(feature: str) -> Column:
 def baseline_scaler(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, mean, scale): mean and population standard deviation, missing values as 0; a zero deviation
     scales by 1."""
-    wide = df.agg(*[agg(_clean(f)).alias(f"{f}__{part}") for f in features
-                    for part, agg in (("mean", F.avg), ("std", F.stddev_pop))])
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"{f}__mean").alias("mean"),
-                      F.when(F.col(f"{f}__std") == 0, 1.0).otherwise(F.col(f"{f}__std")).alias("scale"))
-             for f in features]
-    return wide.select(F.inline(F.array(*cells)))
+    std = F.stddev_pop("value")
+    return melt(df.select(*[_clean(f).alias(f) for f in features]), [], features).groupBy("feature").agg(
+        F.avg("value").alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("scale"))
 
 
 def _scaler_arrays(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -136,20 +136,18 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
 
 
 def moments(df: DataFrame, keys: list[str], features: list[str], missing_as_zero: bool = False) -> DataFrame:
-    """(keys, feature, n, mean, std, var): sample moments of every feature per key. One wide aggregate, combined
-    before its shuffle; rows are never multiplied by the number of features."""
-    def value(f: str) -> Column:
-        x = F.col(f).cast("double")
-        return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)) if missing_as_zero else F.when(~F.isnan(x), x)
-
-    wide = df.select(*keys, *[value(f).alias(f) for f in features]).groupBy(*keys).agg(*[
-        agg(f).alias(f"{f}__{part}") for f in features
-        for part, agg in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))
-    ])
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"{f}__n").alias("n"), F.col(f"{f}__mean").alias("mean"),
-                      F.col(f"{f}__var").alias("var")) for f in features]
-    return wide.select(*keys, F.inline(F.array(*cells))).select(
-        *keys, "feature", "n", "mean", F.sqrt("var").alias("std"), "var")
+    """(keys, feature, n, mean, std, var): sample moments of every feature per key.
+
+    Long form keeps three accumulators per (key, feature) in generated code; one aggregate over all features at once
+    has hundreds of them, too many for one generated method, and measured several times slower. Rows are combined
+    before the shuffle, which carries (keys x features) rows per task."""
+    if missing_as_zero:
+        clean = lambda f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f)
+        df = df.select(*keys, *[clean(f) for f in features])
+    value = F.col("value")
+    return melt(df, keys, features).groupBy(*keys, "feature").agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.var_samp(value).alias("var"))
 
 
 def class_moments(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:

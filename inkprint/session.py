@@ -1,8 +1,9 @@
-"""Session-level helpers: spreading CPU-bound work, reliable checkpoints, size-checked broadcasts."""
+"""Session-level helpers: spreading CPU-bound work, intermediate tables, joins on crowded keys."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,13 +16,20 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a scratch folder is used only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkprint-"))
-    return df.checkpoint(eager=True)
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables: inside the shared folder the cluster names in ``spark.checkpoint.dir``,
+    or a temporary one where none is named (single machine)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    name = f"inkprint-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="inkprint-")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Write a table that several passes read, and read it back. Later passes then prune columns and share no
+    lineage with the extraction, so a lost executor never re-runs it."""
+    path = f"{scratch_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_hot_safe(rows: DataFrame, per_key: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:

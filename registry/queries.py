@@ -1,6 +1,5 @@
 """Registered queries: one per operator, each over whole tables, with its DuckDB counterpart where SQL can say it."""
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from inkprint.functions.syntax import SYNTAX_FEATURES, syntax_features, syntax_n
 from inkprint.operators import baseline as hbd
 from inkprint.operators import curation, fingerprint, metrics, models, profile, sampling, stats
 from inkprint.plans import studies
-from inkprint.session import spread
+from inkprint.session import materialised, scratch_folder, spread
 from inkprint.sources import corpus as io
 from inkprint.streaming.incremental import incremental_features
 from registry import sql as S
@@ -44,13 +43,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[one(name, kind) for name, kind in df.dtypes])
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new output folder, in the cluster's shared folder where one is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    local = tempfile.mkdtemp(prefix="inkprint-")
-    return f"{shared.rstrip('/')}/{local.rsplit('/', 1)[-1]}" if shared else local
-
-
 def lexical_of(df: DataFrame) -> DataFrame:
     return lexical_features(spread(df)).drop("code")
 
@@ -101,7 +93,7 @@ def _(spark, sf):
     kinds = F.array(F.lit("A"), F.lit("B"), F.lit("C"))
     tasks = corpus_a(spark, sf).withColumn(
         "subtask", F.get(kinds, (F.col("sample_id").cast("long") % 3).cast("int"))).withColumn("split", F.lit("train"))
-    out = scratch(spark)
+    out = f"{scratch_folder(spark)}/out"
     io.write_routed(tasks, out)
     return spark.read.parquet(out).groupBy("route", "subtask", "split").agg(
         F.count("*").alias("n"), F.sum(F.length("code")).alias("chars"))
@@ -109,14 +101,14 @@ def _(spark, sf):
 
 @query("write_sharded", "SELECT event_id, user_id, event_type, value FROM events")
 def _(spark, sf):
-    out = scratch(spark)
+    out = f"{scratch_folder(spark)}/out"
     io.write_sharded(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), out)
     return io.scan_shards(spark, out)
 
 
 @query("write_report", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
 def _(spark, sf):
-    out = scratch(spark)
+    out = f"{scratch_folder(spark)}/out"
     io.write_report(table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")), out)
     return spark.read.schema("lang string, source string, n long").csv(out, header=True)
 
@@ -126,7 +118,7 @@ _VOLUME = LEXICAL_FEATURES[:6]
 
 @query("write_matrix", S.with_(S.DOCS, S.lexical("docs", "lex", "sample_id")) + f"SELECT sample_id, {', '.join(_VOLUME)} FROM lex")
 def _(spark, sf):
-    out = scratch(spark)
+    out = f"{scratch_folder(spark)}/out"
     io.write_matrix(lexical_of(document_samples(spark, sf)).select("sample_id", *_VOLUME), out)
     return rounded(spark.read.parquet(out))
 
@@ -154,7 +146,7 @@ def _(spark, sf):
         samples = df.select(F.col("doc_id").cast("string").alias("sample_id"), F.col("text").alias("code"),
                             F.col("lang").alias("language"))
         return lexical_features(samples).select("sample_id", "char_count", "line_count", "digit_ratio", "whitespace_ratio")
-    out = scratch(spark)
+    out = f"{scratch_folder(spark)}/out"
     run = incremental_features(spark, f"{sf}/documents*.parquet", table(spark, sf, "documents").schema, features,
                                f"{out}/features", f"{out}/progress")
     run.awaitTermination()
@@ -351,7 +343,7 @@ def _(spark, sf):
     return rounded(profile.zero_fill(matrix, wanted).select("sample_id", *wanted))
 
 
-_PAIR_LEX = S.with_(S.PAIRED, S.lexical("paired", "lex", "sample_id, problem_id, source_file, label"))
+_PAIR_LEX = S.with_(S.PAIRED, S.lexical("paired", "lex", "sample_id, problem_id, source_file, label", exact=True))
 
 
 @query("compare_samples", _PAIR_LEX + f""", first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id, label
@@ -527,12 +519,14 @@ def _(spark, sf):
 
 # --- distribution statistics ------------------------------------------------------------------------------------
 
-_LEX3 = _CORPORA + ", " + S.lexical("corpora", "lex", "corpus, sample_id, label")
-_LEX_A = S.with_(S.CORPUS_A, S.lexical("corpus_a", "lex", "corpus, sample_id, label"))
+_LEX3 = _CORPORA + ", " + S.lexical("corpora", "lex", "corpus, sample_id, label", exact=True)
+_LEX_A = S.with_(S.CORPUS_A, S.lexical("corpus_a", "lex", "corpus, sample_id, label", exact=True))
 
 
 def matrices(spark, sf) -> dict[str, DataFrame]:
-    return {k: lexical_of(df) for k, df in all_corpora(spark, sf).items()}
+    """The three matrices, extracted once and read back from Parquet by every later pass."""
+    stacked = materialised(stacked_matrix(spark, sf))
+    return {k: stacked.where(F.col("corpus") == k) for k in ("a", "paired", "third")}
 
 
 def stacked_matrix(spark, sf) -> DataFrame:
@@ -602,7 +596,7 @@ _SIGNAL_COLUMNS = f"feature, {S.r('human_mean', 'human_mean', 5)}, {S.r('ai_mean
 
 
 def signals_a(spark, sf) -> DataFrame:
-    return stats.signal_table(lexical_of(corpus_a(spark, sf)), LEXICAL_FEATURES)
+    return stats.signal_table(materialised(lexical_of(corpus_a(spark, sf))), LEXICAL_FEATURES)
 
 
 @query("significance_flag", _SIGNALS + f"SELECT {_SIGNAL_COLUMNS} FROM signals")
@@ -748,7 +742,7 @@ def _whole_label(df: DataFrame) -> DataFrame:
 def _fit_query(name: str, recipe: models.Recipe) -> None:
     @query(name)
     def _(spark, sf):
-        matrix = lexical_of(corpus_a(spark, sf)).persist()
+        matrix = materialised(lexical_of(corpus_a(spark, sf)))
         model = models.fit(matrix, LEXICAL_FEATURES, recipe)
         return rounded(_whole_label(models.predict(model, matrix, LEXICAL_FEATURES)).select("sample_id", "label", "prediction"))
 
@@ -774,7 +768,7 @@ def _(spark, sf):
 
 @query("cross_corpus_eval")
 def _(spark, sf):
-    m = {k: df.persist() for k, df in matrices(spark, sf).items()}
+    m = matrices(spark, sf)
     sets = {"all": LEXICAL_FEATURES, "stable": hbd.STABLE_FEATURES}
     result = models.cross_corpus_eval(
         {"a": m["a"], "paired": m["paired"], "a+paired": m["a"].unionByName(m["paired"], allowMissingColumns=True)},
@@ -784,7 +778,7 @@ def _(spark, sf):
 
 @query("feature_importance")
 def _(spark, sf):
-    matrix = lexical_of(corpus_a(spark, sf)).persist()
+    matrix = materialised(lexical_of(corpus_a(spark, sf)))
     model = models.fit(matrix, LEXICAL_FEATURES, models.random_forest(trees=20, depth=8))
     return rounded(models.feature_importance(model, LEXICAL_FEATURES, matrix))
 
@@ -811,7 +805,7 @@ def _(spark, sf):
   SELECT a.feature AS feature_i, b.feature AS feature_j, {S.r('avg(a.z * b.z)', 'covariance')} FROM z a JOIN z b ON a.corpus_id = b.corpus_id
   GROUP BY a.feature, b.feature""")
 def _(spark, sf):
-    return rounded(hbd.baseline_covariance(humans(spark, sf).persist(), hbd.STABLE_FEATURES))
+    return rounded(hbd.baseline_covariance(materialised(humans(spark, sf)), hbd.STABLE_FEATURES))
 
 
 _EMB_Z = f"""z AS (SELECT sample_id, {', '.join(f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS {f}" for f in EMBEDDING_FEATURES[:8])} FROM matrix_emb)"""
@@ -851,7 +845,7 @@ _HBD2 = _HUMANS + f""", par AS (SELECT avg({_TWO[0]}) AS m0, stddev_pop({_TWO[0]
 
 
 def scored_two(spark, sf) -> DataFrame:
-    matrix = stacked_matrix(spark, sf).persist()
+    matrix = materialised(stacked_matrix(spark, sf))
     return hbd.hbd_score(matrix, hbd.fit_baseline(matrix.where("label = 0"), _TWO))
 
 
@@ -862,14 +856,14 @@ def _(spark, sf):
 
 @query("hbd_score_stable")
 def _(spark, sf):
-    matrix = stacked_matrix(spark, sf).persist()
+    matrix = materialised(stacked_matrix(spark, sf))
     return rounded(hbd.hbd_score(matrix, hbd.fit_baseline(matrix.where("label = 0"))).select("corpus", "sample_id", "label", "hbd"))
 
 
 @query("save_load_baseline", _HBD2 + f"SELECT corpus, sample_id, label, {S.r('hbd', 'hbd', 5)} FROM scored")
 def _(spark, sf):
-    matrix = stacked_matrix(spark, sf).persist()
-    out = scratch(spark)
+    matrix = materialised(stacked_matrix(spark, sf))
+    out = f"{scratch_folder(spark)}/out"
     hbd.save_baseline(hbd.fit_baseline(matrix.where("label = 0"), _TWO), spark, out)
     return rounded(hbd.hbd_score(matrix, hbd.load_baseline(spark, out)).select("corpus", "sample_id", "label", "hbd"), 5)
 
@@ -880,8 +874,8 @@ def _(spark, sf):
     return rounded(hbd.score_summary(scored_two(spark, sf), ["corpus", "label"]), 5)
 
 
-@query("score_auroc", _HBD2 + f""", both AS (SELECT corpus, label, round(hbd, 9) AS value FROM scored UNION ALL SELECT 'Overall', label, round(hbd, 9) FROM scored),
-  {S.rank_counts('both', 'c', 'corpus')} SELECT corpus, n0, n1, {S.r('u1 / (n0::DOUBLE * n1)', 'auroc', 5)} FROM c""")
+@query("score_auroc", _HBD2 + f""", everything AS (SELECT corpus, label, round(hbd, 9) AS value FROM scored UNION ALL SELECT 'Overall', label, round(hbd, 9) FROM scored),
+  {S.rank_counts('everything', 'c', 'corpus')} SELECT corpus, n0, n1, {S.r('u1 / (n0::DOUBLE * n1)', 'auroc', 5)} FROM c""")
 def _(spark, sf):
     return rounded(hbd.score_auroc(scored_two(spark, sf).withColumn("hbd", F.round("hbd", 9))), 5)
 
@@ -893,7 +887,7 @@ def _(spark, sf):
 
 @query("standardise_check", _HUMANS + _SCALER + f"SELECT feature, {S.r('avg((value - mean) / scale)', 'mean')} FROM long JOIN scaler USING (feature) GROUP BY feature")
 def _(spark, sf):
-    population = humans(spark, sf).persist()
+    population = materialised(humans(spark, sf))
     return rounded(hbd.standardise_check(population, hbd.fit_baseline(population)))
 
 
@@ -996,14 +990,14 @@ def _(spark, sf):
 
 @query("forensics")
 def _(spark, sf):
-    m = {k: df.persist() for k, df in matrices(spark, sf).items()}
+    m = matrices(spark, sf)
     report, transfer = studies.forensics(m["a"], m["paired"], LEXICAL_FEATURES, models.random_forest(trees=10, depth=6))
     return rounded(report if transfer is None else transfer)
 
 
 @query("baseline_report")
 def _(spark, sf):
-    parts = {k: (df.persist(), cap) for (k, df), cap in zip(matrices(spark, sf).items(), (5000, None, None))}
+    parts = {k: (df, cap) for (k, df), cap in zip(matrices(spark, sf).items(), (5000, None, None))}
     return rounded(studies.baseline_report(parts)[2])
 
 

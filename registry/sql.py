@@ -73,8 +73,8 @@ def _re2(pattern: str, flags: str) -> str:
     return f"(?{flags}-s){p}" if flags else f"(?-s){p}"
 
 
-def lexical(source: str, name: str, keep: str) -> str:
-    """CTEs ending in ``name``: the kept columns of ``source`` and the 37 features."""
+def lexical(source: str, name: str, keep: str, exact: bool = False) -> str:
+    """CTEs ending in ``name``: the kept columns of ``source`` and the 37 features, rounded unless ``exact``."""
     tokens = {
         "snake_case_count": r"[a-z][a-z0-9]*(?:_[a-z0-9]+)+",
         "camel_case_count": r"[a-z][a-z0-9]*(?:[A-Z][a-z0-9]+)+",
@@ -114,7 +114,8 @@ def lexical(source: str, name: str, keep: str) -> str:
             "greatest(_tabs, _blanks)", "_tabs + _blanks", "1.0") + " END",
         "trailing_ws_ratio": ratio("_trailing", "line_count"),
     }
-    final = [r(derived[f], f) if f in derived else f"{f}::BIGINT AS {f}" for f in LEXICAL_FEATURES]
+    shown = (lambda e, f: f"{e} AS {f}") if exact else r
+    final = [shown(derived[f], f) if f in derived else f"{f}::BIGINT AS {f}" for f in LEXICAL_FEATURES]
     return f"""{name}_split AS (
   SELECT *, regexp_extract_all(code, {q(r'[\p{L}\p{N}_]+')}) AS _tokens,
     regexp_replace(code, {q(r'[^\P{L}\x00-\x7f]|[^\P{N}\x00-\x7f]')}, '_', 'g') AS _folded,
@@ -145,6 +146,7 @@ GOLDEN_SYNTAX = {
             avg_function_length=9, max_function_length=9, fstring_count=1, early_return_count=1, broad_except_count=1,
             finally_count=1, except_per_try=1 / 2, defensive_line_ratio=1 / 9),
     2: {},
+    10: {},
     3: dict(function_count=2, class_count=1, return_count=2, docstring_count=1, max_nesting_depth=4,
             avg_function_length=5, max_function_length=7, isinstance_count=1, early_return_count=1,
             default_arg_count=1, guarded_fn_ratio=1 / 2, defensive_line_ratio=1 / 10),
