@@ -2,8 +2,9 @@
 
 Rank statistics read a *value histogram*: the rows collapsed to (keys, value, n0, n1). Cumulative counts over it are
 taken in two levels. Every value belongs to an order-preserving bucket computed from the value alone; counts are
-accumulated inside a bucket in parallel, and the small table of bucket totals supplies the offsets. So one feature is
-spread over thousands of tasks, ties are collapsed before any shuffle, and no sort is global.
+accumulated inside a bucket in parallel, and the small table of bucket totals supplies the offsets. A bucket with very
+many distinct values is cut further into equal steps between its own minimum and maximum. So one feature is spread
+over thousands of tasks wherever its values lie, ties are collapsed before any shuffle, and no sort is global.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from inkprint.functions.tails import anova_p, normal_two_sided
 
 _STEPS = 4096  # buckets per power of two
+HOT_BUCKET = 1_000_000  # distinct values from which a bucket is cut further
 
 
 def order_bucket(value: Column) -> Column:
@@ -42,23 +44,41 @@ def value_histogram(df: DataFrame, keys: list[str], value: str, side: Column) ->
         F.count_if(F.col("_side") == 0).alias("n0"), F.count_if(F.col("_side") == 1).alias("n1"))
 
 
+def split_hot(hist: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame:
+    """Append ``part``: 0, or the step of the value inside a bucket with more than ``hot`` distinct values. The steps
+    are a rounded but never decreasing function of the value, so parts keep the order. The table of such buckets has
+    at most (distinct values / hot) rows and is the only thing broadcast."""
+    hot = hot or HOT_BUCKET
+    c = F.col
+    crowded = hist.groupBy(*keys, "bucket").agg(
+        F.count("*").alias("_distinct"), F.min("value").alias("_low"), F.max("value").alias("_high")
+    ).where((c("_distinct") > hot) & (c("_high") < float("inf")) & (c("_low") > -float("inf")))
+    steps = F.ceil(c("_distinct") / F.lit(hot)) * 4
+    part = F.floor((c("value") - c("_low")) / (c("_high") - c("_low")) * steps)
+    return hist.join(F.broadcast(crowded), [*keys, "bucket"], "left").withColumn(
+        "part", F.coalesce(part, F.lit(0))).drop("_distinct", "_low", "_high")
+
+
+_CELL = ["bucket", "part"]
+
+
 def _earlier(keys: list[str]):
-    return W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    return W.partitionBy(*keys).orderBy(*_CELL).rowsBetween(W.unboundedPreceding, -1)
 
 
-def rank_counts(hist: DataFrame, keys: list[str]) -> DataFrame:
+def rank_counts(hist: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame:
     """Per key: ``n0``, ``n1``, ``u1`` (pairs in which side 1 is larger, ties half) and ``ties`` = sum(t^3 - t)."""
-    before = W.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys, *_CELL).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     d = lambda name: F.col(name).cast("double")
     tied = d("n0") + d("n1")
-    local = hist.withColumn("_below", F.coalesce(F.sum("n0").over(before), F.lit(0)).cast("double"))
-    buckets = local.groupBy(*keys, "bucket").agg(
+    local = split_hot(hist, keys, hot).withColumn("_below", F.coalesce(F.sum("n0").over(before), F.lit(0)).cast("double"))
+    cells = local.groupBy(*keys, *_CELL).agg(
         F.sum(d("n1") * (F.col("_below") + d("n0") / 2.0)).alias("_u"),
         F.sum(tied * tied * tied - tied).alias("_ties"),
         F.sum("n0").alias("_n0"), F.sum("n1").alias("_n1"),
     )
     offset = F.coalesce(F.sum("_n0").over(_earlier(keys)), F.lit(0)).cast("double")
-    return buckets.withColumn("_offset", offset).groupBy(*keys).agg(
+    return cells.withColumn("_offset", offset).groupBy(*keys).agg(
         F.sum("_n0").alias("n0"), F.sum("_n1").alias("n1"),
         F.sum(F.col("_u") + d("_n1") * F.col("_offset")).alias("u1"),
         F.sum("_ties").alias("ties"),
@@ -91,23 +111,23 @@ def auroc(df: DataFrame, keys: list[str], score: str, label: Column, overall: st
     return counts.select(*keys, "n0", "n1", (F.col("u1") / F.nullif(pairs, F.lit(0.0))).alias("auroc"))
 
 
-def wasserstein(df: DataFrame, keys: list[str], value: str, side: Column) -> DataFrame:
+def wasserstein(df: DataFrame, keys: list[str], value: str, side: Column, hot: int | None = None) -> DataFrame:
     """First Wasserstein distance between the values of side 0 and side 1, per key."""
     c = F.col
-    hist = value_histogram(df, keys, value, side)
+    hist = split_hot(value_histogram(df, keys, value, side), keys, hot)
     all_of = W.partitionBy(*keys)
-    buckets = hist.groupBy(*keys, "bucket").agg(
+    cells = hist.groupBy(*keys, *_CELL).agg(
         F.sum("n0").alias("_n0"), F.sum("n1").alias("_n1"), F.min("value").alias("_first"))
-    buckets = buckets.select(
-        *keys, "bucket",
+    cells = cells.select(
+        *keys, *_CELL,
         F.coalesce(F.sum("_n0").over(_earlier(keys)), F.lit(0)).alias("_o0"),
         F.coalesce(F.sum("_n1").over(_earlier(keys)), F.lit(0)).alias("_o1"),
         F.sum("_n0").over(all_of).alias("_t0"), F.sum("_n1").over(all_of).alias("_t1"),
-        F.lead("_first").over(all_of.orderBy("bucket")).alias("_next"),
+        F.lead("_first").over(all_of.orderBy(*_CELL)).alias("_next"),
     ).where((c("_t0") > 0) & (c("_t1") > 0))
-    inside = W.partitionBy(*keys, "bucket").orderBy("value")
+    inside = W.partitionBy(*keys, *_CELL).orderBy("value")
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
-    gaps = hist.join(buckets, [*keys, "bucket"]).select(
+    gaps = hist.join(cells, [*keys, *_CELL]).select(
         *keys,
         (F.coalesce(F.lead("value").over(inside), c("_next")) - c("value")).alias("_gap"),
         F.abs((c("_o0") + F.sum("n0").over(so_far)) / c("_t0")
@@ -116,21 +136,21 @@ def wasserstein(df: DataFrame, keys: list[str], value: str, side: Column) -> Dat
     return gaps.groupBy(*keys).agg(F.coalesce(F.sum(c("_gap") * c("_height")), F.lit(0.0)).alias("distance"))
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median", hot: int | None = None) -> DataFrame:
     """Exact median per key. Bucket totals locate the one or two buckets holding the middle ranks; only their rows
     are ordered."""
     c = F.col
-    hist = value_histogram(df, keys, value, F.lit(0)).drop("n1")
-    buckets = hist.groupBy(*keys, "bucket").agg(F.sum("n0").alias("_n"))
-    buckets = buckets.select(
-        *keys, "bucket", "_n",
+    hist = split_hot(value_histogram(df, keys, value, F.lit(0)).drop("n1"), keys, hot)
+    cells = hist.groupBy(*keys, *_CELL).agg(F.sum("n0").alias("_n"))
+    cells = cells.select(
+        *keys, *_CELL, "_n",
         F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_offset"),
         F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
     )
     low, high = F.floor((c("_total") - 1) / 2), F.ceil((c("_total") - 1) / 2)
-    wanted = buckets.where((c("_offset") <= high) & (c("_offset") + c("_n") > low))
-    upto = W.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    placed = hist.join(wanted, [*keys, "bucket"]).withColumn("_upto", c("_offset") + F.sum("n0").over(upto))
+    wanted = cells.where((c("_offset") <= high) & (c("_offset") + c("_n") > low))
+    upto = W.partitionBy(*keys, *_CELL).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    placed = hist.join(wanted, [*keys, *_CELL]).withColumn("_upto", c("_offset") + F.sum("n0").over(upto))
     middle = lambda rank: F.min(F.when(c("_upto") > rank, c("value")))
     return placed.groupBy(*keys).agg(((middle(low) + middle(high)) / 2.0).alias(name))
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
-    """Give a CPU-bound stage at least a few partitions per core. Inputs that already have as many partitions as
-    cores, which is every large input, are returned as they are; only small inputs pay the shuffle."""
+    """Give a CPU-bound stage a few partitions per core when its input has fewer files than the cluster has cores.
+    Large inputs have more and are returned as they are. Only the file listing is consulted; nothing runs."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores * per_core) if len(df.inputFiles()) < cores else df
 
 
 def scratch_folder(spark: SparkSession) -> str:

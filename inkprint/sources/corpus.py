@@ -112,7 +112,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def skip_done(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work items whose key is not among the finished ones."""
-    return work.join(done.select(*keys), keys, "left_anti")
+    return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def still_needed(work: DataFrame, done: DataFrame, key: str, need: int) -> DataFrame:
