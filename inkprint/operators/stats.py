@@ -50,13 +50,17 @@ def split_hot(hist: DataFrame, keys: list[str], hot: int | None = None) -> DataF
     at most (distinct values / hot) rows and is the only thing broadcast."""
     hot = hot or HOT_BUCKET
     c = F.col
+    # Reading the counts as well (a bucket has at least as many rows as values) keeps this branch's histogram the same
+    # plan as the main branch's, so Spark builds and shuffles it once for both.
+    rows = sum((F.sum(n) for n in ("n0", "n1") if n in hist.columns), F.lit(0))
     crowded = hist.groupBy(*keys, "bucket").agg(
-        F.count("*").alias("_distinct"), F.min("value").alias("_low"), F.max("value").alias("_high")
-    ).where((c("_distinct") > hot) & (c("_high") < float("inf")) & (c("_low") > -float("inf")))
+        F.count("*").alias("_distinct"), F.min("value").alias("_low"), F.max("value").alias("_high"), rows.alias("_rows")
+    ).where((c("_distinct") > hot) & (c("_rows") >= c("_distinct")) & (c("_high") < float("inf"))
+            & (c("_low") > -float("inf")))
     steps = F.ceil(c("_distinct") / F.lit(hot)) * 4
     part = F.floor((c("value") - c("_low")) / (c("_high") - c("_low")) * steps)
     return hist.join(F.broadcast(crowded), [*keys, "bucket"], "left").withColumn(
-        "part", F.coalesce(part, F.lit(0))).drop("_distinct", "_low", "_high")
+        "part", F.coalesce(part, F.lit(0))).drop("_distinct", "_low", "_high", "_rows")
 
 
 _CELL = ["bucket", "part"]

@@ -562,7 +562,7 @@ _LINE = "line AS (SELECT *, CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS side
 
 
 def line_long(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "lineitem").withColumn("side", F.when(F.col("l_linestatus") == "O", 1).otherwise(0))
+    rows = spread(table(spark, sf, "lineitem").select("l_linestatus", *LINE_FEATURES)).withColumn("side", F.when(F.col("l_linestatus") == "O", 1).otherwise(0))
     return stats.melt(rows, ["side"], LINE_FEATURES)
 
 
@@ -584,7 +584,7 @@ def _(spark, sf):
 
 @query("exact_median", """SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem GROUP BY l_returnflag""")
 def _(spark, sf):
-    return stats.exact_median(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return stats.exact_median(spread(table(spark, sf, "lineitem")), ["l_returnflag"], "l_extendedprice")
 
 
 _SIGNALS = _LEX_A + f""", {S.melt('lex', 'long', LEXICAL_FEATURES, 'label')}, {S.z_scores('long', 'mw', 'feature')},
