@@ -166,7 +166,7 @@ def score_bands(score: Column) -> Column:
 
 def score_summary(df: DataFrame, by: list[str], score: str = "hbd") -> DataFrame:
     """n, mean, exact median and population standard deviation of the score per group."""
-    basic = df.where(F.col(score).isNotNull()).groupBy(*by).agg(
+    basic = df.groupBy(*by).agg(
         F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
     return basic.join(exact_median(df, by, score), by)
 

@@ -37,11 +37,15 @@ def melt(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
 
 
 def value_histogram(df: DataFrame, keys: list[str], value: str, side: Column) -> DataFrame:
-    """(keys, bucket, value, n0, n1); rows with a NULL side or value do not count."""
-    rows = df.select(*keys, (F.col(value).cast("double") + 0.0).alias("value"), side.cast("int").alias("_side"))
-    rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("_side").isNotNull())
+    """(keys, bucket, value, n0, n1); rows with a NULL side or value do not count.
+
+    Such rows are left uncounted rather than filtered out: a filter would be pushed below a computed score and
+    evaluate its whole expression a second time."""
+    x = F.col(value).cast("double") + 0.0
+    rows = df.select(*keys, F.when(~F.isnan(x), x).alias("value"), side.cast("int").alias("_side"))
+    counted = F.col("value").isNotNull()
     return rows.withColumn("bucket", order_bucket(F.col("value"))).groupBy(*keys, "bucket", "value").agg(
-        F.count_if(F.col("_side") == 0).alias("n0"), F.count_if(F.col("_side") == 1).alias("n1"))
+        F.count_if(counted & (F.col("_side") == 0)).alias("n0"), F.count_if(counted & (F.col("_side") == 1)).alias("n1"))
 
 
 def split_hot(hist: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame:
@@ -152,7 +156,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
         F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
     )
     low, high = F.floor((c("_total") - 1) / 2), F.ceil((c("_total") - 1) / 2)
-    wanted = cells.where((c("_offset") <= high) & (c("_offset") + c("_n") > low))
+    wanted = cells.where((c("_total") > 0) & (c("_offset") <= high) & (c("_offset") + c("_n") > low))
     upto = W.partitionBy(*keys, *_CELL).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     placed = hist.join(wanted, [*keys, *_CELL]).withColumn("_upto", c("_offset") + F.sum("n0").over(upto))
     middle = lambda rank: F.min(F.when(c("_upto") > rank, c("value")))

@@ -15,7 +15,7 @@ from inkprint.operators.models import Recipe, cross_corpus_eval, cv_predictions,
 from inkprint.operators.profile import code_length_stats, corpus_balance, value_counts
 from inkprint.operators.sampling import cap_per_class, stratified_folds, union_corpora
 from inkprint.operators.stats import shift_report, signal_table
-from inkprint.session import spread
+from inkprint.session import materialised, spread
 
 
 def feature_matrix(samples: DataFrame, keep_blank: bool = False, logprobs: DataFrame | None = None,
@@ -69,7 +69,7 @@ def baseline_report(corpora: dict[str, tuple[DataFrame, int | None]], features:
     humans = {name: (df.where(F.col(label) == 0), cap) for name, (df, cap) in corpora.items()}
     baseline = fit_baseline(union_corpora(humans, label, id_col), features)
     everything = union_corpora({name: (df, None) for name, (df, _) in corpora.items()}, label, id_col)
-    scored = hbd_score(everything, baseline)
+    scored = materialised(hbd_score(everything, baseline))  # read by both summaries; also keeps their plans small
     return scored, score_summary(scored, ["corpus", label]), score_auroc(scored, label=label)
 
 

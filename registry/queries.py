@@ -846,7 +846,8 @@ _HBD2 = _HUMANS + f""", par AS (SELECT avg({_TWO[0]}) AS m0, stddev_pop({_TWO[0]
 
 def scored_two(spark, sf) -> DataFrame:
     matrix = materialised(stacked_matrix(spark, sf))
-    return hbd.hbd_score(matrix, hbd.fit_baseline(matrix.where("label = 0"), _TWO))
+    return materialised(hbd.hbd_score(matrix, hbd.fit_baseline(matrix.where("label = 0"), _TWO)).select(
+        "corpus", "sample_id", "label", "hbd"))
 
 
 @query("hbd_score", _HBD2 + f"SELECT corpus, sample_id, label, {S.r('hbd', 'hbd', 5)} FROM scored")
