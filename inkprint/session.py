@@ -1,11 +1,12 @@
 """Session-level helpers: spreading CPU-bound work, intermediate tables, joins on crowded keys."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SCRATCH: list[str] = []
+
 
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Give a CPU-bound stage a few partitions per core when its input has fewer files than the cluster has cores.
@@ -16,17 +17,34 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df.repartition(cores * per_core) if len(df.inputFiles()) < cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder for intermediate tables: inside the shared folder the cluster names in ``spark.checkpoint.dir``,
-    or a temporary one where none is named (single machine)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    name = f"inkprint-{uuid.uuid4().hex}"
-    return f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="inkprint-")
+    """A new folder name for intermediate tables inside the shared folder. ``release`` deletes all of this session's."""
+    path = f"{shared_folder(spark)}/inkprint-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch folders handed out so far, through the Hadoop file system. Call it when no result that reads
+    them is needed any more; returns the number of folders deleted."""
+    deleted, hadoop = 0, spark._jvm.org.apache.hadoop.fs
+    while _SCRATCH:
+        path = hadoop.Path(_SCRATCH.pop())
+        deleted += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return deleted
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Write a table that several passes read, and read it back. Later passes then prune columns and share no
-    lineage with the extraction, so a lost executor never re-runs it."""
+    """Write a table that several passes read to shared storage, and read it back. Later passes then prune columns and
+    share no lineage with the extraction, so a lost executor never re-runs it."""
     path = f"{scratch_folder(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

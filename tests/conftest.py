@@ -11,11 +11,13 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = (
         SparkSession.builder.master("local[*]").appName("tests").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{shared}").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
