@@ -4,9 +4,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkprint.llm import secrets, topk, warc
+from inkprint.llm import packing, quality, secret_scan, topk, toxicity, warc
 from inkprint.llm.common import scratch_folder, table
 
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -21,9 +28,19 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-@query("op1_secrets", secrets.ORACLE)
+@query("op1_secrets", secret_scan.ORACLE)
+def _(spark, sf):
+    return secret_scan.digests(secret_scan.scan(table(spark, sf, "documents")))
+
+
+@query("op4_quality")
 def _(spark, sf):
-    return secrets.digests(secrets.scan(table(spark, sf, "documents")))
+    return quality.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op5_packing")
+def _(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 @query("op7_warc", warc.ORACLE)
@@ -36,3 +53,8 @@ def _(spark, sf):
 @query("op8_topk", topk.ORACLE)
 def _(spark, sf):
     return topk.search(spark, table(spark, sf, "embeddings"))
+
+
+@query("op10_toxicity")
+def _(spark, sf):
+    return toxicity.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
