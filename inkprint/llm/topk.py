@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkprint.llm.common import materialised
 
-LISTS = 4
+LISTS = 2  # the share of a list is cutoff / LISTS: with few lists it is high, and few entries reach it
 SCALE = 256
 BLOCK_ROWS = 2048  # rows of one block of vectors
 BLOCK_QUERIES = 256  # queries of one block
@@ -144,12 +144,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     entries = compare(cut, ["vid", "cutoff"]).groupBy("qid", "vid").agg(
         F.sum("partial").alias("known"), F.count("*").alias("lists"))
     limit = cut.select(F.col("vid").alias("_cut"), "cutoff")
-    share = F.ceil(F.col("cutoff") / LISTS)
+    # What a list did not send lies below the integer share, so a sum with a missing list must leave room for it.
+    share = F.expr(f"(cutoff + pmod(-cutoff, {LISTS})) div {LISTS}")
+    whole = F.col("lists") == LISTS
     able = entries.join(limit, F.col("qid") == F.col("_cut")).where(
-        F.col("cutoff").isNull() | (F.col("known") + (LISTS - F.col("lists")) * share >= F.col("cutoff")))
+        F.col("cutoff").isNull() | F.when(whole, F.col("known") >= F.col("cutoff")).otherwise(
+            F.col("known") + (LISTS - F.col("lists")) * (share - 1) >= F.col("cutoff")))
 
-    # Phase 3. Exact scores of the rest, then ids for classes and queries.
-    top = exact(able.select("qid", "vid")).withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k + 1)
+    # Phase 3. Exact scores of the rest; where all lists have answered, their sum is exact already.
+    done = able.where(whole).select("qid", "vid", F.col("known").alias("score"))
+    resolved = done.unionByName(exact(able.where(~whole).select("qid", "vid")))
+    top = resolved.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k + 1)
     by_class = classes.select(F.col("vid").alias("_vid"), F.col("same").alias("_of"))
     hits = top.select("qid", "vid", "score").join(by_class, F.col("vid") == F.col("_vid")).join(
         members, F.col("_of") == F.col("same")).select("qid", "vec_id", "score")
