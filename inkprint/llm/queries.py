@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkprint.llm import packing, quality, secret_scan, topk, toxicity, warc
+from inkprint.llm import near_dup, packing, quality, secret_scan, topk, toxicity, warc
 from inkprint.llm.common import scratch_folder, table
 
 
@@ -33,6 +33,11 @@ def _(spark, sf):
     return secret_scan.digests(secret_scan.scan(table(spark, sf, "documents")))
 
 
+@query("op2_near_dup", near_dup.ORACLE)
+def _(spark, sf):
+    return near_dup.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op4_quality")
 def _(spark, sf):
     return quality.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
