@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkprint.llm import near_dup, packing, quality, secret_scan, topk, toxicity, warc
+from inkprint.llm import merkle, near_dup, packing, quality, secret_scan, topk, toxicity, viterbi, warc
 from inkprint.llm.common import scratch_folder, table
 
 
@@ -38,6 +38,11 @@ def _(spark, sf):
     return near_dup.near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op3_merkle")
+def _(spark, sf):
+    return merkle.edited_pairs(table(spark, sf, "documents"))
+
+
 @query("op4_quality")
 def _(spark, sf):
     return quality.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -60,6 +65,11 @@ def _(spark, sf):
     return topk.search(spark, table(spark, sf, "embeddings"))
 
 
+@query("op9_sentencepiece")
+def _(spark, sf):
+    return viterbi.round_trip(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 @query("op10_toxicity")
 def _(spark, sf):
     return toxicity.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
