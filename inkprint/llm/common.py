@@ -24,6 +24,11 @@ def partitions_of(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A small aggregate before it is joined: dealt out anew, so that Spark can split a crowded key of the other side."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def held_out(name: str = "doc_id") -> Column:
     """True for the rows whose labels no model may learn from; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(name).cast("string")) % 4 == 2, F.lit(False))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import materialised, whole_text
+from inkprint.llm.common import dealt, materialised, whole_text
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 85, 100  # linked when DENOMINATOR * intersection >= NUMERATOR * union
@@ -175,11 +175,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    """A small aggregate before it is joined: dealt out anew, so that Spark can split a crowded key of the other side."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """id, comp (smallest id reachable) of all ids in ``links`` (a, b) and in ``known`` (id, comp), by alternating large
     and small stars; every round is written to shared storage, so a lost executor repeats one round at most."""
@@ -190,11 +185,11 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     while True:
         # Large star: every larger neighbour of u is tied to u's smallest neighbour (or u itself).
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _dealt(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = dealt(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: every smaller neighbour of u, and u, are tied to the smallest of them.
         large = materialised(large)
-        low = _dealt(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = dealt(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialised(small)
@@ -227,13 +222,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Every bucket's first class, in one order for all bands, so that the buckets of a group of copies agree on it.
     order = F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("id"))
     buckets = members.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
-    crowd = materialised(members.join(_dealt(buckets.select("key", F.col("first.id").alias("pivot"))), "key"))
+    crowd = materialised(members.join(dealt(buckets.select("key", F.col("first.id").alias("pivot"))), "key"))
 
     def fits(n: Column, m: Column) -> Column:
         return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
 
     sizes = reps.select(F.col("id").alias("pivot"), F.col("n").alias("m"))
-    stars = _dealt(crowd.where("id <> pivot").groupBy("id", "pivot").agg(F.first("n").alias("n")))
+    stars = dealt(crowd.where("id <> pivot").groupBy("id", "pivot").agg(F.first("n").alias("n")))
     stars = stars.join(sizes, "pivot").where(fits(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     alive = materialised(_survivors(stars, reps).withColumn("o", F.xxhash64("b")))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).where(F.col("id").isNotNull())
@@ -256,7 +251,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A bucket's largest component needs no look at itself: only the others of a bucket meet all of its members.
     shares = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
     mixed = shares.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
-    mixed = _dealt(mixed.where("comps > 1").select("key", "main"))
+    mixed = dealt(mixed.where("comps > 1").select("key", "main"))
     met_in = materialised(placed.join(mixed, "key"))
     left = met_in.where("comp <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
     right = met_in.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkprint.llm import merkle, near_dup, packing, quality, secret_scan, topk, toxicity, viterbi, warc
+from inkprint.llm import merkle, near_dup, packing, pii, quality, secret_scan, topk, toxicity, viterbi, warc
 from inkprint.llm.common import scratch_folder, table
 
 
@@ -53,6 +53,11 @@ def _(spark, sf):
     return packing.pack(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@query("op6_pii")
+def _(spark, sf):
+    return pii.digests(pii.find(table(spark, sf, "documents")))
+
+
 @query("op7_warc", warc.ORACLE)
 def _(spark, sf):
     folder = scratch_folder(spark)
