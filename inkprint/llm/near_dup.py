@@ -76,8 +76,8 @@ def shingles(text: str) -> np.ndarray:
     if not len(codes):
         return codes
     if len(codes) < SHINGLE:
-        h = (codes * _PLACES[:len(codes)]).sum(dtype=np.uint64) + np.uint64(len(codes)) * _PLACES[SHINGLE]
-        return _mix(np.array([h], np.uint64))
+        size = np.array([len(codes)], np.uint64) * _PLACES[SHINGLE]
+        return _mix((codes * _PLACES[:len(codes)]).sum(dtype=np.uint64, keepdims=True) + size)
     n = len(codes) - SHINGLE + 1
     h = np.zeros(n, np.uint64)
     for k in range(SHINGLE):

@@ -221,37 +221,6 @@ def digests(found: DataFrame) -> DataFrame:
         F.sha2(span_text(base), 256).alias("base_sha256"), span_text(every).alias("spans"))
 
 
-def _value_masked(pattern: str, least: int, mask: str):
-    def put(hit: Column) -> Column:
-        value = F.regexp_extract(hit, pattern, 2)
-        kept = F.substring(hit, F.lit(1), F.length(hit) - F.length(value))
-        return F.when(F.length(value) >= least, F.concat(kept, F.lit(mask))).otherwise(hit)
-    return put
-
-
-def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` (columns of documents) with every found secret replaced by ``mask`` and n_chars recounted; overlapping
-    secrets are replaced as one. A null text stays null."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    rules = {n: trigram_query(p) for n, (_, p, _) in enumerate(RULES)}
-    del rules
-    found = scan_all(docs, others)
-    clean = F.col("text")
-    spans = merged_spans(KINDS)
-    found = found.withColumn("_spans", spans)
-    # Merge overlapping spans, then join the pieces between them.
-    merged = F.aggregate(
-        "_spans", F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(-1)) > s["start"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(
-                F.try_element_at(done, F.lit(-1))["start"].alias("start"),
-                F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]).alias("end")))))
-        .otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    del clean, merged
-    return found
-
-
 ORACLE = span_digest_sql(
     [(k, p, f"length(regexp_extract(hit, '{p.replace(chr(39), chr(39) * 2)}', 2)) >= {n}" if k == "assign"
       else f"length(hit) >= {n}") for k, p, n in RULES], BASE_KINDS)

@@ -20,7 +20,8 @@ CUTOFF = 0.3  # of the registered decision
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 STEMS = (4, 5, 6, 7)  # a word is embedded as the sum of itself and its first letters, so that inflected forms share
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.02, 11
-LEAST_SEEN = 5  # training documents a bucket must occur in to have an embedding
+LEAST_STEPS = 200  # of the optimiser, however few documents there are
+LEAST_SEEN = 5  # training documents a bucket must occur in to have an embedding (fewer where few are toxic)
 CHUNK = 1 << 16  # words convolved at once
 CACHE_WORDS = 300_000
 PAD = BUCKETS
@@ -139,7 +140,7 @@ def fit_network(docs: list[np.ndarray], y: np.ndarray) -> Model:
     counts, sizes = _seen(docs, y), np.bincount(y, minlength=2)
     seen = counts.sum(0)
     odds = np.log((counts[1] + 0.5) / (sizes[1] + 1)) - np.log((counts[0] + 0.5) / (sizes[0] + 1))
-    used = (seen >= LEAST_SEEN)[:, None]
+    used = (seen >= np.clip(sizes[1] // 20, 2, LEAST_SEEN))[:, None]
     e = rng.normal(0, 0.05, (BUCKETS + 1, DIM)) * used
     e[:, 0] = np.clip(odds * seen / (seen + 10), -2, 4) / 3 * used[:, 0]
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS]
@@ -151,10 +152,12 @@ def fit_network(docs: list[np.ndarray], y: np.ndarray) -> Model:
     reach = max(WIDTHS) - 1
     wide = 1 + len(STEMS)
     padded = [np.vstack([d, np.full((reach + (len(d) == 0), wide), PAD)]) for d in docs]
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS) + 1e-3
+    batches = max(1, len(padded) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs) + 1e-3
         order = rng.permutation(len(padded))
-        for batch in np.array_split(order, max(1, len(order) // BATCH)):
+        for batch in np.array_split(order, batches):
             ids = np.concatenate([padded[i] for i in batch])
             sizes = np.array([len(padded[i]) for i in batch])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
