@@ -22,7 +22,7 @@ STEMS = (4, 5, 6, 7)  # a word is embedded as the sum of itself and its first le
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.02, 11
 LEAST_STEPS = 200  # of the optimiser, however few documents there are
 LEAST_SEEN = 5  # training documents a bucket must occur in to have an embedding (fewer where few are toxic)
-CHUNK = 1 << 16  # words convolved at once
+CHUNK = 1 << 12  # words convolved at once
 CACHE_WORDS = 300_000
 PAD = BUCKETS
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -40,34 +40,45 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
 
 
-def buckets(word: str) -> tuple[int, ...]:
-    """The buckets of a word as written: the word in lower case without punctuation around it, and its stems."""
-    w = word.strip(_STRIP).lower()
-    return (bucket(w), *[bucket(f"{w[:n]}-") if len(w) > n else PAD for n in STEMS])
+def buckets(found: list[str]) -> np.ndarray:
+    """The buckets of words as written, a row each: the word in lower case without punctuation around it, and its stems."""
+    crc, rows = zlib.crc32, []
+    for word in found:
+        w = word.strip(_STRIP).lower().encode("utf-8", "replace")
+        row, stem, at = [crc(w) % BUCKETS], 0, 0
+        for n in STEMS:  # first bytes; the hash of one continues that of the shorter one
+            if len(w) <= n:
+                break
+            stem, at = crc(w[at:n], stem), n
+            row.append((stem ^ 0x5BD1E995) % BUCKETS)
+        rows.append(row + [PAD] * (1 + len(STEMS) - len(row)))
+    return np.array(rows, np.int64).reshape(-1, 1 + len(STEMS))
 
 
 class Words:
-    """Numbers of words as written, and per number what is known of the word; lives as long as its worker, within
-    ``CACHE_WORDS``."""
+    """Per word of a text, what ``describe`` says of it (a row of numbers); words met before are remembered, up to
+    ``CACHE_WORDS`` of them, as long as the worker lives."""
 
-    def __init__(self, row):
-        self.row, self.known, self.rows = row, {}, np.zeros((1024, *np.shape(row("a"))), np.asarray(row("a")).dtype)
+    def __init__(self, describe):
+        self.describe, self.known, sample = describe, {}, describe(["a"])
+        self.rows = np.zeros((CACHE_WORDS, sample.shape[1]), sample.dtype)
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.split()
         ids = list(map(self.known.get, words))
-        if None not in ids:
-            return self.rows[ids]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            return self(text)
-        for w, x in zip(words, ids):
-            if x is None and w not in self.known:
-                n = self.known[w] = len(self.known)
-                if n >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[n] = self.row(w)
-        return self.rows[list(map(self.known.get, words))]
+        try:
+            return self.rows[np.array(ids, np.int64)]
+        except TypeError:  # some word is new
+            new = list(dict.fromkeys([w for w, x in zip(words, ids) if x is None]))
+        rows, start = self.describe(new), len(self.known)
+        room = min(len(new), CACHE_WORDS - start)
+        self.rows[start:start + room] = rows[:room]
+        self.known.update(zip(new[:room], range(start, start + room)))
+        if room == len(new):
+            return self.rows[np.array(list(map(self.known.get, words)), np.int64)]
+        own = {w: -1 - i for i, w in enumerate(new)}  # of this text only
+        at = np.array([own[w] if x is None else x for w, x in zip(words, ids)], np.int64)
+        return np.where((at < 0)[:, None], rows[np.maximum(0, -1 - at)], self.rows[np.maximum(0, at)])
 
 
 def marker_table() -> np.ndarray:
@@ -92,22 +103,25 @@ class Model:
         """Per word: its embedding, and the number of the language it speaks for."""
         table = marker_table()
 
-        def row(word: str) -> np.ndarray:
-            ids = buckets(word)
-            return np.append(self.embedding[list(ids)].sum(0), table[ids[0]]).astype(np.float32)
-        return Words(row)
+        def describe(found: list[str]) -> np.ndarray:
+            ids = buckets(found)
+            return np.hstack([self.embedding[ids].sum(1), table[ids[:, :1]]]).astype(np.float32)
+        return Words(describe)
 
     def pooled(self, x: np.ndarray) -> np.ndarray:
         """Largest response of every filter over the whole text, read in overlapping chunks."""
         best = np.full(FILTERS * len(WIDTHS), -np.inf)
         reach = max(WIDTHS) - 1
-        x = np.vstack([x if len(x) else np.zeros((1, DIM)), np.zeros((reach, DIM))])
+        x = np.vstack([x if len(x) else np.zeros((1, DIM), np.float32), np.zeros((reach, DIM), np.float32)])
+        steps = np.hstack([f[j] for f in self.filters for j in range(len(f))]).astype(np.float32)
         for at in range(0, len(x) - reach, CHUNK):
-            part = x[at:at + CHUNK + reach]
-            n = len(part) - reach
-            for k, f in enumerate(self.filters):
-                z = sum(part[j:j + n] @ f[j] for j in range(len(f)))
-                s = slice(k * FILTERS, (k + 1) * FILTERS)
+            y = x[at:at + CHUNK + reach] @ steps
+            n, column = len(y) - reach, 0
+            for k, width in enumerate(WIDTHS):
+                z = y[:n, column:column + FILTERS]
+                for j in range(1, width):
+                    z = z + y[j:j + n, column + j * FILTERS:column + (j + 1) * FILTERS]
+                s, column = slice(k * FILTERS, (k + 1) * FILTERS), column + width * FILTERS
                 best[s] = np.maximum(best[s], z.max(0))
         return np.maximum(0, best + self.bias)
 
@@ -233,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     if len(set(y.tolist())) < 2:
         return None
     part = np.arange(len(y)) % 5 == 4
-    ids = Words(lambda w: np.array(buckets(w), np.int32))
+    ids = Words(buckets)
     model = fit_network([ids(t) for t, p in zip(rows["text"], part) if not p], y[~part])
     words = model.words()
     calibrate(model, [words(t) for t, p in zip(rows["text"], part) if p], y[part])
