@@ -30,8 +30,8 @@ CACHE_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 _SEED = np.random.default_rng(20_240)
-_MULTIPLIERS = _SEED.integers(1, 2 ** 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDENDS = _SEED.integers(0, 2 ** 63, HASHES, dtype=np.uint64)
+_MULTIPLIERS = _SEED.integers(0, 2 ** 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADDENDS = _SEED.integers(0, 2 ** 32, (HASHES, 1), dtype=np.uint32)
 _PLACES = _SEED.integers(1, 2 ** 63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -70,9 +70,13 @@ def word_codes(found: list[bytes]) -> np.ndarray:
 
 
 def shingles(text: str) -> np.ndarray:
+    return shingle_set(words(text))
+
+
+def shingle_set(found: list[bytes]) -> np.ndarray:
     """The document's set: sorted distinct 64-bit hashes of its 5-word shingles; of fewer words, the whole sequence is
     one; without words, none. (Two different shingles of a document collide with a chance below 1e-10.)"""
-    codes = word_codes(words(text))
+    codes = word_codes(found)
     if not len(codes):
         return codes
     if len(codes) < SHINGLE:
@@ -86,14 +90,16 @@ def shingles(text: str) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """MinHash: per hash function, 16 bits of the smallest value over the set."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 2048):
-        part = found[at:at + 2048]
-        for i in range(HASHES):
-            x = part * _MULTIPLIERS[i] + _ADDENDS[i]
-            least[i] = min(least[i], (x ^ (x >> np.uint64(32))).min())
-    return (_mix(least) & np.uint64(0xFFFF)).astype("<u2")
+    """MinHash: per hash function, 16 bits of the smallest value over the set. The functions permute the upper half of the
+    shingles' hashes; they are taken together over blocks of the set that stay in the processor's cache."""
+    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    upper = (found >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(upper), 256):
+        x = upper[None, at:at + 256] * _MULTIPLIERS
+        x += _ADDENDS
+        x ^= x >> np.uint32(15)
+        np.minimum(least, x.min(1), out=least)
+    return (_mix(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
 
 
 def fewest_matches(threshold: float = NUMERATOR / DENOMINATOR, miss: float = MISS) -> np.ndarray:
@@ -126,8 +132,9 @@ def signed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             cls, n, sig = [], [], []
             for text in batch.column(1).to_pylist():
-                found = shingles(text)
-                cls.append(blake2b(b" ".join(words(text)), digest_size=16).digest())
+                own = words(text)
+                found = shingle_set(own)
+                cls.append(blake2b(b" ".join(own), digest_size=16).digest())
                 n.append(len(found))
                 sig.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
@@ -157,29 +164,42 @@ def _survivors(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar. Sets are made again from the texts of the documents concerned only."""
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, found (the shingle set, packed) of the documents with the given ids (id), made again from their texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "found"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).where(F.col("id").isNotNull())
+    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, found binary")
+
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unpack = lambda c: [np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()]
             keep = pa.array([similar(a, b) for a, b in zip(unpack("set_a"), unpack("set_b"))], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    made = materialised(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, found binary"))
-    side = lambda s: made.select(F.col("id").alias(s), F.col("found").alias(f"set_{s}"))
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("found").alias(f"set_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """id, comp (smallest id reachable) of all ids in ``links`` (a, b) and in ``known`` (id, comp), by alternating large
-    and small stars; every round is written to shared storage, so a lost executor repeats one round at most."""
-    edges = links if known is None else links.unionByName(known.where("id <> comp").select(
-        F.col("id").alias("a"), F.col("comp").alias("b")))
+def roots(parents: DataFrame) -> DataFrame:
+    """id, comp (the root of its tree) of a forest (a, b: its parent) without circles, by pointer jumping: the distance to
+    the root halves each round, and every round is written to shared storage."""
+    tree = materialised(parents.select(F.col("a").alias("id"), F.col("b").alias("comp")))
+    while True:
+        up = tree.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+        tree = materialised(tree.join(up, "comp", "left").select(
+            "id", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")))
+        if tree.where("moved").isEmpty():
+            return tree.select("id", "comp")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, comp (smallest id reachable) of all ids in ``edges`` (a, b), by alternating large and small stars; every round is
+    written to shared storage, so a lost executor repeats one round at most."""
     edges = materialised(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
@@ -231,21 +251,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = dealt(crowd.where("id <> pivot").groupBy("id", "pivot").agg(F.first("n").alias("n")))
     stars = stars.join(sizes, "pivot").where(fits(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     alive = materialised(_survivors(stars, reps).withColumn("o", F.xxhash64("b")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).where(F.col("id").isNotNull())
+    sets = materialised(full_sets(docs, crowd.select("id").distinct()))
 
-    # First each class with its first surviving pivot, then the other pivots, then whoever shares a bucket; each time
-    # only across components, since a link within one changes nothing.
+    # First each class with its first surviving pivot (which comes before it in the order, so the links are a forest),
+    # then the other pivots, then whoever shares a bucket; each time only across components, since a link within one
+    # changes nothing.
     best = alive.groupBy("a").agg(F.min(F.struct("o", "b")).alias("x")).select("a", "x.b")
-    comps = materialised(components(_verified(best, texts).unionByName(tied.select("a", "b"))))
+    comps = roots(_verified(best, sets))
 
     def across(pairs: DataFrame) -> DataFrame:
+        """The pairs between different components, with these as ``u`` and ``v``."""
         of = lambda s: comps.select(F.col("id").alias(s), F.col("comp").alias(f"comp_{s}"))
-        joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return joined.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
-
-    rest = materialised(across(alive.select("a", "b")))
-    if not rest.isEmpty():
-        comps = materialised(components(_verified(rest, texts), comps))
+        joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+            "a", "b", F.coalesce("comp_a", "a").alias("u"), F.coalesce("comp_b", "b").alias("v"))
+        return joined.where("u <> v")
+
+    def merged(links: DataFrame) -> DataFrame:
+        """The components after more links (a, b): those are drawn between components."""
+        drawn = materialised(across(links).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
+        if drawn.isEmpty():
+            return comps
+        more = components(drawn).select(F.col("id").alias("old"), F.col("comp").alias("new"))
+        known = comps.unionByName(more.select(F.col("old").alias("id"), F.col("old").alias("comp")).join(
+            comps.select("id"), "id", "left_anti"))
+        return materialised(known.join(more, F.col("comp") == F.col("old"), "left").select(
+            "id", F.coalesce("new", "comp").alias("comp")))
+
+    rest = materialised(across(alive.select("a", "b")).select("a", "b"))
+    comps = merged(_verified(rest, sets).unionByName(tied.select("a", "b")))
     placed = crowd.join(comps, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
     placed = materialised(placed)
     # A bucket's largest component needs no look at itself: only the others of a bucket meet all of its members.
@@ -258,13 +291,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = left.join(right, "key").where((F.col("cx") != F.col("cy")) & fits(F.col("nx"), F.col("ny"))).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = alive.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = materialised(_survivors(met.join(tried, ["a", "b"], "left_anti"), reps))
-    if not last.isEmpty():
-        comps = materialised(components(_verified(last, texts), comps))
-
-    of_class = classes.select("cls", "id").join(comps, "id", "left").select(
-        F.col("cls").alias("_cls"), F.coalesce("comp", "id").alias("comp"))
-    out = rows.join(of_class, rows["cls"] == of_class["_cls"], "left")
+    comps = merged(_verified(_survivors(met.join(tried, ["a", "b"], "left_anti"), reps), sets))
+
+    # A component is named by the smallest doc_id in it.
+    labelled = materialised(classes.select("cls", "id").join(comps, "id", "left").select(
+        F.col("cls").alias("_cls"), "id", F.coalesce("comp", "id").alias("label")))
+    names = labelled.groupBy("label").agg(F.min("id").alias("comp"))
+    of_class = labelled.join(dealt(names), "label").select("_cls", "comp")
+    out = rows.join(dealt(of_class), F.col("cls") == F.col("_cls"), "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
