@@ -1,9 +1,10 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
 Texts with equal words are one class. Class signatures are banded; within a band's bucket every class meets the bucket's
-first class, and classes that are still in different components meet each other. Candidate pairs compare their
-signatures batch by batch and are dropped as soon as the posterior chance of reaching the threshold falls below
-``MISS``; survivors are verified exactly on their full shingle sets. Components grow over the verified links only.
+first class. Classes of buckets that still hold several components then meet where they share one of the rare shingles
+that similar sets must share. Candidate pairs compare their signatures batch by batch and are dropped as soon as the
+posterior chance of reaching the threshold falls below ``MISS``; survivors are verified exactly on their full shingle
+sets. Components grow over the verified links only.
 """
 
 import math
@@ -26,6 +27,8 @@ BANDS, ROWS = 24, 5  # a pair at the threshold shares no band with a chance of (
 HASHES = BANDS * ROWS
 BATCH = 12  # signature positions compared at a time
 MISS = 1e-6  # chance, at the threshold or above, that a pair may be dropped by its signature
+CLASS_STEP = 1.03  # ratio of the size classes for which prefixes are told apart
+SLOTS, PAGE = 1 << 21, 1 << 16  # slots in which shingles are counted to order them, whatever the corpus
 CACHE_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0d]+")
@@ -185,6 +188,86 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _size_class(n: int) -> int:
+    return int(math.log(n) / math.log(CLASS_STEP) + 1e-9)
+
+
+def prefixes(found: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Keys of which two similar sets share at least one. A set's shingles are ordered from rare to frequent, alike for all
+    sets; two sets with the overlap that the threshold asks of their sizes must meet within the first size - overlap + 1
+    of either. There is a list of keys per size class of the partner; shingles that no other set has are left out."""
+    n = len(found)
+    if not n:
+        return []
+    seen = weight[(found % np.uint64(SLOTS)).astype(np.int64)]
+    order = np.lexsort((found, seen))
+    ranked, shared = found[order], seen[order] > 1
+    least, most = -(-n * NUMERATOR // DENOMINATOR), n * DENOMINATOR // NUMERATOR
+    own, keys = _size_class(n), []
+    for other in range(_size_class(least), _size_class(most) + 1):
+        smallest = max(least, math.floor(CLASS_STEP ** other) - 1)
+        overlap = -(-NUMERATOR * (n + smallest) // (NUMERATOR + DENOMINATOR))
+        first = ranked[:max(0, n - overlap + 1)][shared[:max(0, n - overlap + 1)]]
+        pair = np.array([min(own, other) * 4096 + max(own, other)], np.uint64)
+        keys.append(_mix(first + pair * _PLACES[0]))
+    return keys
+
+
+def _weights(sets: DataFrame) -> np.ndarray:
+    """How many of ``sets`` have a shingle in each of ``SLOTS`` slots; a table of fixed size, packed page by page."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = b"".join(batch.column(0).to_pylist())
+            slots, n = np.unique(np.frombuffer(packed, np.uint64) % np.uint64(SLOTS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((slots // PAGE).astype(np.int32)), pa.array((slots % PAGE).astype(np.int32)),
+                                              pa.array(n.astype(np.int64))], ["page", "slot", "n"])
+
+    def pack(page: pd.DataFrame) -> pd.DataFrame:
+        full = np.zeros(PAGE, "<u4")
+        full[page["slot"].to_numpy()] = np.minimum(page["n"].to_numpy(), 0xFFFFFFFF)
+        return pd.DataFrame({"page": [int(page["page"].iloc[0])], "full": [full.tobytes()]})
+    counts = sets.select("found").mapInArrow(count, "page int, slot int, n long").groupBy("page", "slot").agg(F.sum("n").alias("n"))
+    weight = np.zeros(SLOTS, np.uint32)
+    for row in counts.groupBy("page").applyInPandas(pack, "page int, full binary").collect():  # SLOTS / PAGE rows
+        weight[row["page"] * PAGE:(row["page"] + 1) * PAGE] = np.frombuffer(row["full"], "<u4")
+    return weight
+
+
+def _centrality(sets: DataFrame, weight: np.ndarray) -> DataFrame:
+    """id, o: the lower, the more frequent a set's shingles are among all. In a group of copies the one that the others were
+    made from comes first: it is like most of them, which two copies need not be to each other."""
+    logs = np.log2(1.0 + weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            o = [-float(logs[(x % np.uint64(SLOTS)).astype(np.int64)].mean()) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(o, pa.float64())], ["id", "o"])
+    return sets.select("id", "found").mapInArrow(run, "id long, o double").groupBy("id").agg(F.min("o").alias("o"))
+
+
+def _meetings(members: DataFrame, weight: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of ``members`` (id, comp, found) in different components that share a prefix key: among them are all
+    similar ones. Of the largest component at a key only the others look at it, so a crowd of linked copies costs nothing."""
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, comp, found in zip(*[batch.column(c).to_pylist() for c in ("id", "comp", "found")]):
+                keys = prefixes(np.frombuffer(found, np.uint64), weight)
+                keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), doc)), pa.array(np.full(len(keys), comp))],
+                        ["key", "id", "comp"])
+    spelt = materialised(members.select("id", "comp", "found").mapInArrow(spell, "key long, id long, comp long"))
+    shares = spelt.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    mixed = shares.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
+    placed = materialised(spelt.join(dealt(mixed.where("comps > 1").select("key", "main")), "key"))
+    left = placed.where("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
+    right = placed.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"))
+    return left.join(right, "key").where("cx <> cy").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def roots(parents: DataFrame) -> DataFrame:
     """id, comp (the root of its tree) of a forest (a, b: its parent) without circles, by pointer jumping: the distance to
     the root halves each round, and every round is written to shared storage."""
@@ -239,10 +322,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     members = reps.select("id", "n", F.explode(bands).alias("key"))
-    # Every bucket's first class, in one order for all bands, so that the buckets of a group of copies agree on it.
-    order = F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("id"))
-    buckets = members.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
-    crowd = materialised(members.join(dealt(buckets.select("key", F.col("first.id").alias("pivot"))), "key"))
+    crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    crowd = materialised(members.join(dealt(crowded), "key"))
+    sets = materialised(full_sets(docs, crowd.select("id").distinct()))
+    weight = _weights(sets)
+    # Every bucket's most central class, in one order for all bands, so that the buckets of a group of copies agree on it.
+    central = materialised(_centrality(sets, weight))
+    crowd = crowd.join(central, "id")
+    firsts = crowd.groupBy("key").agg(F.min(F.struct("o", "id")).alias("first"))
+    crowd = materialised(crowd.join(dealt(firsts.select("key", F.col("first.id").alias("pivot"))), "key"))
 
     def fits(n: Column, m: Column) -> Column:
         return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
@@ -250,8 +338,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = reps.select(F.col("id").alias("pivot"), F.col("n").alias("m"))
     stars = dealt(crowd.where("id <> pivot").groupBy("id", "pivot").agg(F.first("n").alias("n")))
     stars = stars.join(sizes, "pivot").where(fits(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    alive = materialised(_survivors(stars, reps).withColumn("o", F.xxhash64("b")))
-    sets = materialised(full_sets(docs, crowd.select("id").distinct()))
+    alive = materialised(_survivors(stars, reps).join(central.select(F.col("id").alias("b"), "o"), "b"))
 
     # First each class with its first surviving pivot (which comes before it in the order, so the links are a forest),
     # then the other pivots, then whoever shares a bucket; each time only across components, since a link within one
@@ -279,17 +366,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rest = materialised(across(alive.select("a", "b")).select("a", "b"))
     comps = merged(_verified(rest, sets).unionByName(tied.select("a", "b")))
-    placed = crowd.join(comps, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    placed = materialised(placed)
-    # A bucket's largest component needs no look at itself: only the others of a bucket meet all of its members.
-    shares = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = shares.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
-    mixed = dealt(mixed.where("comps > 1").select("key", "main"))
-    met_in = materialised(placed.join(mixed, "key"))
-    left = met_in.where("comp <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    right = met_in.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    met = left.join(right, "key").where((F.col("cx") != F.col("cy")) & fits(F.col("nx"), F.col("ny"))).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Members of buckets that hold several components by now.
+    placed = materialised(crowd.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    unsettled = placed.join(dealt(mixed), "key", "left_semi").select("id", "comp").distinct()
+    met = _meetings(sets.join(unsettled, "id"), weight)
     tried = alive.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     comps = merged(_verified(_survivors(met.join(tried, ["a", "b"], "left_anti"), reps), sets))
 
