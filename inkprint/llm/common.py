@@ -34,16 +34,21 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string")) % 4 == 2, F.lit(False))
 
 
-def running_totals(steps: Column) -> Column:
-    """Sum of all elements before each element of an array of longs, in linear time."""
-    count = F.size(steps)
-    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    add = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
-    sums = F.transform(numbers(F.ceil(count / _BLOCK).cast("int")), lambda b: add(F.slice(steps, b * _BLOCK + 1, _BLOCK)))
-    blocks = F.transform(sums, lambda s, b: F.struct(
-        add(F.slice(sums, F.lit(1), b)).alias("before"), F.slice(steps, b * _BLOCK + 1, _BLOCK).alias("part")))
-    return F.flatten(F.transform(blocks, lambda x: F.transform(
-        x["part"], lambda _, i: x["before"] + add(F.slice(x["part"], F.lit(1), i)))))
+def _sum(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def with_running_totals(df: DataFrame, steps: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of all elements before each element of the array of longs ``steps``. Sums of blocks come first,
+    in a column of their own, so the cost is linear."""
+    blocks = F.ceil(F.size(steps) / _BLOCK).cast("int")
+    numbers = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn(f"_sums_{name}", F.transform(numbers, lambda b: _sum(F.slice(steps, b * _BLOCK + 1, _BLOCK))))
+    parts = F.transform(f"_sums_{name}", lambda s, b: F.struct(
+        _sum(F.slice(f"_sums_{name}", F.lit(1), b)).alias("before"), F.slice(steps, b * _BLOCK + 1, _BLOCK).alias("part")))
+    totals = F.flatten(F.transform(parts, lambda x: F.transform(
+        x["part"], lambda _, i: x["before"] + _sum(F.slice(x["part"], F.lit(1), i)))))
+    return df.withColumn(name, totals).drop(f"_sums_{name}")
 
 
 def with_matches(df: DataFrame, found: dict[str, tuple[str, Column]], text: str = "_text") -> DataFrame:
@@ -64,12 +69,13 @@ def with_matches(df: DataFrame, found: dict[str, tuple[str, Column]], text: str
             h.alias("hit"), F.length(g).cast("long").alias("gap"), F.length(h).cast("long").alias("size")))
         df = df.withColumn(f"_pairs_{name}", pairs)
     for name in found:
-        df = df.withColumn(f"_before_{name}", running_totals(F.transform(f"_pairs_{name}", lambda p: p["gap"] + p["size"])))
+        df = df.withColumn(f"_steps_{name}", F.transform(f"_pairs_{name}", lambda p: p["gap"] + p["size"]))
+        df = with_running_totals(df, f"_steps_{name}", f"_before_{name}")
     for name in found:
         spans = F.zip_with(f"_pairs_{name}", f"_before_{name}", lambda p, b: F.struct(
             (b + p["gap"]).alias("start"), (b + p["gap"] + p["size"]).alias("end"), p["hit"].alias("hit")))
         df = df.withColumn(name, spans)
-    return df.drop(*[f"{p}{n}" for n in found for p in ("_on_", "_hits_", "_gaps_", "_pairs_", "_before_")])
+    return df.drop(*[f"{p}{n}" for n in found for p in ("_on_", "_hits_", "_gaps_", "_pairs_", "_steps_", "_before_")])
 
 
 def merged_spans(kinds: Sequence[str]) -> Column:

@@ -38,6 +38,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _GAP = r"[\x20\x09-\x0D]+"
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 REMOVED = "[TERM]"
+_TERM = r"^\p{L}{3,}$"
 
 
 def _digits(hit: Column) -> Column:
@@ -76,7 +77,7 @@ def _entity(kind: str, hit: Column) -> Column:
 def term_of(word: Column) -> Column:
     """A word's core: lower case, without punctuation around it; null if it is not of three letters or more."""
     core = F.lower(F.trim(word, F.lit(_PUNCTUATION)))
-    return F.when(core.rlike(r"^\p{L}{3,}$"), core)
+    return F.when(core.rlike(_TERM), core)
 
 
 def stem_of(term: Column) -> Column:
@@ -101,11 +102,12 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.drop("_text")
 
 
-def _contexts(text: str) -> Column:
-    """The text's words in runs of ``CONTEXT``, as an array of arrays."""
-    words = F.split(text, _GAP)
-    n = F.ceil(F.size(words) / CONTEXT).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(words, k * CONTEXT + 1, CONTEXT))
+def _contexts(texts: DataFrame) -> DataFrame:
+    """words: the words of ``_text`` in runs of ``CONTEXT``, a row each."""
+    split = texts.select(F.split("_text", _GAP).alias("_words"))
+    n = F.ceil(F.size("_words") / CONTEXT).cast("int")
+    return split.select(F.explode(F.transform(
+        F.sequence(F.lit(0), n - 1), lambda k: F.slice("_words", k * CONTEXT + 1, CONTEXT))).alias("words"))
 
 
 def _features(words: Column) -> Column:
@@ -114,10 +116,8 @@ def _features(words: Column) -> Column:
     return F.concat(terms, F.array_distinct(F.array_compact(F.transform(terms, stem_of))))
 
 
-def _entities(words: Column) -> Column:
-    """Distinct protected entities that lie inside a context."""
-    text = F.array_join(words, " ")
-
+def _entities(text: str) -> Column:
+    """Distinct protected entities that lie inside a context, given as text."""
     def one(kind: str) -> Column:
         hits = F.filter(F.regexp_extract_all(text, F.lit(ENGINE[kind]), F.lit(0)), lambda h: valid(kind, h))
         return F.transform(hits, lambda h: _entity(kind, h))
@@ -140,16 +140,17 @@ def _passes(term: Column, bits: Column) -> Column:
     return F.bit_get(F.element_at(bits, F.shiftright(place, 6).cast("int") + 1), (place % 64).cast("int")) == 1
 
 
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
+def disclosures(docs: DataFrame) -> DataFrame:
     """The terms and stems that reveal an entity: term, disclosure (the largest share of an entity's information).
 
-    ``found`` is ``base_spans`` of the same documents (the texts are read for its contexts and for counting). A context
-    counts once however often it is copied where it speaks for a disclosure; a term's own count takes all contexts, so
-    copies can only lower what it reveals. All counts cover all documents."""
-    some = found.where(" OR ".join(f"size({k}) > 0" for k in BASE_KINDS)).select(whole_text().alias("_text"))
-    contexts = some.select(F.explode(_contexts("_text")).alias("words")).select("words", _entities(F.col("words")).alias("entities"))
-    contexts = contexts.where(F.size("entities") > 0).groupBy(
-        F.xxhash64("words").alias("h1"), F.md5(F.array_join("words", " ")).alias("h2")).agg(
+    Entities are what the base patterns find inside single contexts. A context counts once however often it is copied
+    where it speaks for a disclosure; a term itself is counted wherever it occurs. Both can only lower what a term
+    reveals. All counts cover all documents; only words that may matter, told by a filter of fixed size, are shuffled."""
+    texts = docs.select(whole_text().alias("_text"))
+    some = texts.where(F.col("_text").rlike("[0-9@]") & F.col("_text").rlike("|".join(f"(?:{p})" for p in ENGINE.values())))
+    contexts = _contexts(some).withColumn("line", F.array_join("words", " "))
+    contexts = contexts.where(F.col("line").rlike("[0-9@]")).select("words", "line", _entities("line").alias("entities"))
+    contexts = contexts.where(F.size("entities") > 0).groupBy(F.md5("line").alias("h")).agg(
         F.first("entities").alias("entities"), F.first("words").alias("words"))
     contexts = materialised(contexts.select("entities", _features(F.col("words")).alias("terms")))
     entities = contexts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -158,20 +159,22 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_JOINT)
     pairs = materialised(dealt(pairs).join(dealt(entities), "entity"))
     bits = _filter_of(pairs.select("term").distinct())
-    all_contexts = docs.select(whole_text().alias("_text")).select(F.explode(_contexts("_text")).alias("words"))
-    words = all_contexts.select(F.explode(_features(F.col("words"))).alias("term")).where(_passes(F.col("term"), bits))
+    # Words are tried against the filter before they are tested for being terms: few pass.
+    cores = texts.select(F.explode(F.split("_text", _GAP)).alias("w")).select(F.lower(F.trim("w", F.lit(_PUNCTUATION))).alias("core"))
+    words = cores.select("core", F.explode(F.array(F.col("core"), stem_of(F.col("core")))).alias("term"))
+    words = words.where(F.col("term").isNotNull() & _passes(F.col("term"), bits)).where(F.col("core").rlike(_TERM))
     counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.select(F.ceil(F.size(F.split(whole_text(), _GAP)) / CONTEXT).alias("n")).agg(F.sum("n")).scalar()
+    total = texts.select(F.ceil(F.size(F.split("_text", _GAP)) / CONTEXT).alias("n")).agg(F.sum("n")).scalar()
     information = F.log2(total / F.col("n_entity"))
     shared = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
     return pairs.join(dealt(counts), "term").groupBy("term").agg(F.max(F.when(information > 0, shared / information)).alias(
         "disclosure"))
 
 
-def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
+def revealing(docs: DataFrame) -> DataFrame:
     """term, replacement, disclosure of the words to sanitise: replaced by their stem where that stays below
     ``DISCLOSURE``, by ``REMOVED`` otherwise."""
-    known = materialised(disclosures(docs, found))
+    known = materialised(disclosures(docs))
     high = known.where((F.col("disclosure") >= DISCLOSURE) & ~F.col("term").endswith("*")).withColumn("stem", stem_of(F.col("term")))
     stems = known.select(F.col("term").alias("stem"), F.col("disclosure").alias("stem_disclosure")).where(F.col("stem").endswith("*"))
     safe = F.col("stem").isNotNull() & (F.coalesce("stem_disclosure", F.lit(0.0)) < DISCLOSURE)
@@ -188,10 +191,9 @@ def find(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     based = base_spans(docs)
     kept = materialised(based.drop("text"))
-    # texts with a base span only: these carry the co-occurrence
-    terms = materialised(revealing(docs, based))
+    terms = materialised(revealing(docs))
     bits = _filter_of(terms.select("term"))
-    suspect = lambda w: F.coalesce(_passes(term_of(w), F.col("_bits")), F.lit(False))
+    suspect = lambda w: _passes(F.lower(F.trim(w, F.lit(_PUNCTUATION))), F.col("_bits"))
     texts = docs.select(*_text_key(), whole_text().alias("_text")).withColumn("_bits", bits)
     texts = texts.where(F.exists(F.split("_text", _GAP), suspect)).drop("_bits")
     words = with_matches(texts, {"word": (WORD, F.lit(True))}).withColumn("_bits", bits)
@@ -216,8 +218,7 @@ def digests(found: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """doc_id, text with every base match that passes its test replaced by its kind in brackets, kind after kind, and
     every revealing term by its replacement. A null text stays null."""
-    based = base_spans(docs.select("doc_id", "text"))
-    terms = materialised(revealing(docs.select("doc_id", "text"), based))
+    terms = materialised(revealing(docs.select("doc_id", "text")))
     return rewritten_texts(docs, terms)
 
 

@@ -49,7 +49,8 @@ def brute_terms(texts):
             total += 1
             terms = {core(w) for w in part} - {None}
             terms |= {t[:pii.STEM] + "*" for t in terms if len(t) >= pii.STEM_FROM}
-            n_term.update(terms)
+            found = [core(w) for w in part if core(w)]
+            n_term.update(found + [t[:pii.STEM] + "*" for t in found if len(t) >= pii.STEM_FROM])
             joined = " ".join(part)
             entities = set()
             for k, p in pii.PATTERNS.items():
