@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from inkprint.llm.common import held_out, whole_text
 from inkprint.llm.quality import training_rows
 
-FIT_ROWS = 12_000  # labelled documents the network is fit on, in expectation
+FIT_ROWS = 8_000  # labelled documents the network is fit on, in expectation
 FIT_WORDS = 1_000  # longer documents are left to scoring: they would only slow the fit
 CUTOFF = 0.3  # of the registered decision
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
@@ -52,7 +52,7 @@ def buckets(found: list[str]) -> np.ndarray:
             stem, at = crc(w[at:n], stem), n
             row.append((stem ^ 0x5BD1E995) % BUCKETS)
         rows.append(row + [PAD] * (1 + len(STEMS) - len(row)))
-    return np.array(rows, np.int64).reshape(-1, 1 + len(STEMS))
+    return np.array(rows, np.int32).reshape(-1, 1 + len(STEMS))
 
 
 class Words:
@@ -165,15 +165,17 @@ def fit_network(docs: list[np.ndarray], y: np.ndarray) -> Model:
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     reach = max(WIDTHS) - 1
     wide = 1 + len(STEMS)
-    padded = [np.vstack([d, np.full((reach + (len(d) == 0), wide), PAD)]) for d in docs]
-    batches = max(1, len(padded) // BATCH)
+    pads = [np.full((n, wide), PAD, np.int32) for n in (reach, reach + 1)]
+    batches = max(1, len(docs) // BATCH)
     epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 1e-3
-        order = rng.permutation(len(padded))
+        order = rng.permutation(len(docs))
         for batch in np.array_split(order, batches):
-            ids = np.concatenate([padded[i] for i in batch])
-            sizes = np.array([len(padded[i]) for i in batch])
+            # every document is followed by padding, an empty one also stands on some
+            padded = [x for i in batch for x in (docs[i], pads[len(docs[i]) == 0])]
+            ids = np.concatenate(padded).astype(np.int64)
+            sizes = np.array([len(a) + len(b) for a, b in zip(padded[::2], padded[1::2])])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             x = np.vstack([e[ids].sum(1), np.zeros((reach, DIM))])
             n, winners, top = len(ids), [], []
@@ -216,8 +218,8 @@ def fit_network(docs: list[np.ndarray], y: np.ndarray) -> Model:
 
 
 def calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, least: int = 20) -> None:
-    """Set each language's threshold where the F1 of class 1 is highest on documents kept out of the fit, in the middle
-    of the gap there; a language with fewer than ``least`` documents of class 1 takes the one of all together."""
+    """Set each language's threshold where the F1 of class 1 is highest on documents kept out of the fit, a quarter down
+    the gap there; a language with fewer than ``least`` documents of class 1 takes the one of all together."""
     judged = [model.judge(d) for d in docs]
     z, langs = np.array([j[0] for j in judged]), np.array([j[1] for j in judged])
 
@@ -227,7 +229,7 @@ def calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, least: int =
         f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
         i = int(f1.argmax())
         ahead = z[order][i + 1] if i + 1 < len(z) else z[order][i] - 1
-        return float(np.clip((z[order][i] + ahead) / 2, -4, 4))
+        return float(np.clip(0.75 * z[order][i] + 0.25 * ahead, -4, 4))
     if not y.any():
         return
     common = best(z, y)
