@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.operators.stats import auroc, exact_median, melt
+from inkprint.session import null_safe_join
 
 # The nine stable features, the warning level, and the documented reading bands of the score.
 STABLE_FEATURES = [
@@ -168,7 +169,7 @@ def score_summary(df: DataFrame, by: list[str], score: str = "hbd") -> DataFrame
     """n, mean, exact median and population standard deviation of the score per group."""
     basic = df.groupBy(*by).agg(
         F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
-    return basic.join(exact_median(df, by, score), by)
+    return null_safe_join(basic, exact_median(df, by, score), by, "left")
 
 
 def standardise_check(df: DataFrame, baseline: Baseline) -> DataFrame:

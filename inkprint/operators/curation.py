@@ -59,9 +59,11 @@ def problem_catalogue(df: DataFrame, n: int, order: list[str], kind: str = "PROG
 
 
 def candidate_dedup(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row per key; Spark keeps one row per key and task before the shuffle."""
-    first = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_seen", F.row_number().over(first)).where(F.col("_seen") == 1).drop("_seen")
+    """First row per key. Keys are compared by a 128-bit hash, so long texts among them are neither shuffled nor sorted for
+    it; Spark keeps one row per key and task before the shuffle. NULL keys equal each other."""
+    key = F.md5(F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])))
+    first = W.partitionBy("_key").orderBy(*order)
+    return df.withColumn("_key", key).withColumn("_seen", F.row_number().over(first)).where(F.col("_seen") == 1).drop("_seen", "_key")
 
 
 def problem_key_variants(df: DataFrame, problem_id: str = "problem_id") -> DataFrame:
@@ -82,11 +84,11 @@ def match_problem_files(problems: DataFrame, files: DataFrame, problem_id: str =
 
 
 def cap_per_problem(candidates: DataFrame, problem_id: str, order: list[str], cap: int = SOLUTIONS_PER_PROBLEM,
-                    have: DataFrame | None = None, usable: Column | None = None) -> DataFrame:
+                    have: DataFrame | None = None, usable: Column | None = None, tries: int = 3) -> DataFrame:
     """Up to ``cap`` rows per problem in order, less what ``have`` (problem, have) already holds. Only the first
-    ``3 * cap`` candidates are tried; those failing ``usable`` are passed over."""
+    ``tries * cap`` candidates are tried; those failing ``usable`` are passed over."""
     in_order = W.partitionBy(problem_id).orderBy(*order)
-    tried = candidates.withColumn("_try", F.row_number().over(in_order)).where(F.col("_try") <= 3 * cap)
+    tried = candidates.withColumn("_try", F.row_number().over(in_order)).where(F.col("_try") <= tries * cap)
     if usable is not None:
         tried = tried.where(usable)
     room = F.lit(cap)
@@ -131,11 +133,17 @@ def compose_code(prompt: Column, body: Column) -> Column:
 
 
 def pair_by_problem(human: DataFrame, ai: DataFrame, problem_id: str, ai_order: str) -> DataFrame:
-    """Link every human row to its problem's AI side: how many AI rows there are and the first of them. One output
-    row per human row of a problem that has AI rows, so a crowded problem never multiplies."""
-    ai_side = ai.groupBy(problem_id).agg(F.count("*").alias("n_ai"), F.min(ai_order).alias("first_ai"))
-    humans = human.groupBy(problem_id).agg(F.count("*").alias("n_human"))
-    return join_hot_safe(human, ai_side.join(humans, problem_id), problem_id, "n_human")
+    """Both sides of every problem, stacked: all rows of both, with ``side`` (human or ai), how many rows the problem has on
+    either side (``n_human``, ``n_ai``), the first AI row by ``ai_order`` (``first_ai``), and ``paired`` (both sides have
+    rows). One output row per input row, so a crowded problem never multiplies and no row is lost."""
+    side = lambda df, name: df.withColumn("side", F.lit(name))
+    rows = side(human, "human").unionByName(side(ai, "ai"), allowMissingColumns=True)
+    is_ai = F.col("side") == "ai"
+    sizes = rows.groupBy(problem_id).agg(
+        F.count_if(~is_ai).alias("n_human"), F.count_if(is_ai).alias("n_ai"),
+        F.min(F.when(is_ai, F.col(ai_order))).alias("first_ai"), F.count("*").alias("_rows"))
+    joined = join_hot_safe(rows, sizes, problem_id, "_rows").drop("_rows")
+    return joined.withColumn("paired", (F.col("n_human") > 0) & (F.col("n_ai") > 0))
 
 
 def first_member(members: Column) -> Column:
@@ -145,5 +153,7 @@ def first_member(members: Column) -> Column:
 
 def epoch_iso(seconds: Column) -> Column:
     """Epoch seconds as ISO-8601 UTC text, whatever the session time zone."""
-    instant = F.timestamp_add("SECOND", seconds.cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    whole = F.floor(seconds)
+    day = F.timestamp_add("DAY", F.floor(whole / 86_400).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    instant = F.timestamp_add("SECOND", F.pmod(whole, F.lit(86_400)).cast("int"), day)
     return F.concat(F.replace(instant.cast("string"), F.lit(" "), F.lit("T")), F.lit("+00:00"))

@@ -3,10 +3,12 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprint.operators.metrics import confusion_counts
 from inkprint.operators.stats import anova_f, significance_flag
+from inkprint.session import null_safe_join
 
 MIN_RATE = 0.01  # fixed value: pairs below this rate are not listed
 MAX_CLASSES = 4000  # linkage holds a classes x classes matrix per slice
@@ -19,8 +21,9 @@ def derive_class(df: DataFrame, generator: str = "generator") -> DataFrame:
 
 def index_classes(df: DataFrame, column: str = "class") -> DataFrame:
     """(class, class_index): classes numbered in alphabetical order from 0; one row per class."""
-    names = df.agg(F.sort_array(F.collect_set(column)).alias("names"))
-    return names.select(F.posexplode("names").alias("class_index", "class"))
+    names = df.where(F.col(column).isNotNull()).select(F.col(column).alias("class")).distinct()
+    place = F.row_number().over(W.orderBy("class")) - 1  # over one row per class
+    return names.select(place.alias("class_index"), "class")
 
 
 def confusion_rates(df: DataFrame, by: list[str] | None = None, label: str = "label",
@@ -32,7 +35,7 @@ def confusion_rates(df: DataFrame, by: list[str] | None = None, label: str = "la
     counts = confusion_counts(df, by, label, prediction)
     sizes = counts.groupBy(*by, "label").agg(F.sum("n").alias("_size"))
     rate = F.when(c("label") == c("prediction"), F.lit(0.0)).otherwise(c("n") / c("_size"))
-    return counts.join(sizes, [*by, "label"]).select(
+    return null_safe_join(counts, sizes, [*by, "label"]).select(
         *by, c("label").alias("true_class"), c("prediction").alias("pred_class"), "n", rate.alias("rate"))
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkprint.session import null_safe_join
+
 
 def confusion_counts(df: DataFrame, by: list[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
     return df.groupBy(*by, F.col(label).cast("string").alias("label"),
@@ -62,5 +64,5 @@ def best_model(scores: DataFrame, by: list[str] | None = None, name: str = "mode
     """The name with the highest score (the first name where scores are equal)."""
     by = by or []
     best = scores.groupBy(*by).agg(F.max(score).alias("best_score"))
-    named = scores.join(best, by) if by else scores.withColumn("best_score", best.scalar())
+    named = null_safe_join(scores, best, by) if by else scores.withColumn("best_score", best.scalar())
     return named.where(F.col(score) == F.col("best_score")).groupBy(*by, "best_score").agg(F.min(name).alias("best"))

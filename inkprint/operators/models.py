@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from inkprint.operators.metrics import classification_metrics
 from inkprint.operators.profile import zero_fill
-from inkprint.operators.sampling import cap_per_class
+from inkprint.operators.sampling import balance_classes, cap_per_class
+from inkprint.session import materialised
 
 Recipe = Callable[[int], Estimator]
 SEED = 42
-MAX_FOLDS = 1000
 
 
 def logreg(max_iter: int = 1000, c: float = 1.0) -> Recipe:
@@ -64,28 +64,31 @@ def predict(model, df: DataFrame, features: list[str], label: str = "label") ->
 
 
 def cv_predictions(df: DataFrame, features: list[str], recipe: Recipe, fold: str = "fold", label: str = "label",
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 4, in_fit: str | None = None) -> DataFrame:
     """Pooled out-of-fold predictions: every row is predicted by a model that saw none of its fold.
 
-    Fits of different folds are independent and run side by side, each one a distributed Spark ML job. For many
-    groups, hash them into k folds first (``group_folds(df, group, k)``)."""
-    data = assemble(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {r[fold]: r["count"] for r in data.groupBy(fold).count().limit(MAX_FOLDS + 1).collect()}
-    if len(sizes) > MAX_FOLDS:
-        raise ValueError(f"more than {MAX_FOLDS} folds; group them into fewer")
+    Fits of different folds are independent and run side by side, each one a distributed Spark ML job; there is one per
+    fold, so hash many groups into k folds first (``group_folds(df, group, k)``). ``in_fit`` names a boolean column that
+    bounds the rows models are fit on; all rows are predicted. Rows with a NULL fold are a fold of their own. Without a
+    training side (one fold, or no rows) there are no predictions. The vectors are written once, to shared storage."""
+    data = materialised(assemble(df, features, label))
+    usable = F.lit(True) if in_fit is None else F.coalesce(F.col(in_fit), F.lit(False))
+    sizes = {r[fold]: r["n"] for r in data.groupBy(fold).agg(F.count_if(usable).alias("n")).collect()}
     total = sum(sizes.values())
 
     def one(value) -> DataFrame | None:
         rest = total - sizes[value]
         if rest == 0:
             return None
-        train = data.where(F.col(fold) != value)
-        return recipe(rest).fit(train).transform(data.where(F.col(fold) == value))
+        own = F.col(fold).eqNullSafe(F.lit(value))
+        return recipe(rest).fit(data.where(~own & usable)).transform(data.where(own))
 
     with ThreadPool(max(1, min(parallelism, len(sizes)))) as pool:
-        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), sorted(sizes))
-    parts = [p.drop("features", "scaled", "rawPrediction", "probability", "label_index") for p in parts if p is not None]
-    return reduce(DataFrame.unionByName, parts)
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), sorted(sizes, key=lambda v: (v is not None, v)))
+    drop = ["features", "scaled", "rawPrediction", "probability", "label_index"]
+    parts = [p.drop(*drop) for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else data.drop(*drop).withColumn(
+        "prediction", F.lit(None).cast("double")).limit(0)
 
 
 def feature_importance(model, features: list[str], df: DataFrame) -> DataFrame:
@@ -97,11 +100,18 @@ def feature_importance(model, features: list[str], df: DataFrame) -> DataFrame:
 
 def cross_corpus_eval(trains: dict[str, DataFrame], tests: dict[str, DataFrame], feature_sets: dict[str, list[str]],
                       recipe: Recipe, label: str = "label", id_col: str = "sample_id",
-                      cap: int | None = 50_000) -> DataFrame:
-    """Train on each corpus, test on each other one, for each feature set: macro-F1 and accuracy per combination."""
+                      cap: int | None = 50_000, balanced: bool = False) -> DataFrame:
+    """Train on each corpus, test on each other one, for each feature set: macro-F1 and accuracy per combination.
+
+    ``cap`` bounds the rows per class that a model is fit on (None: all of them); ``balanced`` also cuts the classes to
+    the same size. Every row of every test corpus is predicted. A training set is written once for all its fits."""
     results = []
     for train_name, train in trains.items():
-        capped = train if cap is None else cap_per_class(train, [label], id_col, cap)
+        if balanced:
+            train = balance_classes(train, label, id_col, cap)
+        elif cap is not None:
+            train = cap_per_class(train, [label], id_col, cap)
+        capped = materialised(train)
         for set_name, features in feature_sets.items():
             model = fit(capped, features, recipe, label)
             for test_name, test in tests.items():

@@ -3,19 +3,21 @@
 A sample is "the n rows with the smallest ``md5(seed:id)``", so it does not depend on partitioning, retries or
 engine. Ranks are found in two steps: rows are counted per hash prefix (a small table that is summed up), then ranked
 inside their prefix only. A class may hold any share of the rows: its work is spread over its 65,536 prefixes.
-Grouping columns must not be NULL.
+Rows with a NULL class form a class of their own; rows with a NULL id are hashed like one id and none of them is lost.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkprint.session import null_safe_join
+
 SEED = 42
 _PREFIX = 4  # hex digits
 
 
 def sample_hash(id_col: str, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("no id"))))
 
 
 def _hashed(df: DataFrame, by: list[str], id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -34,13 +36,13 @@ def hash_rank(df: DataFrame, by: list[str], id_col: str, seed: int = SEED, limit
     df = df if by else df.withColumn("_all", F.lit(0))
     hashed, sizes = _hashed(df, keys, id_col, seed)
     if limits is not None:
-        sizes = sizes.join(limits, keys)
+        sizes = null_safe_join(sizes, limits, keys)
         limit = F.col("_limit")
     if limit is not None:
         bound = limit if isinstance(limit, Column) else F.lit(limit)
         sizes = sizes.where(F.col("_offset") < bound)
     inside = W.partitionBy(*keys, "_prefix").orderBy("_hash", id_col)
-    ranked = hashed.join(sizes, [*keys, "_prefix"]).withColumn(
+    ranked = null_safe_join(hashed, sizes, [*keys, "_prefix"]).withColumn(
         "hash_rank", F.col("_offset") + F.row_number().over(inside))
     if limit is not None:
         ranked = ranked.where(F.col("hash_rank") <= bound)
@@ -59,6 +61,14 @@ def cap_per_class(df: DataFrame, by: list[str], id_col: str, cap: int) -> DataFr
     return hash_rank(df, by, id_col, limit=cap).drop("hash_rank")
 
 
+def mark_capped(df: DataFrame, by: list[str], id_col: str, cap: int | None, name: str = "in_fit") -> DataFrame:
+    """Append ``name``: whether the row is among the first ``cap`` of its class (all are, where ``cap`` is None). Marks the
+    rows a model may be fit on; none is dropped."""
+    if cap is None:
+        return df.withColumn(name, F.lit(True))
+    return hash_rank(df, by, id_col).withColumn(name, F.col("hash_rank") <= cap).drop("hash_rank")
+
+
 def simple_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """``n`` rows without replacement."""
     return hash_rank(df, [], id_col, limit=n).drop("hash_rank")
@@ -70,8 +80,9 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5) -> Data
 
 
 def group_folds(df: DataFrame, group: str, k: int | None = None) -> DataFrame:
-    """Append ``fold`` so that no group is split. Without ``k`` every group is its own fold (leave one group out);
-    with ``k`` groups are hashed into k folds. A table with one group has no training side and gives no rows."""
+    """Append ``fold`` so that no group is split. Without ``k`` every group is its own fold (leave one group out), which
+    suits reports; model evaluation fits one model per fold, so pass ``k`` there: groups are hashed into k folds. A table
+    with one group has no training side and gives no rows."""
     fold = F.col(group) if k is None else F.conv(F.substring(sample_hash(group), 1, 8), 16, 10).cast("long") % k
     groups = df.select(F.min(group).alias("lo"), F.max(group).alias("hi"))
     several = groups.select(F.col("lo") < F.col("hi")).scalar()

@@ -3,8 +3,9 @@
 Rank statistics read a *value histogram*: the rows collapsed to (keys, value, n0, n1). Cumulative counts over it are
 taken in two levels. Every value belongs to an order-preserving bucket computed from the value alone; counts are
 accumulated inside a bucket in parallel, and the small table of bucket totals supplies the offsets. A bucket with very
-many distinct values is cut further into equal steps between its own minimum and maximum. So one feature is spread
-over thousands of tasks wherever its values lie, ties are collapsed before any shuffle, and no sort is global.
+many distinct values is cut further at its own quantiles. So one feature is spread over thousands of tasks wherever
+its values lie, ties are collapsed before any shuffle, and no sort is global. The histogram is written once and read by
+every later pass. NULL keys are keys like any others.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprint.functions.tails import anova_p, normal_two_sided
+from inkprint.session import materialised, null_safe_join
 
 _STEPS = 4096  # buckets per power of two
 HOT_BUCKET = 1_000_000  # distinct values from which a bucket is cut further
+_CUTS = 255  # quantiles at which a crowded bucket is cut
 
 
 def order_bucket(value: Column) -> Column:
@@ -49,22 +52,18 @@ def value_histogram(df: DataFrame, keys: list[str], value: str, side: Column) ->
 
 
 def split_hot(hist: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame:
-    """Append ``part``: 0, or the step of the value inside a bucket with more than ``hot`` distinct values. The steps
-    are a rounded but never decreasing function of the value, so parts keep the order. The table of such buckets has
-    at most (distinct values / hot) rows and is the only thing broadcast."""
+    """Append ``part`` to a written histogram: 0, or the place of the value among the quantiles of a bucket with more than
+    ``hot`` distinct values. Parts keep the order of the values, and wherever those cluster, no part holds many more than
+    a 256th of its bucket."""
     hot = hot or HOT_BUCKET
-    c = F.col
-    # Reading the counts as well (a bucket has at least as many rows as values) keeps this branch's histogram the same
-    # plan as the main branch's, so Spark builds and shuffles it once for both.
-    rows = sum((F.sum(n) for n in ("n0", "n1") if n in hist.columns), F.lit(0))
-    crowded = hist.groupBy(*keys, "bucket").agg(
-        F.count("*").alias("_distinct"), F.min("value").alias("_low"), F.max("value").alias("_high"), rows.alias("_rows")
-    ).where((c("_distinct") > hot) & (c("_rows") >= c("_distinct")) & (c("_high") < float("inf"))
-            & (c("_low") > -float("inf")))
-    steps = F.ceil(c("_distinct") / F.lit(hot)) * 4
-    part = F.floor((c("value") - c("_low")) / (c("_high") - c("_low")) * steps)
-    return hist.join(F.broadcast(crowded), [*keys, "bucket"], "left").withColumn(
-        "part", F.coalesce(part, F.lit(0))).drop("_distinct", "_low", "_high", "_rows")
+    crowded = hist.groupBy(*keys, "bucket").agg(F.count("*").alias("_distinct")).where(F.col("_distinct") > hot)
+    if crowded.isEmpty():
+        return hist.withColumn("part", F.lit(0))
+    cuts = F.percentile_approx("value", [i / (_CUTS + 1) for i in range(1, _CUTS + 1)], 20 * _CUTS).alias("_cuts")
+    inside = null_safe_join(hist, crowded.drop("_distinct"), [*keys, "bucket"])
+    marked = null_safe_join(hist, inside.groupBy(*keys, "bucket").agg(cuts), [*keys, "bucket"], "left")
+    part = F.size(F.filter("_cuts", lambda x: x < F.col("value")))
+    return marked.withColumn("part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
 
 
 _CELL = ["bucket", "part"]
@@ -75,7 +74,7 @@ def _earlier(keys: list[str]):
 
 
 def rank_counts(hist: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame:
-    """Per key: ``n0``, ``n1``, ``u1`` (pairs in which side 1 is larger, ties half) and ``ties`` = sum(t^3 - t)."""
+    """From a written histogram, per key: ``n0``, ``n1``, ``u1`` (pairs in which side 1 is larger, ties half) and ``ties`` = sum(t^3 - t)."""
     before = W.partitionBy(*keys, *_CELL).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     d = lambda name: F.col(name).cast("double")
     tied = d("n0") + d("n1")
@@ -97,7 +96,8 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, side: Column) -> Da
     """Two-sided rank-sum test of side 0 against side 1 per key: ``u0``, ``u1``, tie- and continuity-corrected
     ``z`` and ``p_value``. Where all values are equal, z is 0 and p is 1."""
     c = F.col
-    counts = rank_counts(value_histogram(df, keys, value, side), keys).where((c("n0") > 0) & (c("n1") > 0))
+    hist = materialised(value_histogram(df, keys, value, side))
+    counts = rank_counts(hist, keys).where((c("n0") > 0) & (c("n1") > 0))
     pairs = c("n0").cast("double") * c("n1")
     n = (c("n0") + c("n1")).cast("double")
     spread = pairs / 12.0 * ((n + 1.0) - c("ties") / F.nullif(n * (n - 1.0), F.lit(0.0)))
@@ -112,9 +112,12 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, side: Column) -> Da
 def auroc(df: DataFrame, keys: list[str], score: str, label: Column, overall: str | None = None) -> DataFrame:
     """Area under the ROC curve of ``score`` for label 1, per key; ties count half. ``overall`` adds one row over
     all rows, named so in the first key."""
-    if overall is not None:
-        df = df.withColumn(keys[0], F.explode(F.array(F.col(keys[0]).cast("string"), F.lit(overall))))
-    counts = rank_counts(value_histogram(df, keys, score, label), keys)
+    hist = materialised(value_histogram(df, keys, score, label))
+    if overall is not None:  # the overall row adds the keys' histograms up
+        rest = keys[1:]
+        whole = hist.groupBy(*rest, "bucket", "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        hist = hist.withColumn(keys[0], F.col(keys[0]).cast("string")).unionByName(whole.withColumn(keys[0], F.lit(overall)))
+    counts = rank_counts(hist, keys)
     pairs = F.col("n0").cast("double") * F.col("n1")
     return counts.select(*keys, "n0", "n1", (F.col("u1") / F.nullif(pairs, F.lit(0.0))).alias("auroc"))
 
@@ -122,7 +125,7 @@ def auroc(df: DataFrame, keys: list[str], score: str, label: Column, overall: st
 def wasserstein(df: DataFrame, keys: list[str], value: str, side: Column, hot: int | None = None) -> DataFrame:
     """First Wasserstein distance between the values of side 0 and side 1, per key."""
     c = F.col
-    hist = split_hot(value_histogram(df, keys, value, side), keys, hot)
+    hist = split_hot(materialised(value_histogram(df, keys, value, side)), keys, hot)
     all_of = W.partitionBy(*keys)
     cells = hist.groupBy(*keys, *_CELL).agg(
         F.sum("n0").alias("_n0"), F.sum("n1").alias("_n1"), F.min("value").alias("_first"))
@@ -135,7 +138,7 @@ def wasserstein(df: DataFrame, keys: list[str], value: str, side: Column, hot: i
     ).where((c("_t0") > 0) & (c("_t1") > 0))
     inside = W.partitionBy(*keys, *_CELL).orderBy("value")
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
-    gaps = hist.join(cells, [*keys, *_CELL]).select(
+    gaps = null_safe_join(hist, cells, [*keys, *_CELL]).select(
         *keys,
         (F.coalesce(F.lead("value").over(inside), c("_next")) - c("value")).alias("_gap"),
         F.abs((c("_o0") + F.sum("n0").over(so_far)) / c("_t0")
@@ -145,20 +148,26 @@ def wasserstein(df: DataFrame, keys: list[str], value: str, side: Column, hot: i
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median", hot: int | None = None) -> DataFrame:
-    """Exact median per key. Bucket totals locate the one or two buckets holding the middle ranks; only their rows
-    are ordered."""
+    """Exact median per key. Row counts per bucket locate the one or two buckets that hold the middle ranks; values are
+    told apart and ordered in those buckets only. The keys and values are written once for both passes."""
     c = F.col
-    hist = split_hot(value_histogram(df, keys, value, F.lit(0)).drop("n1"), keys, hot)
-    cells = hist.groupBy(*keys, *_CELL).agg(F.sum("n0").alias("_n"))
-    cells = cells.select(
-        *keys, *_CELL, "_n",
-        F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
-    )
+    x = c(value).cast("double") + 0.0
+    rows = materialised(df.select(*keys, F.when(~F.isnan(x), x).alias("value")).where(c("value").isNotNull()).withColumn(
+        "bucket", order_bucket(c("value"))))
+    sums = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*keys, "bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                       F.sum("_n").over(W.partitionBy(*keys)).alias("_total"))
     low, high = F.floor((c("_total") - 1) / 2), F.ceil((c("_total") - 1) / 2)
-    wanted = cells.where((c("_total") > 0) & (c("_offset") <= high) & (c("_offset") + c("_n") > low))
+    wanted = sums.where((c("_offset") <= high) & (c("_offset") + c("_n") > low)).drop("_n")
+    near = null_safe_join(rows, wanted, [*keys, "bucket"])
+    hist = split_hot(materialised(near.groupBy(*keys, "bucket", "value", "_offset", "_total").agg(F.count("*").alias("n0"))), keys, hot)
+    cells = hist.groupBy(*keys, *_CELL).agg(F.sum("n0").alias("_m"))
+    within = W.partitionBy(*keys, "bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("_earlier", F.coalesce(F.sum("_m").over(within), F.lit(0))).drop("_m")
     upto = W.partitionBy(*keys, *_CELL).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    placed = hist.join(wanted, [*keys, *_CELL]).withColumn("_upto", c("_offset") + F.sum("n0").over(upto))
+    placed = null_safe_join(hist, cells, [*keys, *_CELL]).withColumn(
+        "_upto", c("_offset") + c("_earlier") + F.sum("n0").over(upto))
     middle = lambda rank: F.min(F.when(c("_upto") > rank, c("value")))
     return placed.groupBy(*keys).agg(((middle(low) + middle(high)) / 2.0).alias(name))
 

@@ -1,5 +1,7 @@
 """Whole studies: what a user calls on a corpus."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +12,14 @@ from inkprint.operators.baseline import STABLE_FEATURES, fit_baseline, hbd_score
 from inkprint.operators.curation import drop_blank
 from inkprint.operators.fingerprint import (
     average_linkage, confused_pairs, confusion_rates, derive_class, discriminating_features, index_classes)
-from inkprint.operators.metrics import class_report, classification_metrics
-from inkprint.operators.models import Recipe, cross_corpus_eval, cv_predictions, random_forest
+from inkprint.operators.metrics import best_model, class_report, classification_metrics, cv_scores
+from inkprint.operators.models import (
+    Recipe, cross_corpus_eval, cv_predictions, feature_importance, fit, random_forest, subset_lift)
 from inkprint.operators.profile import code_length_stats, corpus_balance, value_counts
-from inkprint.operators.sampling import cap_per_class, stratified_folds, union_corpora
-from inkprint.operators.stats import shift_report, signal_table
+from inkprint.operators.sampling import (
+    cap_per_class, group_folds, hash_rank, mark_capped, stratified_folds, union_corpora)
+from inkprint.operators.stats import (
+    anova_f, overlap_zone, shift_report, signal_table, stable_conflict_features, top_features)
 from inkprint.session import materialised, spread
 
 
@@ -50,45 +55,90 @@ def corpus_report(df: DataFrame, columns: list[str], code: str = "code", label:
         counts).select("section", "item", "value")
 
 
-def forensics(first: DataFrame, second: DataFrame, features: list[str], recipe: Recipe = random_forest(),
-              id_col: str = "sample_id", cap: int = 50_000) -> tuple[DataFrame, DataFrame | None]:
-    """Shift report of two corpora, and transfer from the first to the second on all versus stable features (None
-    where no feature is stable)."""
-    report = shift_report(first, second, features)
+def transfer(first: DataFrame, second: DataFrame, report: DataFrame, features: list[str], recipe: Recipe = random_forest(),
+             id_col: str = "sample_id", cap: int | None = 50_000) -> DataFrame:
+    """Transfer from the first corpus to the second on all features, and on the stable ones of a shift report if there are
+    any. ``cap`` bounds the rows per class that are fit; all rows of the second corpus are predicted."""
     stable = [r["feature"] for r in report.where(F.col("kind") == "stable").select("feature").collect()]
-    if not stable:
-        return report, None
-    return report, cross_corpus_eval(
-        {"first": first}, {"second": second}, {"all": features, "stable": sorted(stable)}, recipe, id_col=id_col, cap=cap)
+    sets = {"all": features} | ({"stable": sorted(stable)} if stable else {})
+    return cross_corpus_eval({"first": first}, {"second": second}, sets, recipe, id_col=id_col, cap=cap)
+
+
+def forensics(first: DataFrame, second: DataFrame, features: list[str], recipe: Recipe = random_forest(),
+              id_col: str = "sample_id", cap: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(shift report of two corpora, transfer from the first to the second on all versus stable features)."""
+    report = materialised(shift_report(first, second, features))
+    return report, transfer(first, second, report, features, recipe, id_col, cap)
+
+
+def model_comparison(matrix: DataFrame, features: list[str], recipes: dict[str, Recipe], label: str = "label",
+                     id_col: str = "sample_id", k: int = 5, group: str | None = None,
+                     importance: str | None = None) -> dict[str, DataFrame]:
+    """Several recipes on the same folds: ``predictions`` pooled over folds with their ``model``, ``scores`` (mean and
+    deviation over folds), ``pooled`` metrics, the ``best`` model by mean macro-F1, and the feature ``importance`` of the
+    tree recipe named so, fit on all rows. With ``group`` no group is split between folds."""
+    folds = materialised(group_folds(matrix, group, k) if group else stratified_folds(matrix, label, id_col, k))
+    parts = [cv_predictions(folds, features, recipe, label=label).withColumn("model", F.lit(name)) for name, recipe in recipes.items()]
+    pooled = materialised(reduce(DataFrame.unionByName, parts).withColumn("prediction", F.col("prediction").cast("int")))
+    scores = cv_scores(pooled, by=["model"], label=label)
+    result = {"predictions": pooled, "scores": scores, "pooled": classification_metrics(pooled, ["model"], label),
+              "best": best_model(scores, score="f1_mean")}
+    if importance is not None:
+        result["importance"] = feature_importance(fit(folds, features, recipes[importance], label), features, folds)
+    return result
+
+
+def third_corpus_validation(first: DataFrame, second: DataFrame, third: DataFrame, features: list[str],
+                            recipe: Recipe = random_forest(), id_col: str = "sample_id",
+                            cap: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
+    """Features that are stable between two corpora, put to the test on an unseen third: (results of three training sets
+    and both feature sets, gain of the stable features per training set). Without stable features only all are tried."""
+    kinds = stable_conflict_features(first, second, features)
+    stable = sorted(r["feature"] for r in kinds.where(F.col("kind") == "stable").select("feature").collect())
+    sets = {"all": features} | ({"stable": stable} if stable else {})
+    trains = {"first": first, "second": second, "both": first.unionByName(second, allowMissingColumns=True)}
+    results = cross_corpus_eval(trains, {"third": third}, sets, recipe, id_col=id_col, cap=cap)
+    return results, subset_lift(results, "stable", "all")
+
+
+def overlap_study(first: DataFrame, second: DataFrame, third: DataFrame, features: list[str], label: str = "label",
+                  top: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The overlap table of the first corpus' ``top`` features by ANOVA, and how many of them overlap."""
+    best = [r["feature"] for r in top_features(anova_f(first, label, features), top).select("feature").collect()]
+    table = overlap_zone(first, second, third, best, label)
+    return table, table.agg(F.count("*").alias("n_features"), F.count_if("third_human_in_first_ai_zone").alias("n_overlapping"))
 
 
 def baseline_report(corpora: dict[str, tuple[DataFrame, int | None]], features: list[str] = STABLE_FEATURES,
                     label: str = "label", id_col: str = "sample_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fit the baseline on the class-0 rows of all corpora (each capped as given), score every row of every corpus:
-    (scored rows, summary per corpus and class, AUROC per corpus and overall)."""
+    """Fit the baseline on the class-0 rows of all corpora (of a corpus with a number, on that many of them only), score
+    every row of every corpus: (scored rows, summary per corpus and class, AUROC per corpus and overall)."""
     humans = {name: (df.where(F.col(label) == 0), cap) for name, (df, cap) in corpora.items()}
-    baseline = fit_baseline(union_corpora(humans, label, id_col), features)
+    baseline = fit_baseline(materialised(union_corpora(humans, label, id_col).select(features)), features)
     everything = union_corpora({name: (df, None) for name, (df, _) in corpora.items()}, label, id_col)
     scored = materialised(hbd_score(everything, baseline))  # read by both summaries; also keeps their plans small
     return scored, score_summary(scored, ["corpus", label]), score_auroc(scored, label=label)
 
 
-def fingerprint_report(matrix: DataFrame, features: list[str], id_col: str = "sample_id", cap: int = 1000, k: int = 5,
+def fingerprint_report(matrix: DataFrame, features: list[str], id_col: str = "sample_id", cap: int | None = 1000, k: int = 5,
                        recipe: Recipe = random_forest(depth=20)) -> dict[str, DataFrame]:
     """Many-class study: pooled predictions, per-class report, confusion rates, confused pairs, linkage, and the
-    features that tell the classes apart."""
-    named = cap_per_class(derive_class(matrix), ["class"], id_col, cap)
-    indexed = named.join(index_classes(named), "class")
-    predicted = cv_predictions(stratified_folds(indexed, "class", id_col, k), features, recipe, label="class_index")
-    back = index_classes(named).select(F.col("class_index").cast("double").alias("prediction"),
-                                       F.col("class").alias("predicted_class"))
-    pooled = predicted.join(back, "prediction").drop("prediction")
-    rates = confusion_rates(pooled, label="class", prediction="predicted_class")
+    features that tell the classes apart. ``cap`` bounds the rows per class that models are fit on; every row is
+    predicted and counted. Classes and predictions are written once."""
+    named = derive_class(matrix)
+    classes = materialised(index_classes(named))
+    ranked = hash_rank(named, ["class"], id_col).withColumn("fold", (F.col("hash_rank") - 1) % k)
+    fits = F.lit(True) if cap is None else F.col("hash_rank") <= cap
+    indexed = ranked.withColumn("in_fit", fits).drop("hash_rank").join(classes, "class")
+    predicted = cv_predictions(indexed, features, recipe, label="class_index", in_fit="in_fit")
+    back = classes.select(F.col("class_index").cast("double").alias("prediction"), F.col("class").alias("predicted_class"))
+    pooled = materialised(predicted.join(back, "prediction").drop("prediction"))
+    rates = materialised(confusion_rates(pooled, label="class", prediction="predicted_class"))
     return {
         "predictions": pooled,
         "classes": class_report(pooled, label="class", prediction="predicted_class"),
         "overall": classification_metrics(pooled, label="class", prediction="predicted_class").withColumn(
-            "chance", F.lit(1.0) / index_classes(named).agg(F.count("*")).scalar()),
+            "chance", F.lit(1.0) / classes.agg(F.count("*")).scalar()),
         "confusion": rates,
         "pairs": confused_pairs(rates),
         "linkage": average_linkage(rates),
@@ -96,11 +146,11 @@ def fingerprint_report(matrix: DataFrame, features: list[str], id_col: str = "sa
     }
 
 
-def logprob_signal(tokens: DataFrame, labels: DataFrame, key: str, id_col: str, cap: int = 200,
+def logprob_signal(tokens: DataFrame, labels: DataFrame, key: str, id_col: str, cap: int | None = None,
                    label: str = "label") -> DataFrame:
-    """Do token probabilities tell the classes apart? Up to ``cap`` samples per class, tested per feature (the token
-    count is left out)."""
-    sampled = cap_per_class(labels, [label], id_col, cap)
+    """Do token probabilities tell the classes apart? All samples, or ``cap`` per class where that is asked for, tested per
+    feature (the token count is left out)."""
+    sampled = labels if cap is None else cap_per_class(labels, [label], id_col, cap)
     wanted = tokens.join(sampled.select(key), key, "left_semi")
     features = logprob_features(wanted, [key]).join(sampled, key)
     return signal_table(features, [f for f in LOGPROB_FEATURES if f != "perp_token_count"], label)
@@ -108,10 +158,12 @@ def logprob_signal(tokens: DataFrame, labels: DataFrame, key: str, id_col: str,
 
 def union_experiment(corpora: dict[str, tuple[DataFrame, int | None]], features: list[str], recipe: Recipe,
                      label: str = "label", id_col: str = "sample_id", k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Train on the union of capped corpora with stratified folds: (pooled predictions, metrics per corpus)."""
-    stacked = stratified_folds(union_corpora(corpora, label, id_col), label, id_col, k)
-    pooled = cv_predictions(stacked, features, recipe, label=label).withColumn(
-        "prediction", F.col("prediction").cast("int"))
+    """Train on the union of corpora with stratified folds: (pooled predictions, metrics per corpus). A corpus' number
+    bounds its rows per class that models are fit on; every row is predicted. The predictions are written once."""
+    marked = {name: (mark_capped(df, [label], id_col, cap), None) for name, (df, cap) in corpora.items()}
+    stacked = stratified_folds(union_corpora(marked, label, id_col), label, id_col, k)
+    pooled = materialised(cv_predictions(stacked, features, recipe, label=label, in_fit="in_fit").withColumn(
+        "prediction", F.col("prediction").cast("int")))
     return pooled, classification_metrics(pooled, ["corpus"], label)
 
 

@@ -9,12 +9,19 @@ _SCRATCH: list[str] = []
 
 
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
-    """Give a CPU-bound stage a few partitions per core when its input has fewer files than the cluster has cores.
-    Large inputs have more and are returned as they are. Only the file listing is consulted; nothing runs."""
+    """Give a CPU-bound stage a few partitions per core when its scans have too few splits for that.
+
+    Splits are estimated from the plan's own statistics, as the scan cuts files; large inputs have more and are returned
+    as they are, whatever their number of files. Nothing runs and no file is listed here."""
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * per_core) if len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    conf = spark._jsparkSession.sessionState().conf()
+    split = min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), size // cores))
+    return df.repartition(cores * per_core) if size < split * cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,6 +57,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the keys and other columns of ``left``, then those of ``right``."""
+    named = right.select(*[F.col(k).alias(f"_right_{k}") if k in keys else F.col(f"`{k}`") for k in right.columns])
+    same = F.lit(True)
+    for key in keys:
+        same = same & left[key].eqNullSafe(named[f"_right_{key}"])
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_hot_safe(rows: DataFrame, per_key: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
     """Join many rows to a table with one row per key when a key may hold a large share of all rows.
 
@@ -60,11 +76,11 @@ def join_hot_safe(rows: DataFrame, per_key: DataFrame, key: str, weight: str, ho
     total = per_key.agg(F.sum(weight).alias("n")).select(F.col("n").cast("double"))
     hot = per_key.where(F.col(weight) * 1000.0 >= total.scalar()).where(F.col(weight) > 100_000).select(
         F.col(key).alias("_hot"))
-    mark = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    mark = lambda df: df.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), F.col(key).eqNullSafe(F.col("_hot")), "left")
     salted_rows = mark(rows).withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-        .cast("int")).drop("_hot")
+        "_salt", F.when(F.col("_is_hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+        .cast("int")).drop("_hot", "_is_hot")
     salted_keys = mark(per_key).withColumn(
-        "_salt", F.explode(F.when(F.col("_hot").isNull(), F.array(F.lit(0)))
-                           .otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("_hot")
-    return salted_rows.join(salted_keys, [key, "_salt"], how).drop("_salt")
+        "_salt", F.explode(F.when(F.col("_is_hot").isNull(), F.array(F.lit(0)))
+                           .otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("_hot", "_is_hot")
+    return null_safe_join(salted_rows, salted_keys, [key, "_salt"], how).drop("_salt")

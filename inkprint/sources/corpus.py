@@ -44,11 +44,12 @@ SHARD_ROWS = 50_000
 
 def scan_shards(spark: SparkSession, directory: str, columns: list[str] | None = None,
                 schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
-    """All Parquet shards of a directory (or file). A directory without shards gives no rows of ``schema``."""
+    """All Parquet shards of a directory (or file), with every column that any shard has. A directory without shards
+    gives no rows of ``schema``; a path that does not exist is an error."""
     try:
-        shards = spark.read.parquet(directory)
+        shards = spark.read.option("mergeSchema", True).parquet(directory)
     except AnalysisException as error:
-        if error.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
         shards = spark.createDataFrame([], schema)
     return shards.select(*columns) if columns else shards
@@ -112,7 +113,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def skip_done(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work items whose key is not among the finished ones."""
-    return work.join(done.select(*keys).distinct(), keys, "left_anti")
+    return work.join(done.select(*keys), keys, "left_anti")
 
 
 def still_needed(work: DataFrame, done: DataFrame, key: str, need: int) -> DataFrame:

@@ -62,11 +62,21 @@ def _(spark, sf):
     return stacked.select("sample_id", "language", F.length("code").cast("long").alias("n_chars"), "label")
 
 
-@query("scan_json_records", r"""SELECT event_id, cast(regexp_extract(props, '"k": *(-?\d+)', 1) AS BIGINT) AS k FROM events""")
+@query("parse_json_column", r"""SELECT event_id, cast(regexp_extract(props, '"k": *(-?\d+)', 1) AS BIGINT) AS k FROM events""")
 def _(spark, sf):
     return io.parse_json_column(table(spark, sf, "events"), "props", "k long").select("event_id", "k")
 
 
+@query("scan_json_records", "SELECT conv_id, turn, role, text, 'turn' AS kind FROM conversations")
+def _(spark, sf):
+    out = f"{scratch_folder(spark)}/out"
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    # one record per file, as collectors leave them: every task writes its rows one file each
+    turns.repartition("conv_id").write.option("maxRecordsPerFile", 1).json(out)
+    records = io.scan_json_records(spark, out, "conv_id long, turn long, role string, text string")
+    return records.select("conv_id", "turn", "role", "text", F.when(F.endswith("source_file", F.lit(".json")), "turn").alias("kind"))
+
+
 @query("normalize_label", "SELECT doc_id, quality AS label, toxic FROM labels")
 def _(spark, sf):
     return io.normalize_label(table(spark, sf, "labels").withColumnRenamed("quality", "Quality_Label"))
@@ -270,15 +280,14 @@ def _(spark, sf):
         "conv_id", "turn", F.md5(code).alias("code_md5"), F.length(code).cast("long").alias("n_chars"))
 
 
-@query("pair_by_problem", S.with_(S.PAIRED) + """, ai AS (SELECT problem_id, count(*) AS n_ai, min(source_file) AS first_ai
-    FROM paired WHERE label = 1 GROUP BY problem_id)
-  SELECT problem_id, source_file, n_ai, first_ai, count(*) OVER (PARTITION BY problem_id) AS n_human
-  FROM paired JOIN ai USING (problem_id) WHERE label = 0""")
+@query("pair_by_problem", S.with_(S.PAIRED) + """SELECT problem_id, source_file, CASE label WHEN 0 THEN 'human' ELSE 'ai' END AS side,
+    count(*) FILTER (label = 0) OVER p AS n_human, count(*) FILTER (label = 1) OVER p AS n_ai, min(source_file) FILTER (label = 1) OVER p AS first_ai,
+    count(*) FILTER (label = 0) OVER p > 0 AND count(*) FILTER (label = 1) OVER p > 0 AS paired
+  FROM paired WINDOW p AS (PARTITION BY problem_id)""")
 def _(spark, sf):
-    rows = paired(spark, sf)
+    rows = paired(spark, sf).select("problem_id", "source_file", "label")
     return curation.pair_by_problem(
-        rows.where("label = 0").select("problem_id", "source_file"), rows.where("label = 1"), "problem_id",
-        "source_file").select("problem_id", "source_file", "n_ai", "first_ai", "n_human")
+        rows.where("label = 0"), rows.where("label = 1"), "problem_id", "source_file").drop("label")
 
 
 @query("first_member", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE 'c' || o_custkey END AS author,
@@ -747,22 +756,22 @@ def _fit_query(name: str, recipe: models.Recipe) -> None:
         return rounded(_whole_label(models.predict(model, matrix, LEXICAL_FEATURES)).select("sample_id", "label", "prediction"))
 
 
-_fit_query("fit_logreg", models.logreg(max_iter=100))
-_fit_query("fit_random_forest", models.random_forest(trees=20, depth=8))
-_fit_query("fit_gbt", models.gbt(rounds=10, depth=4))
+_fit_query("fit_logreg", models.logreg())
+_fit_query("fit_random_forest", models.random_forest())
+_fit_query("fit_gbt", models.gbt())
 
 
 @query("cv_predictions")
 def _(spark, sf):
-    folded = sampling.stratified_folds(lexical_of(corpus_a(spark, sf)), "label", "sample_id", 3)
-    pooled = models.cv_predictions(folded, LEXICAL_FEATURES, models.random_forest(trees=10, depth=6))
+    folded = sampling.stratified_folds(lexical_of(corpus_a(spark, sf)), "label", "sample_id", 5)
+    pooled = models.cv_predictions(folded, LEXICAL_FEATURES, models.random_forest())
     return _whole_label(pooled).select("sample_id", "label", "fold", "prediction")
 
 
 @query("cv_predictions_by_group")
 def _(spark, sf):
-    folded = sampling.group_folds(lexical_of(paired(spark, sf)), "problem_id", 4)
-    pooled = models.cv_predictions(folded, LEXICAL_FEATURES, models.logreg(max_iter=50))
+    folded = sampling.group_folds(lexical_of(paired(spark, sf)), "problem_id", 5)
+    pooled = models.cv_predictions(folded, LEXICAL_FEATURES, models.logreg())
     return _whole_label(pooled).select("sample_id", "problem_id", "label", "fold", "prediction")
 
 
@@ -772,14 +781,14 @@ def _(spark, sf):
     sets = {"all": LEXICAL_FEATURES, "stable": hbd.STABLE_FEATURES}
     result = models.cross_corpus_eval(
         {"a": m["a"], "paired": m["paired"], "a+paired": m["a"].unionByName(m["paired"], allowMissingColumns=True)},
-        {"third": m["third"]}, sets, models.random_forest(trees=10, depth=6))
+        {"third": m["third"]}, sets, models.random_forest())
     return rounded(result)
 
 
 @query("feature_importance")
 def _(spark, sf):
     matrix = materialised(lexical_of(corpus_a(spark, sf)))
-    model = models.fit(matrix, LEXICAL_FEATURES, models.random_forest(trees=20, depth=8))
+    model = models.fit(matrix, LEXICAL_FEATURES, models.random_forest())
     return rounded(models.feature_importance(model, LEXICAL_FEATURES, matrix))
 
 
@@ -963,13 +972,13 @@ def emb_with_class(spark, sf) -> DataFrame:
 
 @query("multiclass_fingerprint")
 def _(spark, sf):
-    report = studies.fingerprint_report(emb_with_class(spark, sf), EMBEDDING_FEATURES, k=3, recipe=models.random_forest(trees=20, depth=8))
+    report = studies.fingerprint_report(emb_with_class(spark, sf), EMBEDDING_FEATURES)
     return rounded(report["classes"])
 
 
 @query("fingerprint_report")
 def _(spark, sf):
-    report = studies.fingerprint_report(emb_with_class(spark, sf), EMBEDDING_FEATURES, k=3, recipe=models.random_forest(trees=20, depth=8))
+    report = studies.fingerprint_report(emb_with_class(spark, sf), EMBEDDING_FEATURES)
     return rounded(report["overall"])
 
 
@@ -992,27 +1001,99 @@ def _(spark, sf):
 @query("forensics")
 def _(spark, sf):
     m = matrices(spark, sf)
-    report, transfer = studies.forensics(m["a"], m["paired"], LEXICAL_FEATURES, models.random_forest(trees=10, depth=6))
-    return rounded(report if transfer is None else transfer)
+    return rounded(studies.forensics(m["a"], m["paired"], LEXICAL_FEATURES, models.random_forest())[1])
 
 
 @query("baseline_report")
 def _(spark, sf):
-    parts = {k: (df, cap) for (k, df), cap in zip(matrices(spark, sf).items(), (5000, None, None))}
-    return rounded(studies.baseline_report(parts)[2])
+    return rounded(studies.baseline_report({k: (df, None) for k, df in matrices(spark, sf).items()})[2])
 
 
 @query("union_experiment")
 def _(spark, sf):
     parts = {k: (df, cap) for (k, df), cap in zip(matrices(spark, sf).items(), (5000, 186, 164))}
-    return rounded(studies.union_experiment(parts, LEXICAL_FEATURES, models.random_forest(trees=10, depth=6), k=3)[1])
+    return rounded(studies.union_experiment(parts, LEXICAL_FEATURES, models.random_forest())[1])
+
+
+@query("third_corpus_validation")
+def _(spark, sf):
+    m = matrices(spark, sf)
+    return rounded(studies.third_corpus_validation(m["a"], m["paired"], m["third"], LEXICAL_FEATURES)[0])
+
+
+# A label that is a step of one feature: every recipe must reproduce it, so SQL can say what a study returns.
+
+_STEP = ["o_custkey_part", "o_quarter"]
+
+
+def step_matrix(spark, sf) -> DataFrame:
+    part = F.col("o_custkey") % 20
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("sample_id"), part.alias("o_custkey_part"),
+        F.quarter("o_orderdate").alias("o_quarter"), F.when(part >= 10, 1).otherwise(0).alias("label"),
+        (F.col("o_orderkey") % 50).alias("problem_id"))
+
+
+_STEP_SQL = """step AS (SELECT o_orderkey::VARCHAR AS sample_id, o_custkey % 20 AS part, CASE WHEN o_custkey % 20 >= 10 THEN 1 ELSE 0 END AS label,
+    o_orderkey % 50 AS problem_id FROM orders)"""
+
+
+@query("fit_step", S.with_(_STEP_SQL) + "SELECT 'gbt' AS model, label, label AS prediction, count(*) AS n FROM step GROUP BY label "
+       "UNION ALL SELECT 'random_forest', label, label, count(*) FROM step GROUP BY label "
+       "UNION ALL SELECT 'logreg', label, label, count(*) FROM step GROUP BY label")
+def _(spark, sf):
+    matrix = materialised(step_matrix(spark, sf))
+    parts = []
+    # one feature: a forest's trees then always see it
+    for name, recipe in (("gbt", models.gbt(rounds=20)), ("random_forest", models.random_forest()), ("logreg", models.logreg())):
+        model = models.fit(matrix, _STEP[:1], recipe)
+        parts.append(_whole_label(models.predict(model, matrix, _STEP[:1])).select(F.lit(name).alias("model"), "label", "prediction"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("model", "label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("model_comparison", """SELECT unnest(['logreg', 'random_forest']) AS model, 5 AS n_folds, 1.0::DOUBLE AS f1_mean, 0.0::DOUBLE AS f1_std,
+  1.0::DOUBLE AS accuracy_mean, 0.0::DOUBLE AS accuracy_std, 'logreg' AS best""")
+def _(spark, sf):
+    result = studies.model_comparison(
+        step_matrix(spark, sf), _STEP[:1], {"logreg": models.logreg(), "random_forest": models.random_forest()})
+    best = result["best"].select("best").scalar()
+    return rounded(result["scores"].withColumn("n_folds", F.col("n_folds").cast("int")).withColumn("best", best))
+
+
+@query("paired_study", S.with_(_STEP_SQL) + """SELECT 'logreg' AS model, count(*) AS n, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_macro FROM step
+  UNION ALL SELECT 'random_forest', count(*), 1.0, 1.0 FROM step""")
+def _(spark, sf):
+    result = studies.model_comparison(
+        step_matrix(spark, sf), _STEP[:1], {"logreg": models.logreg(), "random_forest": models.random_forest()}, group="problem_id")
+    return rounded(result["pooled"].select("model", "n", "accuracy", "f1_macro"))
+
+
+@query("cv_predictions_step", S.with_(_STEP_SQL) + f"""SELECT sample_id, label, label AS prediction, fold FROM (
+    SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {S.hash_of('sample_id')}, sample_id) - 1) % 5 AS fold FROM step)""")
+def _(spark, sf):
+    folded = sampling.stratified_folds(step_matrix(spark, sf), "label", "sample_id", 5)
+    return _whole_label(models.cv_predictions(folded, _STEP[:1], models.logreg())).select("sample_id", "label", "prediction", "fold")
+
+
+@query("cross_corpus_step", S.with_(_STEP_SQL) + """SELECT 'even' AS train, 'odd' AS test, 'one' AS feature_set, 1 AS n_features, count(*) AS n,
+    1.0::DOUBLE AS f1_macro, 1.0::DOUBLE AS accuracy FROM step WHERE sample_id::BIGINT % 2 = 1""")
+def _(spark, sf):
+    rows = step_matrix(spark, sf)
+    half = lambda n: rows.where(F.col("sample_id").cast("long") % 2 == n)
+    return rounded(models.cross_corpus_eval({"even": half(0)}, {"odd": half(1)}, {"one": _STEP[:1]}, models.random_forest(), balanced=True))
+
+
+@query("feature_importance_step", "SELECT 'o_custkey_part' AS feature, 1.0::DOUBLE AS importance")
+def _(spark, sf):
+    matrix = materialised(step_matrix(spark, sf))
+    return rounded(models.feature_importance(models.fit(matrix, _STEP[:1], models.random_forest()), _STEP[:1], matrix))
 
 
 _PERP_FEATURES = [f for f in LOGPROB_FEATURES if f != "perp_token_count"]
 
 
 @query("logprob_signal", S.with_(S.TOKENS) + f""", users AS (SELECT user_id AS sample_id, user_id % 2 AS label FROM events GROUP BY user_id),
-  sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {S.hash_of('sample_id')}, sample_id) AS rn FROM users) WHERE rn <= 200),
+  sampled AS (SELECT * FROM users),
   perp AS (SELECT sample_id, avg(logprob) AS perp_mean_logprob, CASE WHEN avg(logprob) < 0 THEN exp(-avg(logprob)) ELSE 1 END AS perp_perplexity,
     var_pop(logprob) AS perp_variance, min(logprob) AS perp_min_logprob, max(logprob) AS perp_max_logprob, max(logprob) - min(logprob) AS perp_range,
     (count(*) FILTER (logprob < -3.0))::DOUBLE / count(*) AS perp_surprising_ratio, (count(*) FILTER (logprob > -0.5))::DOUBLE / count(*) AS perp_confident_ratio

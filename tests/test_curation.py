@@ -1,6 +1,7 @@
 import html
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkprint.operators import curation
@@ -75,10 +76,11 @@ def test_keys_members_and_times(spark):
 def test_pairing_is_linear_and_survives_a_crowded_problem(spark):
     human = spark.range(250_000).select(F.lit("hot").alias("problem_id"), F.col("id").alias("h")).unionByName(
         spark.createDataFrame([("p", 1), ("q", 2)], "problem_id string, h long"))
-    ai = spark.createDataFrame([("hot", 9), ("hot", 4), ("p", 3)], "problem_id string, source_file long")
+    ai = spark.createDataFrame([("hot", 9), ("hot", 4), ("p", 3), (None, 5)], "problem_id string, source_file long")
     paired = curation.pair_by_problem(human, ai, "problem_id", "source_file")
-    got = {r.problem_id: tuple(r)[1:] for r in paired.groupBy("problem_id").agg(F.count("*"), F.min("n_ai"), F.max("first_ai"), F.max("n_human")).collect()}
-    assert got == {"hot": (250_000, 2, 4, 250_000), "p": (1, 1, 3, 1)}
+    got = {r.problem_id: tuple(r)[1:] for r in paired.groupBy("problem_id").agg(
+        F.count("*"), F.min("n_ai"), F.max("first_ai"), F.max("n_human"), F.min("paired")).collect()}
+    assert got == {"hot": (250_002, 2, 4, 250_000, True), "p": (2, 1, 3, 1, True), "q": (1, 0, None, 1, False), None: (1, 1, 5, 0, False)}
 
 
 def test_json_records(spark, tmp_path):
@@ -93,7 +95,21 @@ def test_json_records(spark, tmp_path):
 
 def test_empty_directory_keeps_the_schema(spark, tmp_path):
     assert io.scan_shards(spark, str(tmp_path)).schema == io.SAMPLE_SCHEMA
-    assert io.scan_shards(spark, str(tmp_path / "absent")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        io.scan_shards(spark, str(tmp_path / "absent"))
+
+
+def test_shards_keep_the_columns_of_all(spark, tmp_path):
+    spark.createDataFrame([("a", 1)], "code string, label int").write.parquet(f"{tmp_path}/one/p1")
+    spark.createDataFrame([("b", 0, "gen")], "code string, label int, generator string").write.parquet(f"{tmp_path}/one/p2")
+    both = io.scan_shards(spark, f"{tmp_path}/one/*")
+    assert set(both.columns) == {"code", "label", "generator"} and {r.generator for r in both.collect()} == {None, "gen"}
+
+
+def test_epoch_after_2038_and_before_1970(spark):
+    df = spark.createDataFrame([(2_147_483_648,), (4_102_444_800,), (-1,), (None,)], "t long")
+    assert [r[0] for r in df.select(curation.epoch_iso(F.col("t"))).collect()] == [
+        "2038-01-19T03:14:08+00:00", "2100-01-01T00:00:00+00:00", "1969-12-31T23:59:59+00:00", None]
 
 
 def test_labels_and_routes(spark, tmp_path):

@@ -61,3 +61,13 @@ def test_head_limits_before_the_shuffle(rows, plan):
 def test_union_remembers_the_corpus(rows):
     union = sampling.union_corpora({"x": (rows, 10), "y": (rows.drop("group"), None)}, "label", "id")
     assert {r.corpus: r["count"] for r in union.groupBy("corpus").count().collect()} == {"x": 40, "y": 3000}
+
+
+def test_null_ids_and_classes_are_kept(spark):
+    df = spark.createDataFrame([("a", 0), ("b", None), (None, 1), (None, None), (None, 1)], "id string, label int")
+    assert sampling.stratified_folds(df, "label", "id", 2).count() == 5
+    assert sampling.cap_per_class(df, ["label"], "id", 10).count() == 5
+    assert sampling.simple_sample(df, "id", 10).count() == 5 and sampling.simple_sample(df, "id", 3).count() == 3
+    assert sampling.union_corpora({"x": (df, 10)}, "label", "id").count() == 5
+    marked = sampling.mark_capped(df, ["label"], "id", 1)
+    assert marked.count() == 5 and marked.where("in_fit").count() == 3

@@ -141,3 +141,23 @@ def test_plan_has_no_global_window_or_cross_join(table, plan):
         text = plan(df)
         assert "SinglePartition" not in text and "Cartesian" not in text and "NestedLoop" not in text
         assert "Python" not in text
+
+
+def test_null_keys_are_keys(spark):
+    rows = [(None, float(i % 7), i % 2) for i in range(60)] + [("g", float(i % 5), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "generator string, x double, side int")
+    for made in (stats.wasserstein(df, ["generator"], "x", F.col("side")), stats.mann_whitney(df, ["generator"], "x", F.col("side")),
+                 stats.auroc(df, ["generator"], "x", F.col("side")), stats.exact_median(df, ["generator"], "x")):
+        assert {r.generator for r in made.collect()} == {None, "g"}
+
+
+def test_a_clustered_bucket_is_cut_at_its_quantiles(spark):
+    values = [(1.0 + i * 1e-9,) for i in range(20_000)] + [(1.0002,)]
+    hist = stats.value_histogram(spark.createDataFrame(values, "x double"), [], "x", F.lit(0)).withColumnRenamed("x", "value")
+    cut = stats.split_hot(hist, [], 100)
+    sizes = [r["count"] for r in cut.groupBy("bucket", "part").count().collect()]
+    assert sum(sizes) == 20_001 and max(sizes) <= 200
+    ends = cut.groupBy("part").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("part").collect()
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]))
+    whole = stats.exact_median(spark.createDataFrame(values, "x double").withColumn("k", F.lit(None).cast("string")), ["k"], "x", hot=100)
+    assert whole.first().median == values[10_000][0]
