@@ -49,13 +49,6 @@ def test_held_out_fold_is_unseen(matrix):
     assert pooled.where(F.col("prediction") == F.col("label")).count() < pooled.count() / 2
 
 
-def test_too_many_folds_are_refused(spark):
-    many = spark.range(models.MAX_FOLDS + 1).select(
-        F.col("id").alias("fold"), (F.col("id") % 2).alias("label"), *[F.col("id").cast("double").alias(f) for f in FEATURES])
-    with pytest.raises(ValueError):
-        models.cv_predictions(many, FEATURES, models.logreg(5))
-
-
 def test_forest_importance_and_transfer(matrix):
     forest = models.random_forest(trees=10, depth=4)
     ranked = models.feature_importance(models.fit(matrix, FEATURES, forest), FEATURES, matrix).collect()
@@ -69,3 +62,20 @@ def test_forest_importance_and_transfer(matrix):
 def test_gbt(matrix):
     model = models.fit(matrix, FEATURES, models.gbt(rounds=5, depth=3))
     assert models.predict(model, matrix, FEATURES).where(F.col("prediction") == F.col("label")).count() > 180
+
+
+def test_odd_folds_and_bounded_fits(matrix):
+    lone = models.cv_predictions(matrix.withColumn("fold", F.lit(1)), FEATURES, models.logreg(20))
+    assert lone.count() == 0 and "prediction" in lone.columns
+    some = matrix.withColumn("fold", F.when(F.col("problem") > 3, F.col("problem") % 2))
+    assert models.cv_predictions(some, FEATURES, models.logreg(20)).count() == 240
+    marked = stratified_folds(matrix, "label", "sample_id", 3).withColumn("in_fit", F.col("sample_id") % 3 == 0)
+    assert models.cv_predictions(marked, FEATURES, models.logreg(20), in_fit="in_fit").count() == 240
+
+
+def test_no_query_writes_to_a_local_temporary_folder(spark):
+    from inkprint.session import materialised, scratch_folder
+    assert scratch_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    files = materialised(spark.range(3).toDF("x")).inputFiles()
+    assert files and all(f.startswith(spark.conf.get("spark.checkpoint.dir").replace("file://", "file:")) or
+                         f.startswith(spark.conf.get("spark.checkpoint.dir")) for f in files)
