@@ -46,7 +46,8 @@ class Vocabulary:
                 self.ids[piece] = i
                 self.scores[i] = model.get_score(i)
                 self.text.append(piece.replace(SPACE, " ").encode())
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: id of every piece, and -1 for other beginnings of pieces
+        self.beginnings = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
         #: whether all paths meet before every run of spaces and around line ends
@@ -88,21 +89,22 @@ class Stream:
         grown = len(text) + 1 - len(score)
         score += [float("-inf")] * grown
         back += [(-1, -1)] * grown
-        ids, prefixes, scores = v.ids, v.prefixes, v.scores
+        find, scores, size = v.beginnings.get, v.scores, len(text)
         for i in range(self.done, stop):
             here = score[i]
             if here == float("-inf"):
                 continue
-            single = False
-            for j in range(i + 1, min(len(text), i + v.longest) + 1):
-                piece = text[i:j]
-                if piece not in prefixes:
+            single, j = False, i + 1
+            while j <= size:
+                n = find(text[i:j])
+                if n is None:
                     break
-                n = ids.get(piece)
-                if n is not None:
+                if n >= 0:
                     single |= j == i + 1
-                    if here + scores[n] > score[j]:
-                        score[j], back[j] = here + scores[n], (i, n)
+                    total = here + scores[n]
+                    if total > score[j]:
+                        score[j], back[j] = total, (i, n)
+                j += 1
             if not single and here + v.unknown > score[i + 1]:
                 score[i + 1], back[i + 1] = here + v.unknown, (i, -1)
         self.done = max(self.done, stop)
@@ -143,26 +145,34 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def run(self, part: str) -> bytes:
-        stream = Stream(self.v)
-        ids = stream.feed(part.replace(" ", SPACE))
+        stream, marked = Stream(self.v), part.replace(" ", SPACE)
+        if len(marked) <= 4 * self.v.longest:  # no longer than the window: nothing to commit before its end
+            stream.text = marked
+            return array("I", stream.end()).tobytes()
+        ids = stream.feed(marked)
         return array("I", ids + stream.end()).tobytes()
 
-    def _remembered(self, part: str) -> bytes:
-        ids = self.known.get(part)
-        if ids is None:
-            ids = self.run(part)
-            if len(self.known) < CACHE_RUNS and len(part) < 64:
-                self.known[part] = ids
-        return ids
+    def runs(self, parts: list[str]) -> bytes:
+        """Ids of word runs between which all paths meet; runs met before are remembered."""
+        known = self.known
+        ids = list(map(known.get, parts))
+        try:
+            return b"".join(ids)
+        except TypeError:  # some run is new
+            for i, part in enumerate(parts):
+                if ids[i] is None:
+                    ids[i] = known.get(part) or self.run(part)
+                    if len(known) < CACHE_RUNS and len(part) < 64:
+                        known[part] = ids[i]
+            return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
         parts = (" " + text).split(SPACE)
-        one = self._remembered if self.v.splits else self.run
-        pieces = (lambda p: _RUN.findall(p)) if self.v.splits else (lambda p: [p] if p else [])
-        return self.mark.join(b"".join(map(one, pieces(p))) for p in parts)
+        one = (lambda p: self.runs(_RUN.findall(p))) if self.v.splits else (lambda p: self.run(p) if p else b"")
+        return self.mark.join(map(one, parts))
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.v.text.__getitem__, memoryview(ids).cast("I")))
