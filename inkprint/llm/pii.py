@@ -110,6 +110,12 @@ def _contexts(texts: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), n - 1), lambda k: F.slice("_words", k * CONTEXT + 1, CONTEXT))).alias("words"))
 
 
+def _terms(words: Column) -> Column:
+    """Distinct terms of a context."""
+    cores = F.transform(words, lambda w: F.lower(F.trim(w, F.lit(_PUNCTUATION))))
+    return F.filter(F.array_distinct(cores), lambda c: c.rlike(_TERM))
+
+
 def _features(words: Column) -> Column:
     """Distinct terms and stems of a context."""
     terms = F.array_distinct(F.array_compact(F.transform(words, term_of)))
@@ -143,9 +149,9 @@ def _passes(term: Column, bits: Column) -> Column:
 def disclosures(docs: DataFrame) -> DataFrame:
     """The terms and stems that reveal an entity: term, disclosure (the largest share of an entity's information).
 
-    Entities are what the base patterns find inside single contexts. A context counts once however often it is copied
-    where it speaks for a disclosure; a term itself is counted wherever it occurs. Both can only lower what a term
-    reveals. All counts cover all documents; only words that may matter, told by a filter of fixed size, are shuffled."""
+    Entities are what the base patterns find inside single contexts. Term, entity, pair and total are all counted by
+    presence in distinct contexts: a context counts once however often it is copied, and a term once in it. All counts
+    cover all documents; only words that may matter, told by a filter of fixed size, are shuffled."""
     texts = docs.select(whole_text().alias("_text"))
     some = texts.where(F.col("_text").rlike("[0-9@]") & F.col("_text").rlike("|".join(f"(?:{p})" for p in ENGINE.values())))
     contexts = _contexts(some).withColumn("line", F.array_join("words", " "))
@@ -159,12 +165,17 @@ def disclosures(docs: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_JOINT)
     pairs = materialised(dealt(pairs).join(dealt(entities), "entity"))
     bits = _filter_of(pairs.select("term").distinct())
-    # Words are tried against the filter before they are tested for being terms: few pass.
-    cores = texts.select(F.explode(F.split("_text", _GAP)).alias("w")).select(F.lower(F.trim("w", F.lit(_PUNCTUATION))).alias("core"))
-    words = cores.select("core", F.explode(F.array(F.col("core"), stem_of(F.col("core")))).alias("term"))
-    words = words.where(F.col("term").isNotNull() & _passes(F.col("term"), bits)).where(F.col("core").rlike(_TERM))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = texts.select(F.ceil(F.size(F.split("_text", _GAP)) / CONTEXT).alias("n")).agg(F.sum("n")).scalar()
+    # Only contexts that have copies, told by a second filter, are shuffled by their hash; others are distinct as they are.
+    every = _contexts(texts).withColumn("h", F.md5(F.array_join("words", " ")))
+    copied = every.groupBy("h").agg(F.count("*").alias("n")).select(F.when(F.col("n") > 1, F.col("h")).alias("term"))
+    copied = materialised(copied.groupBy("term").agg(F.count("*").alias("n")))  # null: the contexts without copies
+    several = _filter_of(copied.where("term IS NOT NULL").select("term"))
+    words = every.select("h", _terms(F.col("words")).alias("terms"))
+    words = words.select("h", F.explode(F.concat("terms", F.array_distinct(F.array_compact(F.transform("terms", stem_of))))).alias("term"))
+    words = words.where(_passes(F.col("term"), bits)).withColumn("h", F.when(_passes(F.col("h"), several), F.col("h")))
+    counts = words.groupBy("h", "term").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("term").agg(F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+    total = copied.agg(F.sum("n")).scalar()
     information = F.log2(total / F.col("n_entity"))
     shared = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
     return pairs.join(dealt(counts), "term").groupBy("term").agg(F.max(F.when(information > 0, shared / information)).alias(

@@ -133,3 +133,12 @@ def test_base_spans_equal_sql(spark, sf_dir):
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     got = sorted(tuple(r) for r in QUERIES["op6_pii"](spark, sf_dir).select(*names).collect())
     assert got == sorted(db.sql(f"SELECT {', '.join(names)} FROM ({pii.BASE_ORACLE})").fetchall())
+
+
+def test_copies_and_repeats_do_not_hide_a_revealing_word(spark):
+    beside = [f"note {i} quillwort quillwort quillwort from boss@corp.example here" for i in range(3)]
+    texts = beside * 50 + [f"plain words about the town number {i}" for i in range(2_000)]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.term: r.disclosure for r in pii.disclosures(df).collect()}
+    assert math.isclose(got["quillwort"], 1.0)
+    assert math.isclose(got["quil*"], 1.0)
