@@ -11,15 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import held_out, whole_text
+from inkprint.llm.common import held_out, materialised, whole_text
 from inkprint.llm.quality import training_rows
 
 FIT_ROWS = 8_000  # labelled documents the network is fit on, in expectation
-FIT_WORDS = 1_000  # longer documents are left to scoring: they would only slow the fit
+FIT_WORDS = 1_000  # words per document of the fit, on average at most; documents of any length take part
 CUTOFF = 0.3  # of the registered decision
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 STEMS = (4, 5, 6, 7)  # a word is embedded as the sum of itself and its first letters, so that inflected forms share
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.02, 11
+LEAST_TOXIC = 20  # documents of class 1 that all languages together lend to the threshold of each
+FINEST, WIDEST = 256, 4  # logit bins per unit; thresholds lie within plus or minus so much
 LEAST_STEPS = 200  # of the optimiser, however few documents there are
 LEAST_SEEN = 5  # training documents a bucket must occur in to have an embedding (fewer where few are toxic)
 CHUNK = 1 << 12  # words convolved at once
@@ -131,12 +133,6 @@ class Model:
         language = int(votes.argmax()) + 1 if votes.any() else 0
         return float(self.pooled(rows[:, :DIM]) @ self.out + self.offset), language
 
-    def score(self, rows: np.ndarray) -> float:
-        """Probability moved so that the language's threshold lies at ``CUTOFF``."""
-        logit, language = self.judge(rows)
-        moved = logit + np.log(CUTOFF / (1 - CUTOFF)) - self.thresholds[language]
-        return float(1 / (1 + np.exp(-np.clip(moved, -30, 30))))
-
 
 def _seen(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Per class and bucket, the number of documents it occurs in."""
@@ -166,7 +162,7 @@ def fit_network(docs: list[np.ndarray], y: np.ndarray) -> Model:
     reach = max(WIDTHS) - 1
     wide = 1 + len(STEMS)
     pads = [np.full((n, wide), PAD, np.int32) for n in (reach, reach + 1)]
-    batches = max(1, len(docs) // BATCH)
+    batches = max(1, len(docs) // BATCH, sum(map(len, docs)) // (BATCH * FIT_WORDS))
     epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 1e-3
@@ -217,70 +213,104 @@ def fit_network(docs: list[np.ndarray], y: np.ndarray) -> Model:
                  float(p["offset"]), [float(np.log(CUTOFF / (1 - CUTOFF)))] * (len(LANGUAGES) + 1))
 
 
-def calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, least: int = 20) -> None:
-    """Set each language's threshold where the F1 of class 1 is highest on documents kept out of the fit, a quarter down
-    the gap there; a language with fewer than ``least`` documents of class 1 takes the one of all together."""
-    judged = [model.judge(d) for d in docs]
-    z, langs = np.array([j[0] for j in judged]), np.array([j[1] for j in judged])
-
-    def best(z, y):
-        order = np.argsort(-z)
-        hits = np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
-        i = int(f1.argmax())
-        ahead = z[order][i + 1] if i + 1 < len(z) else z[order][i] - 1
-        return float(np.clip(0.75 * z[order][i] + 0.25 * ahead, -4, 4))
-    if not y.any():
-        return
-    common = best(z, y)
-    model.thresholds = [
-        best(z[langs == n], y[langs == n]) if y[langs == n].sum() >= least else common for n in range(len(LANGUAGES) + 1)]
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Fit on a bounded hash sample (``fit_rows`` documents of at most ``FIT_WORDS`` words, in expectation) of the labelled
-    documents that are not held out; every fifth of it sets the thresholds. None if there are no labels of both kinds."""
+def threshold(counts: np.ndarray) -> float:
+    """Where the F1 of class 1 is highest, a quarter down the gap there. ``counts``: documents per logit bin and class."""
+    down = np.flatnonzero(counts.sum(1))[::-1]
+    hits, found = np.cumsum(counts[down, 1]), np.cumsum(counts[down].sum(1))
+    best = int((2 * hits / (found + hits[-1])).argmax())
+    low = down[best] / FINEST - WIDEST
+    ahead = (down[best + 1] + 1) / FINEST - WIDEST if best + 1 < len(down) else low - 1
+    return float(np.clip(0.75 * low + 0.25 * ahead, -WIDEST, WIDEST))
+
+
+def calibrate(model: Model, counts: np.ndarray) -> None:
+    """Set each language's threshold from ``counts`` (language, logit bin, class) of documents kept out of the fit. All
+    languages together count as ``LEAST_TOXIC`` documents of class 1 besides the language's own, so that a language
+    with few of them stays near the common threshold and no number of documents switches from one to the other."""
+    every = counts.sum(0)
+    if every[:, 1].any():
+        model.thresholds = [threshold(own + every * (LEAST_TOXIC / every[:, 1].sum())) for own in counts]
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Model, DataFrame] | None:
+    """The network without thresholds, and the ids it is fit on: a bounded hash sample (four fifths of ``fit_rows``
+    documents, ``FIT_WORDS`` words each on average at most, in expectation) of the labelled documents that are not held
+    out, without regard to their lengths. None if there are no labels of both kinds."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     total, marked = max(1, docs.count()), max(1, known.count())
     sample = training_rows(docs, labels, "toxic", fit_rows * max(1, -(-total // marked))).where(F.col("label").isNotNull())
-    short = sample.where(F.size(F.split("text", r"\s+", FIT_WORDS + 2)) <= FIT_WORDS)
-    rows = short.toPandas().sort_values("doc_id")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20))
+    sample = materialised(sample.withColumn("place", place).withColumn("n_words", F.size(F.split("text", r"\s+"))))
+    n_words = sample.agg(F.sum("n_words")).first()[0] or 0
+    share = 0.8 * min(1.0, fit_rows * FIT_WORDS / max(1, n_words))  # at least a fifth is left for the thresholds
+    sample = sample.where(F.col("place") < int(share * (1 << 20)))
+    rows = sample.select("doc_id", "text", "label").toPandas().sort_values("doc_id")
     y = (rows["label"].to_numpy() == 1).astype(np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    part = np.arange(len(y)) % 5 == 4
     ids = Words(buckets)
-    model = fit_network([ids(t) for t, p in zip(rows["text"], part) if not p], y[~part])
-    words = model.words()
-    calibrate(model, [words(t) for t, p in zip(rows["text"], part) if p], y[part])
-    return model
-
-
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with a column ``toxicity_score`` (0 to 1) computed from the whole text alone. A null text is empty and gets
-    the score of an empty text; without a model every score is 0. All rows and columns stay, so an existing column of
-    that name is replaced."""
-    if model is None:
-        return docs.withColumn("toxicity_score", F.lit(0.0))
-    name = f"_inkprint_words_{zlib.crc32(model.embedding.tobytes() + model.out.tobytes())}"
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if name not in sys.modules:
-            sys.modules[name] = types.ModuleType(name)
-            sys.modules[name].words = model.words()
-        words = sys.modules[name].words
-        return pd.Series([model.score(words(t)) for t in texts], dtype="float64")
-    return docs.withColumn("toxicity_score", score(whole_text()))
+    return fit_network([ids(t) for t in rows["text"]], y), sample.select("doc_id").distinct()
+
+
+def judged(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: logit and language of the whole text. A null text is empty."""
+    module = f"_inkprint_words_{zlib.crc32(model.embedding.tobytes() + model.out.tobytes())}"
+
+    @F.pandas_udf("logit double, language int")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        if module not in sys.modules:
+            sys.modules[module] = types.ModuleType(module)
+            sys.modules[module].words = model.words()
+        words = sys.modules[module].words
+        found = [model.judge(words(t)) for t in texts]
+        return pd.DataFrame({"logit": np.array([x[0] for x in found], np.float64),
+                             "language": np.array([x[1] for x in found], np.int32)})
+    return docs.withColumn(name, judge(whole_text()))
+
+
+def calibration_counts(rows: DataFrame, labels: DataFrame, fitted: DataFrame, name: str) -> np.ndarray:
+    """Documents per language, logit bin and class among all rows with a label that are neither held out nor ``fitted``,
+    whatever their length."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
+        (F.max(F.col("toxic").cast("int")) == 1).cast("int").alias("label"))
+    known = known.where(~held_out()).join(fitted, "doc_id", "left_anti")
+    n = 2 * WIDEST * FINEST
+    place = F.floor((F.col(f"{name}.logit") + WIDEST) * FINEST)
+    found = rows.select("doc_id", F.col(f"{name}.language").alias("language"), F.least(F.greatest(place, F.lit(0)), F.lit(n)).alias("bin"))
+    counts = np.zeros((len(LANGUAGES) + 1, n + 1, 2))
+    # at most one row per language, bin and class reaches the driver
+    for r in found.join(known, "doc_id").groupBy("language", "bin", "label").agg(F.count("*").alias("n")).collect():
+        counts[r["language"], r["bin"], r["label"]] += r["n"]
+    return counts
+
+
+def scored(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with a column ``toxicity_score`` (0 to 1) computed from the whole text alone: the
+    probability moved so that the language's threshold lies at ``CUTOFF``. Every text is read by the network once; the
+    thresholds come from what it says. A null text is empty and gets the score of an empty text; without a model every
+    score is 0. An existing column of that name is replaced."""
+    fitted = fit(docs, labels)
+    if fitted is None:
+        return docs.select(*[f"`{c}`" for c in keep]).withColumn("toxicity_score", F.lit(0.0))
+    model, ids = fitted
+    name = "_judged"
+    while name in docs.columns:
+        name += "_"
+    rows = materialised(judged(docs, model, name).select(*[f"`{c}`" for c in keep], name))
+    calibrate(model, calibration_counts(rows, labels, ids, name))
+    limit = F.element_at(F.array(*map(F.lit, model.thresholds)), F.col(f"{name}.language") + 1)
+    moved = F.col(f"{name}.logit") + float(np.log(CUTOFF / (1 - CUTOFF))) - limit
+    score = 1 / (1 + F.exp(-F.least(F.greatest(moved, F.lit(-30.0)), F.lit(30.0))))
+    return rows.withColumn("toxicity_score", score).drop(name)
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (score of at least ``CUTOFF``) for every row of ``docs``."""
-    rows = scored(docs.select("doc_id", "text"), fit(docs, labels))
+    rows = scored(docs.select("doc_id", "text"), labels, ["doc_id"])
     return rows.select("doc_id", held_out().alias("held_out"), F.col("toxicity_score").alias("score"),
                        (F.col("toxicity_score") >= CUTOFF).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score stays below ``CUTOFF``, with their columns. Repeated rows are decided alike."""
-    return scored(docs, fit(docs, labels)).where(F.col("toxicity_score") < CUTOFF).select(*[f"`{c}`" for c in docs.columns])
+    return scored(docs, labels, docs.columns).where(F.col("toxicity_score") < CUTOFF).select(*[f"`{c}`" for c in docs.columns])

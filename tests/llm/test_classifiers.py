@@ -74,3 +74,29 @@ def test_pooling_reads_whole_texts():
     assert model.judge(words(at_border))[0] > model.judge(words(far))[0] + 1
     assert toxicity.LANGUAGES[model.judge(words("der Hund und die Katze"))[1] - 1] == "de"
     assert model.judge(words(""))[1] == 0
+
+
+def test_thresholds_count_every_labelled_row_left(spark):
+    texts = [("the and of to is " if i % 2 else "der die und das ist ") + ("vile " if i % 4 < 2 else "fine ") + "pad " * (1_500 if i % 5 == 0 else 3)
+             for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(400)], "doc_id long, toxic int")
+    model, fitted = toxicity.fit(docs, labels, 100)
+    ids = {r.doc_id for r in fitted.collect()}
+    left = [i for i in range(400) if i not in ids and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 0 < len(ids) < 150 and any(i % 5 == 0 for i in ids)
+    counts = toxicity.calibration_counts(toxicity.judged(docs, model, "j").select("doc_id", "j"), labels, fitted, "j")
+    for k, language in enumerate(("de", "en")):
+        own = counts[1 + toxicity.LANGUAGES.index(language)].sum(0)
+        mine = [i for i in left if i % 2 == k]
+        assert own.tolist() == [sum(i % 4 >= 2 for i in mine), sum(i % 4 < 2 for i in mine)]
+
+
+def test_every_language_has_a_threshold_of_its_own():
+    bins, unit, zero = 2 * toxicity.WIDEST * toxicity.FINEST + 1, toxicity.FINEST, toxicity.WIDEST * toxicity.FINEST
+    counts = np.zeros((5, bins, 2))
+    counts[1, zero - unit, 0], counts[1, zero, 1] = 900, 100  # English: toxic from 0
+    counts[2, zero, 0], counts[2, zero + unit, 1] = 120, 12  # French: from 1, with few documents
+    model = toxicity.Model(None, [], None, None, 0.0, [9.0] * 5)
+    toxicity.calibrate(model, counts)
+    assert -1 < model.thresholds[1] <= 0 < model.thresholds[2] <= 1 and model.thresholds[3] == model.thresholds[0]
