@@ -75,3 +75,21 @@ def test_leaves_cover_the_text(text):
     made, leaves = merkle.tree(text)
     assert sum(n for _, n in made.leaves()) == len(text)
     assert (leaves[-1][0] if leaves else 0) == len(text.encode())
+
+
+@pytest.mark.parametrize("unit", ["".join(chr(0x4E00 + i * i * 31 % 20_000) for i in range(200)), "x", "0123456789abcdef" * 9,
+                                  "".join(f"{i * i * 7919 % 100_003:x}" for i in range(300)), "a a a a b a a a "])
+def test_every_text_has_leaves_in_its_unchanged_part(unit):
+    text = (unit * 1_000)[:600]
+    edited = text[:400] + "Ü-" * 100
+    a, b = merkle.tree(text)[0], merkle.tree(edited)[0]
+    assert all(n <= merkle.GREATEST for _, n in a.leaves())
+    assert merkle.likeness(a, b) > 0.5
+    start, *_ = merkle.edits(a, b)[0]
+    assert 400 - merkle.GREATEST <= start <= 400
+
+
+def test_leaves_meet_again_after_an_insertion():
+    text = "".join(f"{i * i * 7919 % 100_003:x}" for i in range(2_000))
+    a, b = merkle.tree(text)[0], merkle.tree(text[:900] + "inserted" + text[900:])[0]
+    assert merkle.likeness(a, b) > 0.95
