@@ -389,9 +389,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the rows of ``docs`` that ``near_duplicates`` keeps, with their columns.
     Of rows repeated with their id and text one stays; rows with a null id all stay."""
-    ids = near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
+    ids = near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull())
-    stay = named.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = named.join(ids, "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates(["doc_id", "text"])
     return stay.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

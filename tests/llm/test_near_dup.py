@@ -104,3 +104,11 @@ def test_estimates_and_bounds():
 def test_exact_threshold():
     a = np.arange(100, dtype=np.uint64)
     assert nd.similar(a, a[:85]) and not nd.similar(a, a[:84]) and not nd.similar(a[:0], a[:0])
+
+
+def test_kept_takes_a_table_with_a_column_of_ids(spark):
+    rows = [(1, 5, "same words in both of these rows here"), (2, 8, "same words in both of these rows here"), (3, None, None), (9, None, "no id")]
+    docs = spark.createDataFrame(rows, "_id long, doc_id long, text string")
+    got = nd.kept(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2], rows[3]]
