@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkprint.llm import merkle, near_dup, packing, pii, quality, secret_scan, topk, toxicity, viterbi, warc
+from inkprint.llm import alignment, merkle, near_dup, packing, pii, quality, secret_scan, topk, toxicity, viterbi, warc
 from inkprint.llm.common import scratch_folder, table
 
 
@@ -78,3 +78,8 @@ def _(spark, sf):
 @query("op10_toxicity")
 def _(spark, sf):
     return toxicity.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_alignment")
+def _(spark, sf):
+    return alignment.align(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
