@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkprint.llm import alignment, license_scan, merkle, near_dup, packing, pii, quality, secret_scan, topk, toxicity, viterbi, warc
+from inkprint.llm import alignment, hard_negatives, license_scan, merkle, near_dup, packing, pii, quality, secret_scan, topk, toxicity, viterbi, warc
 from inkprint.llm.common import scratch_folder, table
 
 
@@ -80,6 +80,11 @@ def _(spark, sf):
     return toxicity.classified(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op11_hard_negatives", hard_negatives.ORACLE)
+def _(spark, sf):
+    return hard_negatives.search(spark, table(spark, sf, "embeddings"))
+
+
 @query("op12_licenses", license_scan.ORACLE)
 def _(spark, sf):
     return license_scan.scan(table(spark, sf, "documents"))
