@@ -177,7 +177,8 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, positives: int =
 
     ``vectors`` has vec_id, embedding and what ``label`` and ``is_anchor`` (over vec_id and label) read; other columns are
     ignored. Which rows take no part: see ``quantised``. Shorter vectors count as padded with zeros. An id with several
-    labels or vectors stands for several rows, and several anchors. An empty table gives no rows."""
+    labels or vectors stands for several rows, and several anchors. Scores are exact while a hundred times a score fits
+    64 bits. An empty table gives no rows."""
     rows = materialised(quantised(vectors, label).withColumn("aid", F.monotonically_increasing_id()))
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"),
                     F.count(F.when(is_anchor, 1)).alias("anchors")).first()
