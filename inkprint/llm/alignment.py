@@ -11,6 +11,7 @@ chunks, each chunk is encoded by itself, and chunks seen before are looked up.
 """
 
 import hashlib
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 
 from inkprint.llm.common import materialised
 
-CACHE_CHARS = 24_000_000  # characters of chunks and group texts that a task keeps
-SLICE_CHARS = 1_000_000  # characters whose unknown chunks are encoded together
+CACHE_SIZE = 24_000_000  # what the chunks that a task keeps may add up to: their characters, and ENTRY for each
+ENTRY = 40
+SLICE_CHARS = 1_000_000  # characters that are worked on together
 _CHUNK = re.compile(r"[ \n]+[^ \n]*")
 _ODD = re.compile(r"[^\S \n][ \n]")  # another kind of white space before a blank: the cut there would not be safe
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+# Fixed value: how a byte-level vocabulary of this kind cuts a text before it merges bytes.
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,10 +63,23 @@ class Pair:
         place.update((x, i) for i, x in enumerate(self.b_bytes)
                      if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
         self.identity = np.array([place.get(x, -1) for x in self.a_bytes], np.int32)
-        self.same = self.identity.tolist()
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         # a piece with a line end, or with a blank after another character, would cross the border of a chunk
         self.cuts = not any("\n" in p or re.search("[^▁]▁", p) for p in pieces if len(p) > 1)
         self.blank = self.b.piece_to_id("▁")
+        self.plain = self._plain_encoder()
+
+    def _plain_encoder(self):
+        """A quicker encoder of the same ids for ASCII chunks. It takes the vocabulary's ids as merge ranks, so it needs one
+        in which every merge has the next id; None for others."""
+        import tiktoken
+        model = json.loads(self.a.to_str())["model"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        first = len(byte_letters())
+        if any(model["vocab"].get(x + y) != first + n for n, (x, y) in enumerate(merges)):
+            return None
+        ranks = {x: i for i, x in enumerate(self.a_bytes[:first + len(merges)])}
+        return tiktoken.Encoding("a", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def chunks(self, text: str) -> list[str]:
         """Pieces of ``text`` that both tokenizers encode independently of each other."""
@@ -71,35 +88,33 @@ class Pair:
             return [text]
         return _SAFE.split(text) if _ODD.search(text) else _CHUNK.findall(text)
 
-    def _b_ids(self, chunks: list[str]) -> list[list[int]]:
-        """B adds a blank in front of all but the empty text; a chunk's own first blank is left to it, and where a chunk
-        begins with a line end the added one is taken off again."""
-        out = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return [[self.blank] if c == " " else ids if c[0] == " " else ids[1:] if ids[:1] == [self.blank] else []
-                for c, ids in zip(chunks, out)]
-
-    def entries(self, chunks: list[str]) -> list[tuple | None]:
-        """Per chunk: group texts joined, tokens of A, of B, groups, links, A ids of regular groups, texts of the others.
-        None where the bytes of either side are not the chunk's."""
-        of_a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        a_bytes, b_bytes, same = self.a_bytes, self.b_bytes, self.same
-        out: list[tuple | None] = []
-        for chunk, a, b in zip(chunks, of_a, self._b_ids(chunks)):
-            raw = chunk.encode()
-            if b"".join([a_bytes[i] for i in a]) != raw or b"".join([b_bytes[i] for i in b]) != raw:
-                out.append(None)
-                continue
-            regular, irregular, texts, links = [], [], [], 0
-            for x, y, pairs in groups(a, b, a_bytes, b_bytes):
-                links += len(pairs)
-                text = f"{','.join(map(str, x))}|{','.join(map(str, y))}"
-                texts.append(text)
-                if len(pairs) == 1 and same[x[0]] == y[0]:
-                    regular.append(x[0])
-                else:
-                    irregular.append(text)
-            out.append((";".join(texts), len(a), len(b), len(texts), links, regular, irregular))
-        return out
+    def alone(self, chunk: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides of one chunk; None where the bytes of either side are not the chunk's. B adds a blank in front
+        of all but the empty text: a chunk's own first blank is left to it, and before a line end it is taken off again."""
+        a = self.a.encode(chunk, add_special_tokens=False).ids
+        b = [self.blank] if chunk == " " else self.b.encode(chunk.removeprefix(" ") if chunk[0] == " " else chunk)
+        b = b if chunk[0] == " " else b[1:] if b[:1] == [self.blank] else []
+        raw = chunk.encode()
+        same = b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
+        return (a, b) if same else None
+
+    def together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A, of B, and tokens of either per chunk, of chunks that end in a character other than white space, encoded
+        in a row; None where the tokens do not spell the chunks."""
+        text = "".join(chunks)
+        a = self.plain(text) if self.plain is not None and text.isascii() else self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        raw = text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        sides, ends = [], np.cumsum([len(c.encode()) for c in chunks])
+        for ids, size in ((np.array(a, np.int32), self.a_size), (np.array(b, np.int32), self.b_size)):
+            at = np.cumsum(size[ids])
+            last = np.searchsorted(at, ends)
+            if not np.array_equal(at[last], ends):
+                return None
+            sides.append((ids, np.diff(last + 1, prepend=0)))
+        return sides[0][0], sides[1][0], sides[0][1], sides[1][1]
 
 
 def groups(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]):
@@ -126,27 +141,9 @@ def groups(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes
 
 _ENCODED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
             "regular array<int>, regular_n array<int>, irregular array<string>, irregular_n array<int>")
-_TYPES = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32())]
 _NAMES = [part.split()[0] for part in _ENCODED.split(", ")]
 
 
-def _document(doc: int | None, parts: list[str], known: dict[str, tuple | None]) -> tuple:
-    counts = Counter(parts)
-    found = [known[c] for c in counts]
-    if None in found:
-        return doc, 0, 0, 0, 0, "", [], [], [], []
-    totals, regular, irregular = [0] * 4, Counter(), Counter()
-    for (_, *sizes, one, other), n in zip(found, counts.values()):
-        for k in range(4):
-            totals[k] += n * sizes[k]
-        for i in one:
-            regular[i] += n
-        for g in other:
-            irregular[g] += n
-    digest = hashlib.sha256(";".join([known[c][0] for c in parts]).encode()).hexdigest()
-    return doc, *totals, digest, list(regular), list(regular.values()), list(irregular), list(irregular.values())
-
-
 def _slices(rows, size: int):
     """Lists of rows with about ``size`` characters of text each."""
     part, held = [], 0
@@ -159,24 +156,124 @@ def _slices(rows, size: int):
     yield part
 
 
+class Rows:
+    """A growing table of rows of numbers, end to end."""
+
+    def __init__(self):
+        self.flat, self.start, self.size = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        first = len(self.flat) + np.cumsum(size) - size
+        self.flat, self.start, self.size = (np.concatenate(x) for x in ((self.flat, flat), (self.start, first), (self.size, size)))
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the rows at ``places``, and how many each has."""
+        size = self.size[places]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return self.flat[np.repeat(self.start[places], size) + at], size
+
+
+class Aligner:
+    """Aligns documents, some at a time, and keeps what it knows of chunks up to a bounded size."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.pair = Pair(path_a, path_b)
+        self.one = np.array([f"{i}|{j}" for i, j in enumerate(self.pair.identity)], object)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}  # of a chunk in the tables below
+        self.texts: list[str] = []  # its groups as text
+        self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups; 1 where it has no tokens
+        self.regular, self.irregular = Rows(), Rows()  # A ids; places in ``names``
+        self.names: dict[str, int] = {}  # irregular groups
+        self.held = 0
+
+    def _learn(self, chunks: list[str]) -> None:
+        pair, rest = self.pair, []
+        sets = ([], [])
+        for c in chunks:
+            (sets[c.isascii()] if pair.cuts and "▁" not in c and not c[-1].isspace() else rest).append(c)
+        for part in sets:
+            both = pair.together(part) if part else None
+            if both is None:
+                rest += part
+            else:
+                self._keep(part, *both, np.zeros(len(part), np.int64))
+        found = [pair.alone(c) for c in rest]
+        flat = lambda side: np.array([i for f in found if f for i in f[side]], np.int32)
+        size = lambda side: np.array([len(f[side]) if f else 0 for f in found], np.int64)
+        self._keep(rest, flat(0), flat(1), size(0), size(1), np.array([f is None for f in found], np.int64))
+
+    def _keep(self, chunks: list[str], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, none: np.ndarray) -> None:
+        pair, n = self.pair, len(chunks)
+        end_a, end_b = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+        ends = np.zeros(int(end_a[-1]) + 1 if len(a) else 1, np.int8)
+        ends[end_a] += 1
+        ends[end_b] += 1
+        last_a, last_b = np.flatnonzero(ends[end_a] == 2), np.flatnonzero(ends[end_b] == 2)  # last tokens of every group
+        first_a, first_b = (np.append(0, x[:-1] + 1)[:len(x)] for x in (last_a, last_b))
+        chunk = np.repeat(np.arange(n), n_a)[last_a]
+        n_groups = np.bincount(chunk, minlength=n)
+
+        one = (first_a == last_a) & (first_b == last_b) & (pair.identity[a[first_a]] == b[first_b])
+        texts, odd = self.one[a[first_a]], np.flatnonzero(~one)
+        ids_a, ids_b = a.tolist(), b.tolist()
+        spans = zip(*(x[odd].tolist() for x in (first_a, last_a, first_b, last_b)))
+        others = [f"{','.join(map(str, ids_a[i:j + 1]))}|{','.join(map(str, ids_b[k:m + 1]))}" for i, j, k, m in spans]
+        texts[odd] = others
+        texts, borders = texts.tolist(), np.append(0, np.cumsum(n_groups)).tolist()
+        self.place.update(zip(chunks, range(len(self.texts), len(self.texts) + n)))
+        self.texts += [";".join(texts[i:j]) for i, j in zip(borders, borders[1:])]
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, none], axis=1)])
+        self.regular.add(a[first_a[one]].astype(np.int64), np.bincount(chunk[one], minlength=n))
+        self.irregular.add(np.array([self.names.setdefault(t, len(self.names)) for t in others], np.int64),
+                           np.bincount(chunk[odd], minlength=n))
+        self.held += sum(map(len, chunks)) + ENTRY * n
+
+    @staticmethod
+    def _distinct(table: Rows, places: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per document the distinct numbers of its chunks' rows: borders, numbers, counts."""
+        numbers, size = table.of(places)
+        wide = int(numbers.max(initial=0)) + 1
+        seen, times = np.unique(np.repeat(doc, size) * wide + numbers, return_counts=True)
+        return np.append(0, np.cumsum(np.bincount(seen // wide, minlength=n))), seen % wide, times
+
+    def __call__(self, rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
+        if self.held > CACHE_SIZE:
+            self._forget()
+        cut = [self.pair.chunks(text) if text else [] for _, text in rows]
+        every = [c for parts in cut for c in parts]
+        new = {c for c, p in zip(every, map(self.place.get, every)) if p is None}
+        if new:
+            self._learn(list(new))
+        n, places = len(rows), np.array(list(map(self.place.__getitem__, every)), np.int64)
+        doc = np.repeat(np.arange(n), [len(parts) for parts in cut])
+        bad = np.bincount(doc[self.counts[places, 3] > 0], minlength=n) > 0
+        spelled = ~bad[doc]
+        kept, doc = places[spelled], doc[spelled]
+        n_a, n_b, n_groups = (np.bincount(doc, self.counts[kept, k], n).astype(np.int64) for k in range(3))
+        texts, borders = [self.texts[p] for p in kept.tolist()], np.append(0, np.cumsum(np.bincount(doc, minlength=n))).tolist()
+        digests = [hashlib.sha256(";".join(texts[i:j]).encode()).hexdigest() if j > i else "" for i, j in zip(borders, borders[1:])]
+        at, ids, times = self._distinct(self.regular, kept, doc, n)
+        odd_at, odd, odd_times = self._distinct(self.irregular, kept, doc, n)
+        names = list(self.names)
+        lists = lambda at, values, kind: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+        return pa.RecordBatch.from_arrays([
+            pa.array([d for d, _ in rows], pa.int64()), pa.array(n_a), pa.array(n_b), pa.array(n_groups),
+            pa.array(n_a + n_b - n_groups),  # in a group without an inner common end each further token adds one link
+            pa.array(digests, pa.string()), lists(at, ids, pa.int32()), lists(at, times, pa.int32()),
+            lists(odd_at, [names[i] for i in odd.tolist()], pa.string()), lists(odd_at, odd_times, pa.int32())], _NAMES)
+
+
 def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """One row per document: token, group and link counts, the digest of its groups, its regular groups as distinct A ids
     with their counts, and its other groups as distinct texts with theirs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, known, held = Pair(path_a, path_b), {}, 0
+        align_rows = Aligner(path_a, path_b)
         for batch in batches:
             for rows in _slices(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), SLICE_CHARS):
-                cut = [pair.chunks(text) if text else [] for _, text in rows]
-                if held > CACHE_CHARS:
-                    known, held = {}, 0
-                new = list({c for parts in cut for c in parts if c not in known})
-                if new:
-                    known.update(zip(new, pair.entries(new)))
-                    held += sum(len(c) + (len(known[c][0]) if known[c] else 0) for c in new)
-                out = [_document(doc, parts, known) if parts else (doc, 0, 0, 0, 0, "", [], [], [], [])
-                       for (doc, _), parts in zip(rows, cut)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _NAMES) if out else \
-                    pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], _NAMES)
+                yield align_rows(rows)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, _ENCODED)
 
 

@@ -120,15 +120,21 @@ def test_given_documents(spark, sf_dir, pair):
 
 
 def test_small_cache_changes_nothing(spark, sf_dir, monkeypatch):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
-    rows = docs.select("doc_id", "text").collect()
-    pair = alignment.Pair(A, B)
-    known = dict(zip(names := list({c for r in rows for c in pair.chunks(r["text"] or "")}), pair.entries(names)))
-    whole = [alignment._document(r["doc_id"], pair.chunks(r["text"]), known) for r in rows if r["text"]]
-    monkeypatch.setattr(alignment, "CACHE_CHARS", 50)
-    monkeypatch.setattr(alignment, "SLICE_CHARS", 10)
-    got = alignment.encoded(docs.where("length(text) > 0"), A, B).collect()
-    assert sorted(r["groups_sha256"] for r in got) == sorted(w[5] for w in whole)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    plain = lambda x: {**x, "irregular": sorted(zip(x["irregular"], x["irregular_n"])), "irregular_n": None}
+    whole = list(map(plain, alignment.Aligner(A, B)(rows).to_pylist()))
+    monkeypatch.setattr(alignment, "CACHE_SIZE", 50)
+    small = alignment.Aligner(A, B)
+    got = [plain(x) for part in alignment._slices(rows, 10) for x in small(part).to_pylist()]
+    assert got == whole
+
+
+def test_quick_encoder_gives_the_same_ids(pair, sf_dir, spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text rlike '^[\\\\x00-\\\\x7f]+$'").select("text").collect()]
+    assert pair.plain is not None and len(texts) > 20
+    for text in [*texts, "I'll don't we've  it's 'sx 12ab_c\t\t x\x0b\x0c y \x1c z"]:
+        assert pair.plain(text) == pair.a.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=150, deadline=None)
@@ -137,14 +143,17 @@ def test_chunks_encode_like_the_whole(text):
     pair = _shared()
     both = token_ranges(pair, text) if text else None
     parts = pair.chunks(text)
-    entries = pair.entries(parts)
     assert "".join(parts) == " " + text
+    got = _PAIR[1](([(1, text)])).to_pylist()[0]
     if both is None:
-        assert not text or None in entries
+        assert got["n_a"] == got["n_groups"] == 0 and got["groups_sha256"] == ""
     else:
-        whole = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b, _ in alignment.groups(
-            [i for _, _, i in both[0]], [i for _, _, i in both[1]], pair.a_bytes, pair.b_bytes))
-        assert ";".join(e[0] for e in entries) == whole
+        ids = [[i for _, _, i in side] for side in both]
+        found = list(alignment.groups(*ids, pair.a_bytes, pair.b_bytes))
+        whole = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b, _ in found)
+        assert (got["n_a"], got["n_b"], got["n_groups"]) == (len(ids[0]), len(ids[1]), len(found))
+        assert got["n_links"] == sum(len(p) for _, _, p in found)
+        assert got["groups_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
 
 
 _PAIR = []
@@ -152,5 +161,5 @@ _PAIR = []
 
 def _shared():
     if not _PAIR:
-        _PAIR.append(alignment.Pair(A, B))
+        _PAIR.extend([alignment.Pair(A, B), alignment.Aligner(A, B)])
     return _PAIR[0]
