@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkprint.functions.tails import anova_p, normal_two_sided
+from inkprint.functions.tails import SMALL_SIDE, anova_p, normal_two_sided, rank_sum_p
 from inkprint.session import materialised, null_safe_join
 
 _STEPS = 4096  # buckets per power of two
@@ -94,9 +94,14 @@ def rank_counts(hist: DataFrame, keys: list[str], hot: int | None = None) -> Dat
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, side: Column) -> DataFrame:
     """Two-sided rank-sum test of side 0 against side 1 per key: ``u0``, ``u1``, tie- and continuity-corrected
-    ``z`` and ``p_value``. Where all values are equal, z is 0 and p is 1."""
+    ``z`` and ``p_value``. Where all values are equal, z is 0 and p is 1. Where a side has at most eight values and no
+    values tie, p counts all orders of the values; else it is the normal tail of z."""
+    return rank_sum_test(materialised(value_histogram(df, keys, value, side)), keys)
+
+
+def rank_sum_test(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """``mann_whitney`` of a written histogram (keys, bucket, value, n0, n1)."""
     c = F.col
-    hist = materialised(value_histogram(df, keys, value, side))
     counts = rank_counts(hist, keys).where((c("n0") > 0) & (c("n1") > 0))
     pairs = c("n0").cast("double") * c("n1")
     n = (c("n0") + c("n1")).cast("double")
@@ -104,9 +109,10 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, side: Column) -> Da
     excess = F.greatest(c("u1"), pairs - c("u1")) - pairs / 2.0 - 0.5
     z = F.when(spread > 0, excess / F.sqrt(F.abs(spread))).otherwise(F.lit(0.0))
     scored = counts.select(*keys, "n0", "n1", (pairs - c("u1")).alias("u0"), "u1", z.alias("z"),
-                           (spread > 0).alias("_varies"))
+                           (spread > 0).alias("_varies"), ((c("ties") == 0) & (F.least("n0", "n1") <= SMALL_SIDE)).alias("exact"))
     p = F.when(c("_varies"), normal_two_sided(F.greatest(c("z"), F.lit(0.0)))).otherwise(F.lit(1.0))
-    return scored.withColumn("p_value", p).drop("_varies")
+    few = rank_sum_p(*[F.when(c("exact"), c(name)).otherwise(F.lit(1)) for name in ("u1", "n0", "n1")])
+    return scored.withColumn("p_value", F.when(c("exact"), few).otherwise(p)).drop("_varies", "exact")
 
 
 def auroc(df: DataFrame, keys: list[str], score: str, label: Column, overall: str | None = None) -> DataFrame:
@@ -117,6 +123,11 @@ def auroc(df: DataFrame, keys: list[str], score: str, label: Column, overall: st
         rest = keys[1:]
         whole = hist.groupBy(*rest, "bucket", "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         hist = hist.withColumn(keys[0], F.col(keys[0]).cast("string")).unionByName(whole.withColumn(keys[0], F.lit(overall)))
+    return area_under_curve(hist, keys)
+
+
+def area_under_curve(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """``auroc`` of a written histogram (keys, bucket, value, n0, n1)."""
     counts = rank_counts(hist, keys)
     pairs = F.col("n0").cast("double") * F.col("n1")
     return counts.select(*keys, "n0", "n1", (F.col("u1") / F.nullif(pairs, F.lit(0.0))).alias("auroc"))
@@ -124,8 +135,13 @@ def auroc(df: DataFrame, keys: list[str], score: str, label: Column, overall: st
 
 def wasserstein(df: DataFrame, keys: list[str], value: str, side: Column, hot: int | None = None) -> DataFrame:
     """First Wasserstein distance between the values of side 0 and side 1, per key."""
+    return transport_distance(materialised(value_histogram(df, keys, value, side)), keys, hot)
+
+
+def transport_distance(hist: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame:
+    """``wasserstein`` of a written histogram (keys, bucket, value, n0, n1)."""
     c = F.col
-    hist = split_hot(materialised(value_histogram(df, keys, value, side)), keys, hot)
+    hist = split_hot(hist, keys, hot)
     all_of = W.partitionBy(*keys)
     cells = hist.groupBy(*keys, *_CELL).agg(
         F.sum("n0").alias("_n0"), F.sum("n1").alias("_n1"), F.min("value").alias("_first"))
@@ -147,21 +163,38 @@ def wasserstein(df: DataFrame, keys: list[str], value: str, side: Column, hot: i
     return gaps.groupBy(*keys).agg(F.coalesce(F.sum(c("_gap") * c("_height")), F.lit(0.0)).alias("distance"))
 
 
+def value_counts_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, bucket, value, n): every value with its number of rows, counted before the shuffle. Missing values are one
+    row with a NULL value."""
+    x = F.col(value).cast("double") + 0.0
+    rows = df.select(*keys, F.when(~F.isnan(x), x).alias("value"))
+    return rows.withColumn("bucket", order_bucket(F.col("value"))).groupBy(*keys, "bucket", "value").agg(F.count("*").alias("n"))
+
+
+def two_sides(counts: DataFrame, keys: list[str], side: Column) -> DataFrame:
+    """(keys, bucket, value, n0, n1) from value counts that are told apart by more than ``keys``."""
+    of = lambda number: F.coalesce(F.sum(F.when(side.cast("int") == number, F.col("n"))), F.lit(0)).alias(f"n{number}")
+    return counts.where(F.col("value").isNotNull()).groupBy(*keys, "bucket", "value").agg(of(0), of(1))
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median", hot: int | None = None) -> DataFrame:
-    """Exact median per key. Row counts per bucket locate the one or two buckets that hold the middle ranks; values are
-    told apart and ordered in those buckets only. The keys and values are written once for both passes."""
+    """Exact median per key. The rows collapse to value counts, written once; totals per bucket locate the one or two
+    buckets that hold the middle ranks, and values are ordered in those buckets only."""
+    return median_of(materialised(value_counts_of(df, keys, value)), keys, name, hot)
+
+
+def median_of(counts: DataFrame, keys: list[str], name: str = "median", hot: int | None = None) -> DataFrame:
+    """``exact_median`` of written value counts (keys, bucket, value, n)."""
     c = F.col
-    x = c(value).cast("double") + 0.0
-    rows = materialised(df.select(*keys, F.when(~F.isnan(x), x).alias("value")).where(c("value").isNotNull()).withColumn(
-        "bucket", order_bucket(c("value"))))
-    sums = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("_n"))
+    rows = counts.where(c("value").isNotNull())
+    sums = rows.groupBy(*keys, "bucket").agg(F.sum("n").alias("_n"))
     before = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*keys, "bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
                        F.sum("_n").over(W.partitionBy(*keys)).alias("_total"))
     low, high = F.floor((c("_total") - 1) / 2), F.ceil((c("_total") - 1) / 2)
     wanted = sums.where((c("_offset") <= high) & (c("_offset") + c("_n") > low)).drop("_n")
-    near = null_safe_join(rows, wanted, [*keys, "bucket"])
-    hist = split_hot(materialised(near.groupBy(*keys, "bucket", "value", "_offset", "_total").agg(F.count("*").alias("n0"))), keys, hot)
+    near = materialised(null_safe_join(rows, wanted, [*keys, "bucket"]).withColumnRenamed("n", "n0"))
+    hist = split_hot(near, keys, hot)
     cells = hist.groupBy(*keys, *_CELL).agg(F.sum("n0").alias("_m"))
     within = W.partitionBy(*keys, "bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("_earlier", F.coalesce(F.sum("_m").over(within), F.lit(0))).drop("_m")
@@ -196,8 +229,13 @@ def anova_f(df: DataFrame, label: str, features: list[str], by: list[str] | None
     """One-way ANOVA of each feature over the classes in ``label`` (missing values count as 0): ``f_stat``,
     ``p_value``, optionally per slice ``by``."""
     by = by or []
+    return anova_of(moments(df.where(F.col(label).isNotNull()), [*by, label], features, missing_as_zero=True), by)
+
+
+def anova_of(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``anova_f`` of the moments (feature, n, mean, var) of every class."""
+    by = by or []
     c = F.col
-    cells = moments(df.where(c(label).isNotNull()), [*by, label], features, missing_as_zero=True)
     feature = W.partitionBy(*by, "feature")
     centred = cells.withColumn("_grand", F.sum(c("n") * c("mean")).over(feature) / F.sum("n").over(feature))
     sums = centred.groupBy(*by, "feature").agg(
@@ -285,9 +323,14 @@ def classify_shift(shift: DataFrame, alpha: float = 0.05) -> DataFrame:
     return shift.withColumn("kind", F.when(both, F.when(F.col("stable"), "stable").otherwise("conflict")))
 
 
-def _tested(stacked: DataFrame, features: list[str], label: str, min_cell: int) -> DataFrame:
+def _counted(stacked: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Value counts of every feature by corpus and class, written once: all rank statistics of a report read them."""
+    return materialised(value_counts_of(melt(stacked, ["corpus", label], features), ["corpus", label, "feature"], "value"))
+
+
+def _tested(stacked: DataFrame, counts: DataFrame, features: list[str], label: str, min_cell: int) -> DataFrame:
     c = F.col
-    tests = mann_whitney(melt(stacked, ["corpus", label], features), ["corpus", "feature"], "value", c(label))
+    tests = rank_sum_test(materialised(two_sides(counts, ["corpus", "feature"], c(label))), ["corpus", "feature"])
     side = lambda name, corpus, alias: F.max(F.when(c("corpus") == corpus, c(name))).alias(alias)
     paired = tests.groupBy("feature").agg(
         side("z", "first", "z_first"), side("z", "second", "z_second"),
@@ -298,7 +341,8 @@ def _tested(stacked: DataFrame, features: list[str], label: str, min_cell: int)
 def stable_conflict_features(first: DataFrame, second: DataFrame, features: list[str], label: str = "label",
                              min_cell: int = 10) -> DataFrame:
     """Features significant in both corpora, as 'stable' (same direction) or 'conflict' (opposite)."""
-    tested = _tested(_stack(first, second, features, label), features, label, min_cell)
+    stacked = _stack(first, second, features, label)
+    tested = _tested(stacked, _counted(stacked, features, label), features, label, min_cell)
     return classify_shift(tested).where(F.col("kind").isNotNull())
 
 
@@ -307,11 +351,12 @@ def shift_report(first: DataFrame, second: DataFrame, features: list[str], label
     """Every shift column per feature: directions, means, per-corpus tests, and how far the human and the AI
     distribution move between the corpora. Computed on all values."""
     stacked = _stack(first, second, features, label)
-    long = melt(stacked, ["corpus", label], features)
-    moved = wasserstein(long, [label, "feature"], "value", F.when(F.col("corpus") == "first", 0).otherwise(1))
+    counts = _counted(stacked, features, label)
+    corpora = two_sides(counts, [label, "feature"], F.when(F.col("corpus") == "first", 0).otherwise(1))
+    moved = transport_distance(materialised(corpora), [label, "feature"])
     side = lambda of, alias: F.max(F.when(F.col(label) == of, F.col("distance"))).alias(alias)
     moved = moved.groupBy("feature").agg(side(1, "ai_shift_w"), side(0, "human_shift_w"))
-    return classify_shift(_tested(stacked, features, label, min_cell)).join(moved, "feature")
+    return classify_shift(_tested(stacked, counts, features, label, min_cell)).join(moved, "feature")
 
 
 def shift_counts(report: DataFrame) -> DataFrame:

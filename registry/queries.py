@@ -11,6 +11,7 @@ from inkprint.functions.logprob import (
 from inkprint.functions.syntax import SYNTAX_FEATURES, syntax_features, syntax_nodes
 from inkprint.operators import baseline as hbd
 from inkprint.operators import curation, fingerprint, metrics, models, profile, sampling, stats
+from inkprint.operators.held_out import leave_one_group_out
 from inkprint.plans import studies
 from inkprint.session import materialised, scratch_folder, spread
 from inkprint.sources import corpus as io
@@ -580,6 +581,27 @@ def _(spark, sf):
     return tested(stats.mann_whitney(line_long(spark, sf), ["feature"], "value", F.col("side")))
 
 
+# Every order of a nation's suppliers is a number whose set bits are the places of side 1: SQL counts them one by one.
+@query("mann_whitney_small", f"""WITH v AS (SELECT s_nationkey AS nation, s_acctbal AS value, s_suppkey % 2 AS side FROM supplier),
+  u AS (SELECT a.nation, sum(CASE WHEN b.value > a.value THEN 1.0::DOUBLE WHEN b.value = a.value THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS u1
+    FROM v a JOIN v b ON a.nation = b.nation WHERE a.side = 0 AND b.side = 1 GROUP BY a.nation),
+  g AS (SELECT nation, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1, count(*) = count(DISTINCT value) AS plain
+    FROM v GROUP BY nation),
+  few AS (SELECT nation, n0, n1, u1, least(u1, n0 * n1 - u1) AS low FROM g JOIN u USING (nation) WHERE plain AND least(n0, n1) <= 8),
+  orders AS (SELECT *, unnest(range(0, (1 << (n0 + n1))::BIGINT)) AS bits FROM few),
+  sums AS (SELECT *, list_sum(list_transform(range(0, n0 + n1), lambda i: ((bits >> i::INT) & 1) * i)) - n1 * (n1 - 1) / 2 AS at
+    FROM orders WHERE bit_count(bits) = n1),
+  p AS (SELECT nation, least(1.0::DOUBLE, 2.0::DOUBLE * count(*) FILTER (at <= low) / count(*)) AS p FROM sums GROUP BY nation)
+  SELECT nation, n0, n1, u1, {S.r('p', 'p_value')} FROM g JOIN u USING (nation) LEFT JOIN p USING (nation)""")
+def _(spark, sf):
+    rows = table(spark, sf, "supplier").select(
+        F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("value"), (F.col("s_suppkey") % 2).alias("side"))
+    tied = rows.groupBy("nation").agg((F.count("*") == F.count_distinct("value")).alias("plain"))
+    result = stats.mann_whitney(rows, ["nation"], "value", F.col("side")).join(tied, "nation")
+    exact = F.when(F.col("plain") & (F.least("n0", "n1") <= 8), F.col("p_value"))
+    return rounded(result.select("nation", "n0", "n1", "u1", exact.alias("p_value")))
+
+
 @query("wasserstein", S.with_(_LINE, _LINE_LONG, S.wasserstein("long", "w", "feature", "side")) + f"SELECT feature, {S.r('distance', 'distance', 5)} FROM w")
 def _(spark, sf):
     return rounded(stats.wasserstein(line_long(spark, sf), ["feature"], "value", F.col("side")), 5)
@@ -775,6 +797,12 @@ def _(spark, sf):
     return _whole_label(pooled).select("sample_id", "problem_id", "label", "fold", "prediction")
 
 
+@query("leave_one_group_out")
+def _(spark, sf):
+    pooled = leave_one_group_out(lexical_of(paired(spark, sf)), LEXICAL_FEATURES, "problem_id")
+    return pooled.select("sample_id", "problem_id", "label", "prediction")
+
+
 @query("cross_corpus_eval")
 def _(spark, sf):
     m = matrices(spark, sf)

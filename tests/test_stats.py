@@ -1,11 +1,13 @@
+import itertools
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkprint.functions.tails import f_upper_tail
+from inkprint.functions.tails import arrangements_up_to, f_upper_tail, rank_sum_exact
 from inkprint.operators import stats
 
 
@@ -161,3 +163,53 @@ def test_a_clustered_bucket_is_cut_at_its_quantiles(spark):
     assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]))
     whole = stats.exact_median(spark.createDataFrame(values, "x double").withColumn("k", F.lit(None).cast("string")), ["k"], "x", hot=100)
     assert whole.first().median == values[10_000][0]
+
+
+def every_order(m, n):
+    """The rank-sum statistic of every order of m and n distinct values."""
+    return [sum(places) - m * (m - 1) // 2 for places in itertools.combinations(range(m + n), m)]
+
+
+def test_arrangements_equal_enumeration():
+    for m in range(1, 6):
+        for n in range(1, 8):
+            found = every_order(m, n)
+            assert [arrangements_up_to(u, m, n) for u in range(-1, m * n + 1)] == [sum(x <= u for x in found) for u in range(-1, m * n + 1)]
+
+
+@pytest.mark.parametrize("m, n", [(8, 250), (2, 4000), (5, 600)])
+def test_arrangements_equal_the_recurrence_for_long_sides(m, n):
+    counts = [1] + [0] * (m * n)
+    for i in range(1, m + 1):  # times (1 - q ** (n + i)) / (1 - q ** i)
+        for j in range(m * n, n + i - 1, -1):
+            counts[j] -= counts[j - n - i]
+        for j in range(i, m * n + 1):
+            counts[j] += counts[j - i]
+    sums = list(itertools.accumulate(counts))
+    assert sums[-1] == math.comb(m + n, m)
+    for u in range(0, m * n + 1, 37):
+        assert arrangements_up_to(u, m, n) == sums[u]
+
+
+def test_exact_p_values():
+    assert rank_sum_exact(0, 3, 3) == rank_sum_exact(9, 3, 3) == pytest.approx(0.1)  # published table
+    assert rank_sum_exact(4.0, 2, 4) == 1.0
+    wide = rank_sum_exact(8 * 10 ** 9, 8, 10 ** 9)
+    assert wide == pytest.approx(float(Fraction(2, math.comb(10 ** 9 + 8, 8))))
+
+
+def test_small_sides_without_ties_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(f"{m}-{n}", rng.random(), side) for m, n in ((1, 1), (2, 5), (4, 4), (8, 9), (5, 3)) for side, k in ((0, m), (1, n)) for _ in range(k)]
+    rows += [("tied", float(i % 3), i % 2) for i in range(10)] + [("long", rng.random(), i % 2) for i in range(40)] + [("one side", 1.0, 0)]
+    df = spark.createDataFrame(rows, "k string, v double, side int").repartition(3)
+    got = {r.k: r for r in stats.mann_whitney(df, ["k"], "v", F.col("side")).collect()}
+    assert set(got) == {k for k, _, _ in rows} - {"one side"}
+    for key, r in got.items():
+        a, b = split(rows, key)
+        assert r.u1 == brute_u1(a, b)
+        if key in ("tied", "long"):
+            assert r.p_value == pytest.approx(min(1.0, math.erfc(max(r.z, 0.0) / math.sqrt(2))))
+        else:
+            orders, low = every_order(len(a), len(b)), min(r.u1, r.u0)
+            assert r.p_value == pytest.approx(min(1.0, 2 * sum(x <= low for x in orders) / len(orders)))
