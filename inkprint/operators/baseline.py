@@ -116,7 +116,11 @@ class Baseline:
 
 def fit_baseline(population: DataFrame, features: list[str] = STABLE_FEATURES) -> Baseline:
     mean, scale = _scaler_arrays(population, features)
-    n, sums, quartic = _product_sums(population, features, mean, scale)
+    return baseline_of(features, mean, scale, *_product_sums(population, features, mean, scale))
+
+
+def baseline_of(features: list[str], mean: np.ndarray, scale: np.ndarray, n: int, sums: np.ndarray, quartic: float) -> Baseline:
+    """The baseline of n rows from their scaler, and sum of z z^T and of |z|^4."""
     covariance, intensity = shrink(n, sums, quartic)
     precision = np.linalg.pinv(covariance, hermitian=True)
     spectrum = np.linalg.eigvalsh(covariance)

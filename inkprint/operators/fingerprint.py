@@ -1,17 +1,14 @@
 """Which classes are confusable with which: confusion rates, class distances, average linkage."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprint.operators.metrics import confusion_counts
 from inkprint.operators.stats import anova_f, significance_flag
-from inkprint.session import null_safe_join
+from inkprint.session import materialised, null_safe_join
 
 MIN_RATE = 0.01  # fixed value: pairs below this rate are not listed
-MAX_CLASSES = 4000  # linkage holds a classes x classes matrix per slice
 
 
 def derive_class(df: DataFrame, generator: str = "generator") -> DataFrame:
@@ -69,56 +66,122 @@ def nearest_class(distances: DataFrame, by: list[str] | None = None) -> DataFram
         *by, "class", F.col("_best.other").alias("nearest"), F.col("_best.distance").alias("distance"))
 
 
-def upgma(distance: np.ndarray) -> list[tuple[float, float, float, float]]:
-    """Average-linkage merges (idx1, idx2, distance, count); merged clusters are numbered from n on."""
-    k = len(distance)
-    d = distance.astype("float64").copy()
-    np.fill_diagonal(d, np.inf)
-    number, size, merges = list(range(k)), np.ones(k), []
-    for step in range(k - 1):
-        i, j = divmod(int(np.argmin(d)), k)
-        i, j = min(i, j), max(i, j)
-        low, high = sorted((number[i], number[j]))
-        merges.append((float(low), float(high), float(d[i, j]), float(size[i] + size[j])))
-        joined = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = joined, joined
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i], number[i] = size[i] + size[j], k + step
-    return merges
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """Append ``name``: the place of the row, from 0, in its group by ``order`` (whose columns decide every tie). With
+    ``weight`` also ``{name}_sum``: that column summed up to and including the row. No group is brought together: rows are
+    dealt out by range and numbered inside their range, and the small table of range totals gives the offsets."""
+    dealt = materialised(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    totals = [F.count("*").alias("_rows")] + ([F.sum(weight).alias("_weight")] if weight else [])
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*keys, "_range").agg(*totals)
+    offsets = offsets.select(*keys, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+                             *([F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_sum")] if weight else []))
+    inside = W.partitionBy(*keys, "_range").orderBy(*order)
+    placed = dealt.withColumn(name, F.row_number().over(inside) - 1)
+    if weight:
+        placed = placed.withColumn(f"{name}_sum", F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    joined = null_safe_join(placed, offsets, [*keys, "_range"]).withColumn(name, F.col(name) + F.col("_before"))
+    return (joined.withColumn(f"{name}_sum", F.col(f"{name}_sum") + F.col("_sum")) if weight else joined).drop("_range", "_before", "_sum")
+
+
+def _merge_round(pairs: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """One round over (slice, a, b, alike, size_a, size_b), a before b: the pairs that are each other's nearest merge, all at
+    once. Returns the written merges and the pairs of the clusters that are left."""
+    c = F.col
+    distance = 1.0 - c("alike") / (c("size_a") * c("size_b"))
+    near = F.struct(distance.alias("distance"), c("a"), c("b"), (c("size_a") + c("size_b")).alias("size"))
+    # the order by distance, then names is the same from both sides, so the closest pair of a slice always merges
+    nearest = pairs.select("slice", F.explode(F.array("a", "b")).alias("of"), near.alias("near")).groupBy("slice", "of").agg(
+        F.min("near").alias("near"))
+    mutual = nearest.groupBy("slice", c("near.a").alias("low"), c("near.b").alias("high")).agg(
+        F.count("*").alias("_both"), F.first("near.distance").alias("distance"), F.first("near.size").alias("size"))
+    merges = materialised(mutual.where(c("_both") == 2).select("slice", "low", "high", "distance", "size", F.lit(step).alias("round")))
+    moved = merges.select("slice", F.explode(F.array("low", "high")).alias("_old"), c("low").alias("_new"), c("size").alias("_grown"))
+
+    def renamed(df: DataFrame, side: str) -> DataFrame:
+        of = moved.select(c("slice").alias("_slice"), "_old", "_new", "_grown")
+        joined = df.join(of, (df["slice"] == c("_slice")) & (df[side] == c("_old")), "left")
+        return joined.withColumns({side: F.coalesce("_new", side), f"size_{side}": F.coalesce("_grown", f"size_{side}")}).drop(*of.columns)
+
+    both = renamed(renamed(pairs, "a"), "b").where(c("a") != c("b"))
+    side = lambda name, first: F.when((c("a") < c("b")) == first, c(name + "a")).otherwise(c(name + "b"))
+    left = both.select("slice", side("", True).alias("a"), side("", False).alias("b"), "alike",
+                       side("size_", True).alias("size_a"), side("size_", False).alias("size_b"))
+    return merges, left.groupBy("slice", "a", "b").agg(
+        F.sum("alike").alias("alike"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
 
 
 def average_linkage(rates: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Merge table (step, idx1, idx2, distance, count) of the classes of each slice, numbered alphabetically.
-
-    The input of a slice is its aggregated class pairs, at most classes squared whatever the number of samples.
-    Slices are clustered in parallel."""
-    keys = by or ["_slice"]
-    named = rates if by else rates.withColumn("_slice", F.lit("all"))
-    alone = F.array(F.col("true_class"), F.col("pred_class"))
-    leaves = named.select(*keys, F.explode(alone).alias("class_i")).distinct().withColumn(
-        "class_j", F.col("class_i")).withColumn("distance", F.lit(0.0))
-    pairs = class_distance(named, keys).unionByName(leaves)
-
-    def cluster(key, pdf):
-        names = sorted(set(pdf["class_i"]) | set(pdf["class_j"]))
-        if len(names) > MAX_CLASSES:
-            raise ValueError(f"{len(names)} classes in slice {key}; cluster at most {MAX_CLASSES}")
-        at = {name: i for i, name in enumerate(names)}
-        d = np.ones((len(names), len(names)))
-        i, j = pdf["class_i"].map(at).to_numpy(), pdf["class_j"].map(at).to_numpy()
-        d[i, j] = d[j, i] = pdf["distance"].to_numpy()
-        out = pd.DataFrame(upgma(d), columns=["idx1", "idx2", "distance", "count"])
-        out.insert(0, "step", np.arange(len(out)))
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out
-
-    types = dict(named.select(*keys).dtypes)
-    schema = "step int, idx1 double, idx2 double, distance double, count double, " + ", ".join(
-        f"`{k}` {types[k]}" for k in keys)
-    merged = pairs.groupBy(*keys).applyInPandas(cluster, schema)
-    return merged if by else merged.drop("_slice")
+    """Merge table (step, idx1, idx2, distance, count) of the classes of each slice, numbered alphabetically; merges are
+    numbered on from there by distance.
+
+    Only pairs that were confused are held; others stand at distance 1. Of two clusters the sum of what their classes are
+    closer than 1 is held, so a merge adds sums up and the average distance is exact. Merging each other's nearest
+    clusters never brings other ones closer, so all such pairs of all slices merge in the same round; every round is a few
+    aggregations over what is left, written to shared storage. Clusters without a confused pair between them merge last, at
+    distance 1, in the order of their first classes. Slices may be NULL; a slice with one class has no merges."""
+    c = F.col
+    keys = by or []
+    slice_of = F.to_json(F.struct(*[c(k) for k in keys])) if keys else F.lit("all")
+    named = materialised(rates.withColumn("slice", slice_of).select("slice", "true_class", "pred_class", "rate", *keys))
+    leaves = numbered(named.select("slice", F.explode(F.array("true_class", "pred_class")).alias("class")).distinct(),
+                      ["slice"], ["class"], "leaf")
+    one = F.lit(1).cast("long")
+    pairs = materialised(class_distance(named, ["slice"]).select(
+        "slice", c("class_i").alias("a"), c("class_j").alias("b"), (1.0 - c("distance")).alias("alike"),
+        one.alias("size_a"), one.alias("size_b")))
+    rounds: list[DataFrame] = []
+    while not pairs.isEmpty():
+        merges, pairs = _merge_round(pairs, len(rounds))
+        pairs = materialised(pairs)
+        rounds.append(merges)
+    merged = rounds[0] if rounds else pairs.select(
+        "slice", c("a").alias("low"), c("b").alias("high"), c("alike").alias("distance"), c("size_a").alias("size"), F.lit(0).alias("round"))
+    for merges in rounds[1:]:
+        merged = merged.unionByName(merges)
+    merged = materialised(merged)
+
+    # what is left of every slice merges at distance 1, one cluster after the other
+    gone = merged.select(c("slice").alias("_slice"), c("high").alias("_gone"))
+    sizes = merged.groupBy(c("slice").alias("_slice"), c("low").alias("_low")).agg(F.max("size").alias("_size"))
+    roots = leaves.join(gone, (c("slice") == c("_slice")) & (c("class") == c("_gone")), "left_anti")
+    roots = roots.join(sizes, (c("slice") == c("_slice")) & (c("class") == c("_low")), "left").select(
+        "slice", "class", F.coalesce("_size", one).alias("size"))
+    roots = numbered(roots, ["slice"], ["class"], "root", "size")
+    placed = numbered(merged, ["slice"], ["distance", "round", "low"], "step")
+    counts = leaves.groupBy("slice").agg(F.count("*").alias("n")).join(
+        merged.groupBy(c("slice").alias("_slice")).agg(F.count("*").alias("_merged")), c("slice") == c("_slice"), "left").select(
+        "slice", "n", F.coalesce("_merged", F.lit(0)).alias("merged"))
+
+    # a cluster is the last merge that kept its first class, else that class; there are as many such merges as rounds at most
+    placed = placed.join(counts, "slice").withColumn("node", c("n") + c("step"))
+    ends = placed.select("slice", c("low").alias("class"), "round", "node")
+    first = leaves.select("slice", "class", F.lit(-1).alias("round"), c("leaf").alias("node"))
+    nodes = materialised(first.unionByName(ends))
+    latest = lambda df, side: df.join(nodes.select(
+        c("slice").alias("_slice"), c("class").alias("_class"), c("round").alias("_round"), c("node").alias("_node")),
+        (c("slice") == c("_slice")) & (c(side) == c("_class")) & (c("_round") < c("round"))).groupBy("slice", "step").agg(
+        F.max_by("_node", "_round").alias(side)).select(c("slice").alias("_of"), c("step").alias("_at"), c(side).alias(f"{side}_node"))
+    listed = placed
+    for side in ("low", "high"):
+        found = latest(placed, side)
+        listed = listed.join(found, (c("slice") == c("_of")) & (c("step") == c("_at"))).drop("_of", "_at")
+    listed = listed.select("slice", "step", "low_node", "high_node", "distance", c("size").alias("count"))
+
+    tops = roots.join(nodes.groupBy(c("slice").alias("_slice"), c("class").alias("_class")).agg(
+        F.max_by("node", "round").alias("node")), (c("slice") == c("_slice")) & (c("class") == c("_class"))).join(counts, "slice")
+    start = tops.where(c("root") == 0).select(c("slice").alias("_slice"), c("node").alias("_first"))
+    chain = tops.where(c("root") > 0).join(start, c("slice") == c("_slice"))
+    before = F.when(c("root") == 1, c("_first")).otherwise(c("n") + c("merged") + c("root") - 2)
+    chain = chain.select("slice", (c("merged") + c("root") - 1).alias("step"), before.alias("low_node"), c("node").alias("high_node"),
+                         F.lit(1.0).alias("distance"), c("root_sum").alias("count"))
+    table = listed.unionByName(chain).select(
+        "slice", c("step").cast("int"), F.least("low_node", "high_node").cast("double").alias("idx1"),
+        F.greatest("low_node", "high_node").cast("double").alias("idx2"), "distance", c("count").cast("double"))
+    if not keys:
+        return table.drop("slice")
+    values = named.select(c("slice").alias("_slice"), *keys).dropDuplicates(["_slice"])
+    return table.join(values, c("slice") == c("_slice")).select("step", "idx1", "idx2", "distance", "count", *keys)
 
 
 def discriminating_features(df: DataFrame, features: list[str], label: str = "class") -> DataFrame:

@@ -21,12 +21,66 @@ def brute_linkage(d):
     return merges
 
 
-def test_upgma_matches_brute_force():
-    rng = np.random.default_rng(5)
-    d = rng.random((17, 17))
-    d = (d + d.T) / 2
-    np.fill_diagonal(d, 0)
-    assert np.allclose(fp.upgma(d), brute_linkage(d))
+def rates_of(spark, d, slices=None):
+    """Confusion rates that stand for the distances ``d``; pairs at distance 1 are not listed."""
+    rows = [(f"c{i:03d}", f"c{j:03d}", 1 - float(d[i, j])) for i in range(len(d)) for j in range(i + 1, len(d)) if d[i, j] < 1]
+    rows += [(f"c{i:03d}", f"c{i:03d}", 0.0) for i in range(len(d))]
+    return spark.createDataFrame(rows, "true_class string, pred_class string, rate double")
+
+
+def merges_of(df):
+    return df.toPandas().sort_values("step")[["idx1", "idx2", "distance", "count"]].to_numpy()
+
+
+@pytest.mark.parametrize("n, listed", [(17, 1.0), (24, 0.15), (9, 0.0), (2, 1.0)])
+def test_linkage_matches_brute_force(spark, n, listed):
+    """Full, sparse and empty pair tables: distances recomputed from scratch at every merge; ties at 1 go by first class."""
+    rng = np.random.default_rng(n)
+    d = np.where(rng.random((n, n)) < listed, rng.random((n, n)), 1.0)
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    got, want = merges_of(fp.average_linkage(rates_of(spark, d))), np.array(brute_linkage(d))
+    below = want[:, 2] < 1 - 1e-12
+    assert np.allclose(got[below], want[below]) and len(got) == n - 1
+    assert np.allclose(got[:, 2:3], want[:, 2:3]) and got[-1, 3] == n
+    clusters = {i: {i} for i in range(n)}
+    for step, (a, b, distance, count) in enumerate(got):  # the rest joins whole clusters, each once
+        members = clusters.pop(int(a)) | clusters.pop(int(b))
+        assert len(members) == count
+        clusters[n + step] = members
+
+
+def test_rounds_work_on_all_slices_at_once(spark, monkeypatch):
+    """Eight pairs of close classes in each of three slices, one without a name: two rounds merge what is listed."""
+    rounds = []
+    plain = fp._merge_round
+    monkeypatch.setattr(fp, "_merge_round", lambda pairs, step: rounds.append(step) or plain(pairs, step))
+    rows = [(s, f"a{i}", f"b{i}", 0.5) for s in ("x", "y", None) for i in range(8)]
+    merged = fp.average_linkage(spark.createDataFrame(rows, "s string, true_class string, pred_class string, rate double"), ["s"])
+    table = merged.toPandas()
+    assert len(table) == 45 and sorted(table["s"].fillna("-").unique()) == ["-", "x", "y"] and len(rounds) == 1
+    for _, part in table.groupby(table["s"].fillna("-")):
+        assert part.sort_values("step")["distance"].tolist() == [0.5] * 8 + [1.0] * 7
+        assert part.sort_values("step")["count"].tolist() == [2.0] * 8 + [2.0 * k for k in range(2, 9)]
+    assert fp.average_linkage(spark.createDataFrame([("a", "a", 0.0)], "true_class string, pred_class string, rate double")).count() == 0
+
+
+def test_no_stage_of_linkage_gathers_a_slice(spark, plan, monkeypatch):
+    pairs = spark.createDataFrame([("s", "a", "b", 0.5, 1, 1)], "slice string, a string, b string, alike double, size_a long, size_b long")
+    merges, left = fp._merge_round(pairs, 0)
+    text = plan(left)
+    assert "Python" not in text and "Pandas" not in text and "CartesianProduct" not in text and "hashpartitioning(slice#" not in "".join(
+        line for line in text.splitlines() if ", a#" not in line and ", b#" not in line and "_old" not in line)
+
+
+def test_numbers_without_gathering(spark):
+    rows = [("x" if i % 3 else None, f"n{i:04d}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, name string, w long").repartition(5)
+    got = {r["name"]: (r["place"], r["place_sum"]) for r in fp.numbered(df, ["k"], ["name"], "place", "w").collect()}
+    for key in ("x", None):
+        total = 0
+        for place, (_, name, w) in enumerate(r for r in rows if r[0] == key):
+            total += w
+            assert got[name] == (place, total)
 
 
 @pytest.fixture(scope="module")
