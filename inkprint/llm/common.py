@@ -1,6 +1,9 @@
 """Native column helpers shared by the operators: whole texts, match positions, span digests, shared tables."""
 
+import sys
+import types
 from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,17 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def worker_table(owner: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing, that of its last owner. Another owner's is dropped before
+    ``make`` is called, so tables of several operators or models never stand beside each other in a reused worker."""
+    slot = sys.modules.setdefault("_inkprint_worker_table", types.ModuleType("_inkprint_worker_table"))
+    if getattr(slot, "owner", None) != owner:
+        slot.owner = slot.kept = None
+        slot.kept = make()
+        slot.owner = owner
+    return slot.kept
+
+
 def held_out(name: str = "doc_id") -> Column:
     """True for the rows whose labels no model may learn from; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(name).cast("string")) % 4 == 2, F.lit(False))

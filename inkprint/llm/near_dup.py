@@ -9,8 +9,6 @@ sets. Components grow over the verified links only.
 
 import math
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import dealt, materialised, whole_text
+from inkprint.llm.common import dealt, materialised, whole_text, worker_table
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 85, 100  # linked when DENOMINATOR * intersection >= NUMERATOR * union
@@ -51,11 +49,7 @@ def words(text: str) -> list[bytes]:
 
 
 def _word_hashes() -> dict:
-    name = "_inkprint_word_hashes"
-    if name not in sys.modules:
-        sys.modules[name] = types.ModuleType(name)
-        sys.modules[name].known = {}
-    return sys.modules[name].known
+    return worker_table("word hashes", dict)
 
 
 def word_codes(found: list[bytes]) -> np.ndarray:

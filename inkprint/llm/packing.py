@@ -5,8 +5,6 @@ histogram of piece lengths by non-negative least squares and rounded, and what i
 depends on the histogram only (one bin per length); pieces are dealt to its slots by their rank within their length.
 """
 
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import materialised, partitions_of, whole_text
+from inkprint.llm.common import materialised, partitions_of, whole_text, worker_table
 
 SIZE = 2048
 SEPARATOR = 0  # the id that ends a document
@@ -80,12 +78,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of a vocabulary file; it outlives single tasks."""
-    name = f"_inkprint_encoder_{zlib.crc32(path.encode())}"
-    if name not in sys.modules:
-        module = types.ModuleType(name)
-        module.encode = WordEncoder(path)
-        sys.modules[name] = module
-    return sys.modules[name].encode
+    return worker_table(f"words {path}", lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:

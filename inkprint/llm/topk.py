@@ -17,8 +17,9 @@ from inkprint.llm.common import materialised
 
 LISTS = 2  # the share of a list is cutoff / LISTS: with few lists it is high, and few entries reach it
 SCALE = 256
-BLOCK_ROWS = 2048  # rows of one block of vectors
-BLOCK_QUERIES = 256  # queries of one block
+PROBES = 4  # times k + 1 rows of each list are scored for the cutoff: the higher it is, the fewer entries reach its share
+BLOCK_ROWS = 8192  # rows of one block of vectors
+BLOCK_QUERIES = 512  # queries of one block
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -118,12 +119,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     rows = _packed(classes.select("vid", "v"), ["vid"], block(n_rows, BLOCK_ROWS), width)
     row_blocks = max(1, -(-n_rows // BLOCK_ROWS))
 
+    probes = PROBES * (k + 1)
+
     def compare(queries: DataFrame, keys: list[str]) -> DataFrame:
         """Every block of queries meets every block of rows, list by list."""
         packed = _packed(queries, keys, block(n_queries, BLOCK_QUERIES), width)
         spread = packed.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("block"), "list",
                                F.col("rows").alias("queries"))
-        return rows.join(spread, ["block", "list"]).select("list", "rows", "queries").mapInPandas(_partials(k + 1), _PARTIAL)
+        return rows.join(spread, ["block", "list"]).select("list", "rows", "queries").mapInPandas(_partials(probes), _PARTIAL)
 
     full = classes.select(F.col("vid").alias("_vid"), F.col("v").alias("_v"))
     query_vectors = asked.select(F.col("vid").alias("_qid"), F.col("v").alias("_qv"))
@@ -132,9 +135,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         return pairs.join(full, F.col("vid") == F.col("_vid")).join(query_vectors, F.col("qid") == F.col("_qid")).select(
             "qid", "vid", _dot(F.col("_v"), F.col("_qv")).alias("score"))
 
-    # Phase 1. The k + 1 best of each list, scored fully; a class counts once, which keeps the cutoff safe.
+    # Phase 1. The best of each list, scored fully; a class counts once, which keeps the cutoff safe.
     best = Window.partitionBy("qid", "list").orderBy(F.desc("partial"), "vid")
-    first = compare(asked, ["vid"]).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
+    first = compare(asked, ["vid"]).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= probes)
     ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
     cutoffs = exact(first.select("qid", "vid").distinct()).withColumn("_n", F.row_number().over(ranked)).where(
         F.col("_n") == k + 1).select(F.col("qid").alias("_cut"), F.col("score").alias("cutoff"))

@@ -1,8 +1,6 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, filters of several widths, max pooling over the
 whole text; trained in numpy, with a threshold per language, the language being told from the text itself."""
 
-import sys
-import types
 import zlib
 from dataclasses import dataclass
 
@@ -11,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import held_out, materialised, whole_text
+from inkprint.llm.common import held_out, materialised, whole_text, worker_table
 from inkprint.llm.quality import training_rows
 
 FIT_ROWS = 8_000  # labelled documents the network is fit on, in expectation
@@ -254,14 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[M
 
 def judged(docs: DataFrame, model: Model, name: str) -> DataFrame:
     """``docs`` with a column ``name``: logit and language of the whole text. A null text is empty."""
-    module = f"_inkprint_words_{zlib.crc32(model.embedding.tobytes() + model.out.tobytes())}"
+    owner = f"toxicity {zlib.crc32(model.embedding.tobytes() + model.out.tobytes())}"
 
     @F.pandas_udf("logit double, language int")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        if module not in sys.modules:
-            sys.modules[module] = types.ModuleType(module)
-            sys.modules[module].words = model.words()
-        words = sys.modules[module].words
+        words = worker_table(owner, model.words)
         found = [model.judge(words(t)) for t in texts]
         return pd.DataFrame({"logit": np.array([x[0] for x in found], np.float64),
                              "language": np.array([x[1] for x in found], np.int32)})

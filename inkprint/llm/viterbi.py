@@ -7,8 +7,6 @@ word runs between such places can be remembered.
 """
 
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import whole_text
+from inkprint.llm.common import whole_text, worker_table
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # as far below the lowest score as the library's unigram search puts an unknown character
@@ -181,12 +179,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a model file; it outlives single tasks."""
-    name = f"_inkprint_pieces_{zlib.crc32(path.encode())}"
-    if name not in sys.modules:
-        module = types.ModuleType(name)
-        module.encoder = Encoder(path)
-        sys.modules[name] = module
-    return sys.modules[name].encoder
+    return worker_table(f"pieces {path}", lambda: Encoder(path))
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
