@@ -85,29 +85,29 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, weight
 
 
 def _merge_round(pairs: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
-    """One round over (slice, a, b, alike, size_a, size_b), a before b: the pairs that are each other's nearest merge, all at
+    """One round over (_slice, a, b, alike, size_a, size_b), a before b: the pairs that are each other's nearest merge, all at
     once. Returns the written merges and the pairs of the clusters that are left."""
     c = F.col
     distance = 1.0 - c("alike") / (c("size_a") * c("size_b"))
-    near = F.struct(distance.alias("distance"), c("a"), c("b"), (c("size_a") + c("size_b")).alias("size"))
+    near = F.struct(c("distance"), c("a"), c("b"), c("size"))
+    known = pairs.withColumn("distance", distance).withColumn("size", c("size_a") + c("size_b")).withColumn("near", near)
     # the order by distance, then names is the same from both sides, so the closest pair of a slice always merges
-    nearest = pairs.select("slice", F.explode(F.array("a", "b")).alias("of"), near.alias("near")).groupBy("slice", "of").agg(
+    nearest = known.select("_slice", F.explode(F.array("a", "b")).alias("of"), "near").groupBy("_slice", "of").agg(
         F.min("near").alias("near"))
-    mutual = nearest.groupBy("slice", c("near.a").alias("low"), c("near.b").alias("high")).agg(
+    mutual = nearest.groupBy("_slice", c("near.a").alias("low"), c("near.b").alias("high")).agg(
         F.count("*").alias("_both"), F.first("near.distance").alias("distance"), F.first("near.size").alias("size"))
-    merges = materialised(mutual.where(c("_both") == 2).select("slice", "low", "high", "distance", "size", F.lit(step).alias("round")))
-    moved = merges.select("slice", F.explode(F.array("low", "high")).alias("_old"), c("low").alias("_new"), c("size").alias("_grown"))
+    merges = materialised(mutual.where(c("_both") == 2).select("_slice", "low", "high", "distance", "size", F.lit(step).alias("round")))
+    moved = merges.select("_slice", F.explode(F.array("low", "high")).alias("_old"), c("low").alias("_new"), c("size").alias("_grown"))
 
     def renamed(df: DataFrame, side: str) -> DataFrame:
-        of = moved.select(c("slice").alias("_slice"), "_old", "_new", "_grown")
-        joined = df.join(of, (df["slice"] == c("_slice")) & (df[side] == c("_old")), "left")
-        return joined.withColumns({side: F.coalesce("_new", side), f"size_{side}": F.coalesce("_grown", f"size_{side}")}).drop(*of.columns)
+        joined = df.join(moved.withColumnRenamed("_old", side), ["_slice", side], "left")
+        return joined.withColumns({side: F.coalesce("_new", side), f"size_{side}": F.coalesce("_grown", f"size_{side}")}).drop("_new", "_grown")
 
     both = renamed(renamed(pairs, "a"), "b").where(c("a") != c("b"))
     side = lambda name, first: F.when((c("a") < c("b")) == first, c(name + "a")).otherwise(c(name + "b"))
-    left = both.select("slice", side("", True).alias("a"), side("", False).alias("b"), "alike",
+    left = both.select("_slice", side("", True).alias("a"), side("", False).alias("b"), "alike",
                        side("size_", True).alias("size_a"), side("size_", False).alias("size_b"))
-    return merges, left.groupBy("slice", "a", "b").agg(
+    return merges, left.groupBy("_slice", "a", "b").agg(
         F.sum("alike").alias("alike"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
 
 
@@ -123,12 +123,12 @@ def average_linkage(rates: DataFrame, by: list[str] | None = None) -> DataFrame:
     c = F.col
     keys = by or []
     slice_of = F.to_json(F.struct(*[c(k) for k in keys])) if keys else F.lit("all")
-    named = materialised(rates.withColumn("slice", slice_of).select("slice", "true_class", "pred_class", "rate", *keys))
-    leaves = numbered(named.select("slice", F.explode(F.array("true_class", "pred_class")).alias("class")).distinct(),
-                      ["slice"], ["class"], "leaf")
+    named = materialised(rates.withColumn("_slice", slice_of).select("_slice", "true_class", "pred_class", "rate", *keys))
+    leaves = numbered(named.select("_slice", F.explode(F.array("true_class", "pred_class")).alias("class")).distinct(),
+                      ["_slice"], ["class"], "leaf")
     one = F.lit(1).cast("long")
-    pairs = materialised(class_distance(named, ["slice"]).select(
-        "slice", c("class_i").alias("a"), c("class_j").alias("b"), (1.0 - c("distance")).alias("alike"),
+    pairs = materialised(class_distance(named, ["_slice"]).select(
+        "_slice", c("class_i").alias("a"), c("class_j").alias("b"), (1.0 - c("distance")).alias("alike"),
         one.alias("size_a"), one.alias("size_b")))
     rounds: list[DataFrame] = []
     while not pairs.isEmpty():
@@ -136,52 +136,46 @@ def average_linkage(rates: DataFrame, by: list[str] | None = None) -> DataFrame:
         pairs = materialised(pairs)
         rounds.append(merges)
     merged = rounds[0] if rounds else pairs.select(
-        "slice", c("a").alias("low"), c("b").alias("high"), c("alike").alias("distance"), c("size_a").alias("size"), F.lit(0).alias("round"))
+        "_slice", c("a").alias("low"), c("b").alias("high"), c("alike").alias("distance"), c("size_a").alias("size"), F.lit(0).alias("round"))
     for merges in rounds[1:]:
         merged = merged.unionByName(merges)
     merged = materialised(merged)
 
     # what is left of every slice merges at distance 1, one cluster after the other
-    gone = merged.select(c("slice").alias("_slice"), c("high").alias("_gone"))
-    sizes = merged.groupBy(c("slice").alias("_slice"), c("low").alias("_low")).agg(F.max("size").alias("_size"))
-    roots = leaves.join(gone, (c("slice") == c("_slice")) & (c("class") == c("_gone")), "left_anti")
-    roots = roots.join(sizes, (c("slice") == c("_slice")) & (c("class") == c("_low")), "left").select(
-        "slice", "class", F.coalesce("_size", one).alias("size"))
-    roots = numbered(roots, ["slice"], ["class"], "root", "size")
-    placed = numbered(merged, ["slice"], ["distance", "round", "low"], "step")
-    counts = leaves.groupBy("slice").agg(F.count("*").alias("n")).join(
-        merged.groupBy(c("slice").alias("_slice")).agg(F.count("*").alias("_merged")), c("slice") == c("_slice"), "left").select(
-        "slice", "n", F.coalesce("_merged", F.lit(0)).alias("merged"))
+    at = ["_slice", "class"]
+    sizes = merged.groupBy("_slice", c("low").alias("class")).agg(F.max("size").alias("size"))
+    roots = leaves.join(merged.select("_slice", c("high").alias("class")), at, "left_anti").join(sizes, at, "left").select(
+        *at, F.coalesce("size", one).alias("size"))
+    roots = numbered(roots, ["_slice"], ["class"], "root", "size")
+    placed = numbered(merged, ["_slice"], ["distance", "round", "low"], "step")
+    counts = leaves.groupBy("_slice").agg(F.count("*").alias("n")).join(
+        merged.groupBy("_slice").agg(F.count("*").alias("merged")), "_slice", "left").na.fill(0, ["merged"])
 
     # a cluster is the last merge that kept its first class, else that class; there are as many such merges as rounds at most
-    placed = placed.join(counts, "slice").withColumn("node", c("n") + c("step"))
-    ends = placed.select("slice", c("low").alias("class"), "round", "node")
-    first = leaves.select("slice", "class", F.lit(-1).alias("round"), c("leaf").alias("node"))
-    nodes = materialised(first.unionByName(ends))
-    latest = lambda df, side: df.join(nodes.select(
-        c("slice").alias("_slice"), c("class").alias("_class"), c("round").alias("_round"), c("node").alias("_node")),
-        (c("slice") == c("_slice")) & (c(side) == c("_class")) & (c("_round") < c("round"))).groupBy("slice", "step").agg(
-        F.max_by("_node", "_round").alias(side)).select(c("slice").alias("_of"), c("step").alias("_at"), c(side).alias(f"{side}_node"))
-    listed = placed
-    for side in ("low", "high"):
-        found = latest(placed, side)
-        listed = listed.join(found, (c("slice") == c("_of")) & (c("step") == c("_at"))).drop("_of", "_at")
-    listed = listed.select("slice", "step", "low_node", "high_node", "distance", c("size").alias("count"))
-
-    tops = roots.join(nodes.groupBy(c("slice").alias("_slice"), c("class").alias("_class")).agg(
-        F.max_by("node", "round").alias("node")), (c("slice") == c("_slice")) & (c("class") == c("_class"))).join(counts, "slice")
-    start = tops.where(c("root") == 0).select(c("slice").alias("_slice"), c("node").alias("_first"))
-    chain = tops.where(c("root") > 0).join(start, c("slice") == c("_slice"))
-    before = F.when(c("root") == 1, c("_first")).otherwise(c("n") + c("merged") + c("root") - 2)
-    chain = chain.select("slice", (c("merged") + c("root") - 1).alias("step"), before.alias("low_node"), c("node").alias("high_node"),
-                         F.lit(1.0).alias("distance"), c("root_sum").alias("count"))
+    placed = placed.join(counts, "_slice").withColumn("node", c("n") + c("step"))
+    first = leaves.select(*at, F.lit(-1).alias("made"), c("leaf").alias("node"))
+    nodes = materialised(first.unionByName(placed.select("_slice", c("low").alias("class"), c("round").alias("made"), "node")))
+
+    def latest(side: str) -> DataFrame:
+        asked = placed.select("_slice", "step", "round", c(side).alias("class"))
+        return asked.join(nodes, at).where(c("made") < c("round")).groupBy("_slice", "step").agg(
+            F.max_by("node", "made").alias(f"{side}_node"))
+
+    listed = placed.select("_slice", "step", "distance", c("size").alias("count")).join(latest("low"), ["_slice", "step"]).join(
+        latest("high"), ["_slice", "step"]).select("_slice", "step", "low_node", "high_node", "distance", "count")
+    tops = roots.join(nodes.groupBy(*at).agg(F.max_by("node", "made").alias("node")), at).join(counts, "_slice")
+    start = tops.where(c("root") == 0).select("_slice", c("node").alias("first"))
+    before = F.when(c("root") == 1, c("first")).otherwise(c("n") + c("merged") + c("root") - 2)
+    chain = tops.where(c("root") > 0).join(start, "_slice").select(
+        "_slice", (c("merged") + c("root") - 1).alias("step"), before.alias("low_node"), c("node").alias("high_node"),
+        F.lit(1.0).alias("distance"), c("root_sum").alias("count"))
     table = listed.unionByName(chain).select(
-        "slice", c("step").cast("int"), F.least("low_node", "high_node").cast("double").alias("idx1"),
+        "_slice", c("step").cast("int"), F.least("low_node", "high_node").cast("double").alias("idx1"),
         F.greatest("low_node", "high_node").cast("double").alias("idx2"), "distance", c("count").cast("double"))
     if not keys:
-        return table.drop("slice")
-    values = named.select(c("slice").alias("_slice"), *keys).dropDuplicates(["_slice"])
-    return table.join(values, c("slice") == c("_slice")).select("step", "idx1", "idx2", "distance", "count", *keys)
+        return table.drop("_slice")
+    values = named.select("_slice", *keys).dropDuplicates(["_slice"])
+    return table.join(values, "_slice").select("step", "idx1", "idx2", "distance", "count", *keys)
 
 
 def discriminating_features(df: DataFrame, features: list[str], label: str = "class") -> DataFrame:

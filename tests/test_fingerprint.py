@@ -65,10 +65,10 @@ def test_rounds_work_on_all_slices_at_once(spark, monkeypatch):
 
 
 def test_no_stage_of_linkage_gathers_a_slice(spark, plan, monkeypatch):
-    pairs = spark.createDataFrame([("s", "a", "b", 0.5, 1, 1)], "slice string, a string, b string, alike double, size_a long, size_b long")
+    pairs = spark.createDataFrame([("s", "a", "b", 0.5, 1, 1)], "_slice string, a string, b string, alike double, size_a long, size_b long")
     merges, left = fp._merge_round(pairs, 0)
     text = plan(left)
-    assert "Python" not in text and "Pandas" not in text and "CartesianProduct" not in text and "hashpartitioning(slice#" not in "".join(
+    assert "Python" not in text and "Pandas" not in text and "CartesianProduct" not in text and "hashpartitioning(_slice#" not in "".join(
         line for line in text.splitlines() if ", a#" not in line and ", b#" not in line and "_old" not in line)
 
 
