@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkprint.operators.baseline import Baseline, baseline_of
 from inkprint.operators.stats import order_bucket
-from inkprint.session import materialised
+from inkprint.session import materialised, null_safe_join
 
 
 def _clean(feature: str) -> Column:
@@ -78,9 +78,8 @@ def moments_of(counts: DataFrame, keys: list[str], missing_as_zero: bool = False
     per = [*keys, "feature"]
     rows = rows.where(c("value").isNotNull())
     # a value near the others of its bucket, the same for all batches: sums of differences from it lose nothing
-    first = rows.groupBy(*per, "bucket").agg(F.min("value").alias("_first"), F.max("value").alias("_last"))
-    near = rows.join(first, _same(rows, first, [*per, "bucket"])).select(
-        *[rows[k].alias(k) for k in [*per, "bucket"]], "n", (c("value") - c("_first")).alias("_d"), "_first")
+    first = rows.groupBy(*per, "bucket").agg(F.min("value").alias("_first"))
+    near = null_safe_join(rows, first, [*per, "bucket"]).withColumn("_d", c("value") - c("_first"))
     inside = near.groupBy(*per, "bucket").agg(
         F.sum("n").alias("_n"), F.first("_first").alias("_first"), F.sum(c("n") * c("_d")).alias("_s"),
         F.sum(c("n") * c("_d") * c("_d")).alias("_q"))
@@ -94,13 +93,6 @@ def moments_of(counts: DataFrame, keys: list[str], missing_as_zero: bool = False
     return merged.select(*per, "n", "mean", F.sqrt(variance).alias("std"), variance.alias("var"))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    same = F.lit(True)
-    for key in keys:
-        same = same & left[key].eqNullSafe(right[key])
-    return same
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

@@ -4,18 +4,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkprint.functions.lexical import LEXICAL_FEATURES, lexical_features
 from inkprint.functions.logprob import (
     LOGPROB_FEATURES, context_prefix, logprob_features, logprob_features_from_array)
 from inkprint.functions.syntax import SYNTAX_FEATURES, syntax_features, syntax_nodes
 from inkprint.operators import baseline as hbd
-from inkprint.operators import curation, fingerprint, metrics, models, profile, sampling, stats
+from inkprint.operators import curation, fingerprint, increments, metrics, models, profile, sampling, stats
 from inkprint.operators.held_out import leave_one_group_out
 from inkprint.plans import studies
 from inkprint.session import materialised, scratch_folder, spread
 from inkprint.sources import corpus as io
-from inkprint.streaming.incremental import incremental_features
+from inkprint.streaming.incremental import append_once, appended, incremental_features, resume
 from registry import sql as S
 from registry.fixtures import (
     EMBEDDING_FEATURES, LINE_FEATURES, code_samples, corpus_a, corpus_b, document_samples, matrix_emb, paired,
@@ -150,6 +151,40 @@ def _(spark, sf):
     return io.still_needed(rows.select("problem_id").distinct(), rows.where("label = 1"), "problem_id", 3)
 
 
+# Every document arrives twice, in two files of the first run and in another one of a second run.
+@query("append_once", "SELECT doc_id, lang, source, n_chars, length(text)::BIGINT AS counted FROM documents")
+def _(spark, sf):
+    out, docs = scratch_folder(spark), table(spark, sf, "documents")
+    count = lambda df: df.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("counted"))
+    schema = count(docs).schema
+    for batch in (docs, docs.where("doc_id % 2 = 0")):
+        batch.write.mode("append").parquet(f"{out}/in")
+        append_once(spark, f"{out}/in", docs.schema, count, ["doc_id"], f"{out}/data", f"{out}/progress", files_per_batch=4).awaitTermination()
+    return appended(spark, f"{out}/data", schema)
+
+
+@query("resume", f"""WITH planned AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {S.hash_of('doc_id')}, doc_id) - 1 AS position FROM documents),
+    done AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 20 = 0 GROUP BY lang)
+  SELECT doc_id, planned.lang, position FROM planned LEFT JOIN done ON planned.lang IS NOT DISTINCT FROM done.lang
+  WHERE position < 100 AND position >= coalesce(n, 0)""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return resume(docs, docs.where("doc_id % 20 = 0"), ["lang"], "doc_id", 100).select("doc_id", "lang", "position")
+
+
+_LINE_KEYS = T.StructType([T.StructField("side", T.IntegerType())])
+
+
+def line_increments(spark, sf) -> tuple[str, DataFrame]:
+    """Line items counted as three shards that arrive one after the other, the second one twice."""
+    folder = scratch_folder(spark)
+    rows = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linestatus", *LINE_FEATURES)).withColumn(
+        "side", F.when(F.col("l_linestatus") == "O", 1).otherwise(0))
+    for batch in (0, 1, 1, 2):
+        increments.add_increment(rows.where(F.col("l_orderkey") % 3 == batch), ["side"], LINE_FEATURES, folder, batch, F.col("side") == 0)
+    return folder, increments.merged_counts(spark, folder, _LINE_KEYS)
+
+
 @query("incremental_features", S.with_(S.DOCS, S.lexical("docs", "lex", "sample_id")) + """
   SELECT sample_id, char_count, line_count, digit_ratio, whitespace_ratio FROM lex""")
 def _(spark, sf):
@@ -581,6 +616,44 @@ def _(spark, sf):
     return tested(stats.mann_whitney(line_long(spark, sf), ["feature"], "value", F.col("side")))
 
 
+@query("increments_rank_sum", S.with_(_LINE, _LINE_LONG, S.z_scores("long", "mw", "feature", "side")) + f"SELECT feature, {_U_COLUMNS} FROM mw")
+def _(spark, sf):
+    _, counts = line_increments(spark, sf)
+    return tested(stats.rank_sum_test(materialised(stats.two_sides(counts, ["feature"], F.col("side"))), ["feature"]))
+
+
+@query("increments_auroc", S.with_(_LINE, _LINE_LONG, S.rank_counts("long", "c", "feature", "side")) + f"""
+  SELECT feature, n0, n1, {S.r('u1 / (n0::DOUBLE * n1)', 'auroc')} FROM c""")
+def _(spark, sf):
+    _, counts = line_increments(spark, sf)
+    return rounded(stats.area_under_curve(materialised(stats.two_sides(counts, ["feature"], F.col("side"))), ["feature"]))
+
+
+@query("increments_wasserstein", S.with_(_LINE, _LINE_LONG, S.wasserstein("long", "w", "feature", "side")) + f"SELECT feature, {S.r('distance', 'distance', 5)} FROM w")
+def _(spark, sf):
+    _, counts = line_increments(spark, sf)
+    return rounded(stats.transport_distance(materialised(stats.two_sides(counts, ["feature"], F.col("side"))), ["feature"]), 5)
+
+
+@query("increments_moments", S.with_(_LINE, _LINE_LONG) + f"""SELECT side, feature, count(*) AS n, {S.r('avg(value)', 'mean')},
+    {S.r('stddev_samp(value)', 'std', 5)}, median(value) AS median FROM long GROUP BY side, feature""")
+def _(spark, sf):
+    _, counts = line_increments(spark, sf)
+    spreads = increments.moments_of(counts, ["side"])
+    medians = stats.median_of(counts, ["side", "feature"])
+    return rounded(spreads.join(medians, ["side", "feature"]).select("side", "feature", "n", "mean", F.round("std", 5).alias("std"), "median"))
+
+
+@query("increments_baseline", S.with_(_LINE, _LINE_LONG) + f"""SELECT feature, count(*) AS n, {S.r('avg(value)', 'mean', 4)},
+    {S.r('CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END', 'scale', 4)} FROM long WHERE side = 0 GROUP BY feature""")
+def _(spark, sf):
+    folder, _ = line_increments(spark, sf)
+    fitted = increments.merged_baseline(spark, folder, LINE_FEATURES)
+    return rounded(spark.createDataFrame(
+        [(f, fitted.n, float(m), float(s)) for f, m, s in zip(LINE_FEATURES, fitted.mean, fitted.scale)],
+        "feature string, n long, mean double, scale double"), 4)
+
+
 # Every order of a nation's suppliers is a number whose set bits are the places of side 1: SQL counts them one by one.
 @query("mann_whitney_small", f"""WITH v AS (SELECT s_nationkey AS nation, s_acctbal AS value, s_suppkey % 2 AS side FROM supplier),
   u AS (SELECT a.nation, sum(CASE WHEN b.value > a.value THEN 1.0::DOUBLE WHEN b.value = a.value THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS u1
