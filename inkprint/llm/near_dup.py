@@ -10,6 +10,7 @@ sets. Components grow over the verified links only.
 import math
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -122,23 +123,27 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both) and both > 0
 
 
+def class_of(own: list[bytes]) -> int:
+    """A number of 64 bits for a word sequence."""
+    return int.from_bytes(blake2b(b" ".join(own), digest_size=8).digest(), "little", signed=True)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, cls (hash of the word sequence: one class per distinct sequence), n (set size), sig, of every row."""
+    """doc_id, id (hash of the word sequence: one class per distinct sequence), n (set size), sig, of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import blake2b
         for batch in batches:
             cls, n, sig = [], [], []
             for text in batch.column(1).to_pylist():
                 own = words(text)
                 found = shingle_set(own)
-                cls.append(blake2b(b" ".join(own), digest_size=16).digest())
+                cls.append(class_of(own))
                 n.append(len(found))
                 sig.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())],
-                ["doc_id", "cls", "n", "sig"])
+                [batch.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())],
+                ["doc_id", "id", "n", "sig"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).mapInArrow(
-        run, "doc_id long, cls binary, n long, sig binary")
+        run, "doc_id long, id long, n long, sig binary")
 
 
 def _survivors(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -161,14 +166,18 @@ def _survivors(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, found (the shingle set, packed) of the documents with the given ids (id), made again from their texts."""
+def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, found (the shingle set, packed) of the classes (id, doc_id of one of their documents), made again from the texts
+    of those documents. An id with several texts also gives sets that were not asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "found"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).where(F.col("id").isNotNull())
-    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, found binary")
+            own = [words(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([class_of(w) for w in own], pa.int64()), pa.array([shingle_set(w).tobytes() for w in own], pa.binary())],
+                ["id", "found"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where(F.col("doc_id").isNotNull())
+    return texts.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(
+        run, "id long, found binary").where(F.length("found") > 0)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -300,25 +309,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles (set size), component_id (smallest doc_id reachable over links, itself included), kept (whether
-    the row is that document), one row per row of ``docs``.
+    the row is that document), one row per row of ``docs``. Search, verification and components work on classes of equal
+    word sequences, which ids only name at the end; an id repeated with other words ties its classes.
 
     A null text is empty; documents without words link with nothing, not even with each other. Rows with a null doc_id
     cannot be named by a link: they get a null component_id and are kept. Rows repeated with their id are one document
     and give equal rows. Other columns are ignored. An empty table gives no rows."""
     rows = materialised(signed(docs))
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    named = rows.where("n > 0 AND doc_id IS NOT NULL")
+    reps = materialised(named.groupBy("id").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     # A doc_id repeated with other words belongs to several classes: they are tied through it.
-    reps = materialised(classes)
-    tied = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "cls").distinct().join(
-        reps.select("cls", "id"), "cls").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b")
-    reps = reps.groupBy("id").agg(F.min_by(F.struct("n", "sig"), "cls").alias("s")).select("id", "s.n", "s.sig")
+    several = named.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last").drop("last")
+    tied = named.select("doc_id", F.col("id").alias("a")).join(dealt(several), "doc_id").select("a", "b").where("a <> b").distinct()
 
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     members = reps.select("id", "n", F.explode(bands).alias("key"))
     crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     crowd = materialised(members.join(dealt(crowded), "key"))
-    sets = materialised(full_sets(docs, crowd.select("id").distinct()))
+    sets = materialised(full_sets(docs, reps.select("id", "doc_id").join(crowd.select("id").distinct(), "id", "left_semi")))
     weight = _weights(sets)
     # Every bucket's most central class, in one order for all bands, so that the buckets of a group of copies agree on it.
     central = materialised(_centrality(sets, weight))
@@ -369,11 +378,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = merged(_verified(_survivors(met.join(tried, ["a", "b"], "left_anti"), reps), sets))
 
     # A component is named by the smallest doc_id in it.
-    labelled = materialised(classes.select("cls", "id").join(comps, "id", "left").select(
-        F.col("cls").alias("_cls"), "id", F.coalesce("comp", "id").alias("label")))
-    names = labelled.groupBy("label").agg(F.min("id").alias("comp"))
-    of_class = labelled.join(dealt(names), "label").select("_cls", "comp")
-    out = rows.join(dealt(of_class), F.col("cls") == F.col("_cls"), "left")
+    labelled = materialised(reps.select("id", "doc_id").join(comps, "id", "left").select(
+        "id", "doc_id", F.coalesce("comp", "id").alias("label")))
+    names = labelled.groupBy("label").agg(F.min("doc_id").alias("comp"))
+    of_class = labelled.join(dealt(names), "label").select("id", "comp")
+    out = rows.join(dealt(of_class), "id", "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

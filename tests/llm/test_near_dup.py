@@ -19,7 +19,7 @@ def brute(rows):
     sets = {}
     for i, t in rows:
         if i is not None:
-            sets.setdefault(i, brute_set(t))
+            sets.setdefault(i, []).append(brute_set(t))  # an id with several texts is like whatever any of them is like
     parent = {i: i for i in sets}
 
     def top(i):
@@ -29,8 +29,7 @@ def brute(rows):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if any(x & y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
                 x, y = top(a), top(b)
                 parent[max(x, y)] = min(x, y)
     out = []
@@ -73,6 +72,15 @@ def test_groups_chains_and_odd_rows(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_an_id_with_several_texts_loses_no_link(spark):
+    rng = random.Random(8)
+    base = [[f"v{rng.randrange(5000)}" for _ in range(80)] for _ in range(5)]
+    rows = [(1, " ".join(base[0])), (1, " ".join(base[1])), (1, " ".join(base[2])), (2, edited(rng, base[0], 1)),
+            (3, edited(rng, base[1], 1)), (4, edited(rng, base[2], 1)), (9, " ".join(base[3])), (9, " ".join(base[4])), (8, edited(rng, base[4], 1))]
+    got = run(spark, rows)
+    assert got == brute(rows) and {r[0]: r[2] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = random.Random(4)
     words = [f"v{rng.randrange(5000)}" for _ in range(150)]
