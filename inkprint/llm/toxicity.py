@@ -171,7 +171,7 @@ def fit_network(docs: list[np.ndarray], y: np.ndarray) -> Model:
             ids = np.concatenate(padded).astype(np.int64)
             sizes = np.array([len(a) + len(b) for a, b in zip(padded[::2], padded[1::2])])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            x = np.vstack([e[ids].sum(1), np.zeros((reach, DIM))])
+            x = np.vstack([sum(e[ids[:, j]] for j in range(wide)), np.zeros((reach, DIM))])
             n, winners, top = len(ids), [], []
             for k, width in enumerate(WIDTHS):
                 z = sum(x[j:j + n] @ p[f"f{k}"][j] for j in range(width))
@@ -242,12 +242,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[M
     n_words = sample.agg(F.sum("n_words")).first()[0] or 0
     share = 0.8 * min(1.0, fit_rows * FIT_WORDS / max(1, n_words))  # at least a fifth is left for the thresholds
     sample = sample.where(F.col("place") < int(share * (1 << 20)))
-    rows = sample.select("doc_id", "text", "label").toPandas().sort_values("doc_id")
-    y = (rows["label"].to_numpy() == 1).astype(np.int64)
+    ids = Words(buckets)
+    # the driver holds the texts of one partition at a time; of the others only their words' buckets
+    rows = sorted(((r["doc_id"], ids(r["text"]), r["label"]) for r in sample.select("doc_id", "text", "label").toLocalIterator()),
+                  key=lambda row: row[0])
+    y = np.array([label == 1 for _, _, label in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    ids = Words(buckets)
-    return fit_network([ids(t) for t in rows["text"]], y), sample.select("doc_id").distinct()
+    return fit_network([words for _, words, _ in rows], y), sample.select("doc_id").distinct()
 
 
 def judged(docs: DataFrame, model: Model, name: str) -> DataFrame:
