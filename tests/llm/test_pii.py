@@ -40,17 +40,14 @@ def core(word):
 
 
 def brute_terms(texts):
-    """term -> replacement, counting contexts one by one."""
-    contexts, total, n_term = {}, 0, Counter()
+    """term -> replacement; terms, entities and pairs count by presence in distinct contexts."""
+    contexts, n_term = {}, Counter()
     for text in texts:
         words = re.split(r"[\x20\x09-\x0d]+", text)
         for at in range(0, len(words), pii.CONTEXT):
             part = words[at:at + pii.CONTEXT]
-            total += 1
             terms = {core(w) for w in part} - {None}
             terms |= {t[:pii.STEM] + "*" for t in terms if len(t) >= pii.STEM_FROM}
-            found = [core(w) for w in part if core(w)]
-            n_term.update(found + [t[:pii.STEM] + "*" for t in found if len(t) >= pii.STEM_FROM])
             joined = " ".join(part)
             entities = set()
             for k, p in pii.PATTERNS.items():
@@ -58,8 +55,10 @@ def brute_terms(texts):
                     if passes(k, m.group()):
                         v = m.group()
                         entities.add(f"{k}:" + (v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)))
-            if entities:
-                contexts[joined] = (entities, terms)
+            contexts[joined] = (entities, terms)
+    total = len(contexts)
+    for _, terms in contexts.values():
+        n_term.update(terms)
     n_entity, n_both = Counter(), Counter()
     for entities, terms in contexts.values():
         n_entity.update(entities)
