@@ -662,9 +662,9 @@ def _(spark, sf):
     FROM v GROUP BY nation),
   few AS (SELECT nation, n0, n1, u1, least(u1, n0 * n1 - u1) AS low FROM g JOIN u USING (nation) WHERE plain AND least(n0, n1) <= 8),
   orders AS (SELECT *, unnest(range(0, (1 << (n0 + n1))::BIGINT)) AS bits FROM few),
-  sums AS (SELECT *, list_sum(list_transform(range(0, n0 + n1), lambda i: ((bits >> i::INT) & 1) * i)) - n1 * (n1 - 1) / 2 AS at
+  sums AS (SELECT *, list_sum(list_transform(range(0, n0 + n1), lambda i: ((bits >> i::INT) & 1) * i)) - n1 * (n1 - 1) / 2 AS place
     FROM orders WHERE bit_count(bits) = n1),
-  p AS (SELECT nation, least(1.0::DOUBLE, 2.0::DOUBLE * count(*) FILTER (at <= low) / count(*)) AS p FROM sums GROUP BY nation)
+  p AS (SELECT nation, least(1.0::DOUBLE, 2.0::DOUBLE * count(*) FILTER (place <= low) / count(*)) AS p FROM sums GROUP BY nation)
   SELECT nation, n0, n1, u1, {S.r('p', 'p_value')} FROM g JOIN u USING (nation) LEFT JOIN p USING (nation)""")
 def _(spark, sf):
     rows = table(spark, sf, "supplier").select(
