@@ -11,7 +11,7 @@ from inkprint.functions.logprob import (
     LOGPROB_FEATURES, context_prefix, logprob_features, logprob_features_from_array)
 from inkprint.functions.syntax import SYNTAX_FEATURES, syntax_features, syntax_nodes
 from inkprint.operators import baseline as hbd
-from inkprint.operators import curation, fingerprint, increments, metrics, models, profile, sampling, stats
+from inkprint.operators import curation, fingerprint, increments, metrics, models, profile, sampling, sketches, stats
 from inkprint.operators.held_out import leave_one_group_out
 from inkprint.plans import studies
 from inkprint.session import materialised, scratch_folder, spread
@@ -654,6 +654,46 @@ def _(spark, sf):
         "feature string, n long, mean double, scale double"), 4)
 
 
+# Sketches differ from the exact values within their stated error, so the queries return whether they do.
+def _near_exact(joined: DataFrame, error: Column) -> DataFrame:
+    return joined.select("feature", (F.abs(F.col("sketched") - F.col("exact")) <= error).alias("within"))
+
+
+def line_sketches(spark, sf) -> DataFrame:
+    rows = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linestatus", *LINE_FEATURES)).withColumn(
+        "side", F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).withColumn("shard", F.col("l_orderkey") % 3)
+    return materialised(sketches.merged(sketches.sketches(rows, ["shard", "side"], LINE_FEATURES), ["side"]))
+
+
+_EVERY_LINE_FEATURE = f"SELECT unnest([{', '.join(map(S.q, LINE_FEATURES))}]) AS feature, true AS within"
+
+
+@query("sketch_auroc", _EVERY_LINE_FEATURE)
+def _(spark, sf):
+    found = sketches.sketch_auroc(line_sketches(spark, sf), [], F.col("side")).select("feature", F.col("auroc").alias("sketched"))
+    exact = stats.auroc(line_long(spark, sf), ["feature"], "value", F.col("side")).select("feature", F.col("auroc").alias("exact"))
+    return _near_exact(found.join(exact, "feature"), F.lit(2 * sketches.distribution_error()))
+
+
+@query("sketch_wasserstein", _EVERY_LINE_FEATURE)
+def _(spark, sf):
+    long = line_long(spark, sf)
+    found = sketches.sketch_wasserstein(line_sketches(spark, sf), [], F.col("side")).select("feature", F.col("distance").alias("sketched"))
+    exact = stats.wasserstein(long, ["feature"], "value", F.col("side")).select("feature", F.col("distance").alias("exact"))
+    reach = long.groupBy("feature").agg((F.max("value") - F.min("value")).alias("reach"))
+    return _near_exact(found.join(exact, "feature").join(reach, "feature"), F.col("reach") * 2 * sketches.distribution_error())
+
+
+@query("sketch_median", f"SELECT feature, side, true AS within FROM ({_EVERY_LINE_FEATURE}), (SELECT unnest([0, 1]) AS side)")
+def _(spark, sf):
+    found = sketches.sketch_median(line_sketches(spark, sf), "sketched")
+    long = line_long(spark, sf).join(found, ["feature", "side"])
+    below, upto = (F.avg(x.cast("double")) for x in (F.col("value") < F.col("sketched"), F.col("value") <= F.col("sketched")))
+    error = sketches.rank_error()
+    return long.groupBy("feature", "side").agg(below.alias("below"), upto.alias("upto")).select(
+        "feature", "side", ((F.col("below") <= 0.5 + error) & (F.col("upto") >= 0.5 - error)).alias("within"))
+
+
 # Every order of a nation's suppliers is a number whose set bits are the places of side 1: SQL counts them one by one.
 @query("mann_whitney_small", f"""WITH v AS (SELECT s_nationkey AS nation, s_acctbal AS value, s_suppkey % 2 AS side FROM supplier),
   u AS (SELECT a.nation, sum(CASE WHEN b.value > a.value THEN 1.0::DOUBLE WHEN b.value = a.value THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS u1
