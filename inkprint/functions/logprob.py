@@ -68,6 +68,6 @@ def logprob_features_from_array(df: DataFrame, keys: list[str], logprobs: str =
     )
 
 
-def context_prefix(code: Column) -> Column:
-    """Leading context handed to a token scorer: the first 800 characters of the stripped sample."""
-    return F.substring(strip(code), 1, CONTEXT_CHARS)
+def context_prefix(code: Column, chars: int = CONTEXT_CHARS) -> Column:
+    """Leading context handed to a token scorer: the first ``chars`` characters of the stripped sample."""
+    return F.substring(strip(code), 1, chars)

@@ -10,9 +10,12 @@ import warnings
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkprint.session import null_safe_join
+
 # Feature names, in matrix order.
 SYNTAX_FEATURES = [
     "ast_function_count", "ast_class_count", "ast_import_count", "ast_return_count", "ast_assert_count",
@@ -36,7 +39,7 @@ COUNTED = [
 
 _INT, _BOOL = T.IntegerType(), T.BooleanType()
 NODE_FIELDS = [
-    ("node_id", _INT), ("parent_id", _INT), ("fn_id", _INT), ("kind", T.StringType()), ("depth", _INT),
+    ("node_id", _INT), ("last_id", _INT), ("parent_id", _INT), ("fn_id", _INT), ("kind", T.StringType()), ("depth", _INT),
     ("lineno", _INT), ("end_lineno", _INT), ("decorators", _INT), ("defaults", _INT), ("none_tests", _INT),
     ("docstring", _BOOL), ("annotated", _BOOL), ("main_guard", _BOOL), ("returns_none", _BOOL), ("broad", _BOOL),
     ("has_finally", _BOOL), ("guarded", _BOOL),
@@ -82,7 +85,8 @@ def _attributes(node, kind: str) -> dict:
 
 
 def list_nodes(code: str) -> list[dict] | None:
-    """Counted nodes of one sample in preorder, or None when it does not parse."""
+    """Counted nodes of one sample in preorder, or None when it does not parse. ``node_id`` to ``last_id`` is the interval
+    of numbers of a node and all that stands in it, counted or not."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -94,6 +98,9 @@ def list_nodes(code: str) -> list[dict] | None:
     seen = 0
     while todo:
         node, parent, function, depth = todo.pop()
+        if isinstance(node, dict):  # what stands in this node is numbered
+            node["last_id"] = seen - 1
+            continue
         kind = type(node).__name__
         own, seen = seen, seen + 1
         if kind in _NESTING:
@@ -103,6 +110,7 @@ def list_nodes(code: str) -> list[dict] | None:
             row = {"node_id": own, "parent_id": parent, "fn_id": function and function["node_id"], "kind": kind,
                    "depth": depth, "lineno": node.lineno, "end_lineno": node.end_lineno, **_attributes(node, kind)}
             rows.append(row)
+            todo.append((row, None, None, 0))
             if function is not None and (isinstance_call or row.get("none_tests")):
                 function["guarded"] = True
             if kind in FUNCTIONS:
@@ -137,6 +145,62 @@ def syntax_nodes(df: DataFrame, code: str = "code", language: str = "language")
     return listed.select(*kept, F.inline("_nodes"))
 
 
+def node_context(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Append to a node table (keys of the sample, node_id, last_id, kind, none_tests) what depends on where a node stands:
+    ``depth`` (nesting nodes around it, itself included), ``fn_id`` (nearest function around it) and, for functions,
+    ``guarded`` (an isinstance call or None test has it as nearest function).
+
+    Only intervals are read, which either hold one another or lie apart. The nesting nodes opened up to a node less those
+    closed before it are its depth. Among functions that stand in equally many others, the last one opened before a node
+    is the one around it. Samples are dealt out; a window holds one sample at most."""
+    c = F.col
+    sample = [c(k) for k in keys]
+    is_function = c("kind").isin(*FUNCTIONS)
+
+    def around(rows: DataFrame, counted: Column, name: str) -> DataFrame:
+        """How many counted intervals hold the node, itself included: intervals open at their first number and close after
+        their last one."""
+        weight = F.when(counted, 1).otherwise(0)
+        edges = F.array(F.struct(c("node_id").alias("at"), F.lit(0).alias("after"), weight.alias("step")),
+                        F.struct(c("last_id").alias("at"), F.lit(1).alias("after"), (-weight).alias("step")))
+        row = F.struct(*[c(f"`{x}`") for x in rows.columns])
+        events = rows.select(row.alias("row"), *sample, F.explode(edges).alias("e"))
+        so_far = W.partitionBy(*keys).orderBy("e.at", "e.after").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return events.withColumn(name, F.sum("e.step").over(so_far)).where("e.after = 0").select(
+            "row.*", c(name).cast("int").alias(name))
+
+    placed = around(nodes, c("kind").isin(*NESTING), "depth")
+    placed = around(placed, is_function, "_functions").withColumn("_outer", c("_functions") - is_function.cast("int"))
+    # a function stands in a line of its own level; other nodes look into the line of the level around them
+    lines = F.array_compact(F.array(
+        F.struct((c("_outer") - 1).alias("level"), F.lit(None).cast("int").alias("opens")),
+        F.when(is_function, F.struct(c("_outer").alias("level"), c("node_id").alias("opens")))))
+    row = F.struct(*[c(f"`{x}`") for x in placed.columns])
+    asked = placed.select(row.alias("row"), *sample, c("node_id").alias("_at"), F.explode(lines).alias("line"))
+    opened = W.partitionBy(*keys, "line.level").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = asked.withColumn("fn_id", F.max("line.opens").over(opened)).where(F.isnull("line.opens")).select("row.*", "fn_id")
+    found = found.withColumn("fn_id", F.when(c("_outer") > 0, c("fn_id"))).drop("_functions", "_outer")
+    tests = (c("kind") == "Call") | (F.coalesce("none_tests", F.lit(0)) > 0)
+    own = found.where(c("fn_id").isNotNull()).groupBy(*keys, "fn_id").agg(F.max(tests).alias("_guards")).withColumnRenamed(
+        "fn_id", "_fn")
+    marked = null_safe_join(found.withColumn("_fn", c("node_id")), own, [*keys, "_fn"], "left").drop("_fn")
+    return marked.withColumn("guarded", F.when(is_function, F.coalesce("_guards", F.lit(False)))).drop("_guards")
+
+
+def context_features(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """The features of a sample that depend on where its nodes stand, counted from the node table; samples without a node
+    have no row."""
+    c = F.col
+    lines = F.when(c("kind").isin(*FUNCTIONS), c("end_lineno") - c("lineno") + 1)
+    defensive = F.count_if(c("kind") == "ExceptHandler") + F.sum(F.coalesce("none_tests", F.lit(0))) + F.count_if(c("kind") == "Call")
+    functions = F.count(lines)
+    return nodes.groupBy(*keys).agg(
+        functions.alias("ast_function_count"), F.max("depth").cast("long").alias("ast_max_nesting_depth"),
+        F.count_if(c("returns_none") & (c("depth") >= 2)).alias("ast_early_return_count"),
+        F.coalesce(F.count_if("guarded") / F.nullif(functions, F.lit(0)), F.lit(0.0)).alias("ast_guarded_fn_ratio"),
+        (defensive / F.greatest(F.lit(1), F.coalesce(F.sum(lines), F.lit(0)))).alias("ast_defensive_line_ratio"))
+
+
 def _total(nodes: Column, weight) -> Column:
     return F.aggregate(nodes, F.lit(0).cast("long"), lambda acc, n: acc + F.coalesce(weight(n), F.lit(0)))
 

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from inkprint.functions.lexical import LEXICAL_FEATURES, lexical_features
 from inkprint.functions.logprob import (
     LOGPROB_FEATURES, context_prefix, logprob_features, logprob_features_from_array)
-from inkprint.functions.syntax import SYNTAX_FEATURES, syntax_features, syntax_nodes
+from inkprint.functions.syntax import (
+    SYNTAX_FEATURES, context_features, node_context, syntax_features, syntax_nodes)
 from inkprint.operators import baseline as hbd
 from inkprint.operators import curation, fingerprint, increments, metrics, models, profile, sampling, sketches, stats
 from inkprint.operators.held_out import leave_one_group_out
@@ -391,14 +392,15 @@ def _(spark, sf):
 _PAIR_LEX = S.with_(S.PAIRED, S.lexical("paired", "lex", "sample_id, problem_id, source_file, label", exact=True))
 
 
-@query("compare_samples", _PAIR_LEX + f""", first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id, label
-    ORDER BY source_file) AS rn FROM lex) WHERE rn = 1), {S.melt('first', 'long', LEXICAL_FEATURES, 'problem_id, label')},
-  sides AS (SELECT problem_id, feature, max(value) FILTER (label = 0) AS human, max(value) FILTER (label = 1) AS ai FROM long GROUP BY ALL)
-  SELECT problem_id, feature, {S.r('human', 'human')}, {S.r('ai', 'ai')},
+# Every sample of a problem meets the sample of the other side at the same place of the hash order.
+@query("compare_samples", _PAIR_LEX + f""", placed AS (SELECT *, row_number() OVER (PARTITION BY problem_id, label
+    ORDER BY {S.hash_of('sample_id')}, sample_id) AS place FROM lex), {S.melt('placed', 'long', LEXICAL_FEATURES, 'problem_id, place, label')},
+  sides AS (SELECT problem_id, place, feature, max(value) FILTER (label = 0) AS human, max(value) FILTER (label = 1) AS ai FROM long GROUP BY ALL)
+  SELECT problem_id, place, feature, {S.r('human', 'human')}, {S.r('ai', 'ai')},
     CASE WHEN ai > human THEN 'AI>H' WHEN ai < human THEN 'H>AI' ELSE '=' END AS direction FROM sides""")
 def _(spark, sf):
-    first = sampling.head_per_class(paired(spark, sf), ["problem_id", "label"], ["source_file"], 1)
-    return rounded(profile.compare_samples(lexical_of(first), ["problem_id"], "label", LEXICAL_FEATURES))
+    placed = sampling.hash_rank(paired(spark, sf), ["problem_id", "label"], "sample_id").withColumnRenamed("hash_rank", "place")
+    return rounded(profile.compare_samples(lexical_of(placed), ["problem_id", "place"], "label", LEXICAL_FEATURES))
 
 
 # --- lexical features -------------------------------------------------------------------------------------------
@@ -454,6 +456,18 @@ def _(spark, sf):
     return syntax_nodes(spread(code_samples(spark, sf))).drop("corpus", "generator", "doc_id")
 
 
+_CONTEXT = ["ast_function_count", "ast_max_nesting_depth", "ast_early_return_count", "ast_guarded_fn_ratio", "ast_defensive_line_ratio"]
+
+
+# The counts that depend on where a node stands, from kinds and intervals alone; samples without a node have no row.
+@query("syntax_context", S.with_(S.CODE) + f"""SELECT sample_id, {', '.join(S.syntax_columns(_CONTEXT).split(', ', 1)[1:])} FROM code_samples
+  WHERE language = 'Python' AND doc_id % 12 IN ({', '.join(str(k) for k, v in S.GOLDEN_SYNTAX.items() if v)})""")
+def _(spark, sf):
+    nodes = syntax_nodes(spread(code_samples(spark, sf)).select("sample_id", "code", "language"))
+    placed = node_context(nodes.drop("depth", "fn_id", "guarded", "parent_id"), ["sample_id"])
+    return rounded(context_features(placed, ["sample_id"]))
+
+
 @query("parse_rate_by_class", S.with_(S.CODE, S.FILLED) + f"""SELECT label, count(*) AS n, count(*) FILTER (doc_id % 12 <> 4) AS n_parsed,
   {S.r('avg((doc_id % 12 <> 4)::INT)', 'parse_rate')} FROM filled_samples WHERE language = 'Python' GROUP BY label""")
 def _(spark, sf):

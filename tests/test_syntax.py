@@ -1,6 +1,7 @@
 import pytest
 
-from inkprint.functions.syntax import SYNTAX_FEATURES, syntax_features, syntax_nodes
+from inkprint.functions.syntax import (
+    SYNTAX_FEATURES, context_features, node_context, syntax_features, syntax_nodes)
 from inkprint.plans.studies import feature_matrix, parse_rate_by_class
 from registry.fixtures import code_samples
 from registry.sql import GOLDEN_SYNTAX
@@ -71,3 +72,51 @@ def test_blank_rows_leave_and_parse_rate(spark, sf_dir):
     matrix = feature_matrix(code_samples(spark, sf_dir))
     assert matrix.where("doc_id % 12 = 10").count() == 0
     assert {r.label: r.parse_rate for r in parse_rate_by_class(matrix, ["label"]).collect()}[1] == 1.0
+
+
+NESTED = """class A:
+    @d(x is None)
+    def f(self, a=lambda: isinstance(a, int)):
+        if a:
+            def g():
+                while True:
+                    return
+            return isinstance(a, str)
+        def h():
+            class B:
+                def k(self): return None
+            return x is not None
+        return [y for y in z if y is None]
+    async def w():
+        try:
+            pass
+        except Exception:
+            return None
+isinstance(q, int)
+def last(): pass
+"""
+
+
+def test_context_from_intervals_equals_the_walk(spark, sf_dir):
+    """Depth, nearest function and guards, found by Spark from numbers alone, are those of a walk over the tree."""
+    odd = [(f"odd{i}", code, "Python") for i, code in enumerate([
+        NESTED, "", "x = 1", "def f(): pass", "if a:\n  if b:\n    def f():\n      return\n    return_ = 1\nfor i in j: pass\n" * 3,
+        "lambda: (yield x is None)", "def a():\n def b():\n  def c(): x is None\n  y is None\n", "def f(:"])]
+    df = spark.createDataFrame(odd + [(None, NESTED, "Python")], "sample_id string, code string, language string")
+    df = df.unionByName(code_samples(spark, sf_dir).select("sample_id", "code", "language"))
+    walked = syntax_nodes(df).drop("language")
+    placed = node_context(walked.drop("depth", "fn_id", "guarded"), ["sample_id"]).select(walked.columns)
+    assert walked.count() > 300 and walked.exceptAll(placed).count() == 0 and placed.exceptAll(walked).count() == 0
+    names = ["ast_function_count", "ast_max_nesting_depth", "ast_early_return_count", "ast_guarded_fn_ratio", "ast_defensive_line_ratio"]
+    whole = {r.sample_id: r for r in syntax_features(df).collect()}
+    counted = context_features(placed, ["sample_id"]).collect()
+    assert {"odd0", "odd6", None} <= {r.sample_id for r in counted}
+    for r in counted:
+        assert [r[n] for n in names] == pytest.approx([whole[r.sample_id][n] for n in names]), r.sample_id
+
+
+def test_intervals_hold_one_another_or_lie_apart(spark):
+    df = spark.createDataFrame([("s", NESTED, "python")], "sample_id string, code string, language string")
+    spans = sorted((r.node_id, r.last_id) for r in syntax_nodes(df).collect())
+    for i, (a, b) in enumerate(spans):
+        assert a <= b and all(c > b or d <= b for c, d in spans[i + 1:])
