@@ -26,8 +26,10 @@ def _uuid(kind: str, digest: Column) -> Column:
 
 
 def _line(name: str, value: Column) -> Column:
-    """A header line; line ends inside a value are percent-encoded, a null value leaves the line out."""
-    safe = F.replace(F.replace(value.cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    """A header line; line ends inside a value are percent-encoded, and so is the sign of what looks like that already, so
+    ``_field`` gives the value back. A null value leaves the line out, an empty one does not."""
+    marked = F.regexp_replace(value.cast("string"), "%(?=0D|0A|25)", "%25")
+    safe = F.replace(F.replace(marked, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n")), F.lit(""))
 
 
@@ -37,7 +39,7 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, DataFram
 
     Of records with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id is the response and
     the others are revisits of it; smaller ones are all responses. A null html is an empty payload; a null url leaves
-    its header out; a record with a null page_id revisits the response if one has an id, and is a response otherwise.
+    its header out, any other comes back as it was; a record with a null page_id revisits the response if one has an id, and is a response otherwise.
     A repeated row gives a repeated record; the payload is still stored once. An empty table gives two empty tables."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     hashed = pages.select("page_id", "url", body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
@@ -72,8 +74,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
 
 
 def _field(name: str, kind: str = "string") -> Column:
+    """The value of a header line, null where there is none."""
     value = F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
-    return F.when(value != "", value.cast(kind))
+    ends = F.replace(F.replace(value, F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n"))
+    return F.when(F.contains("header", F.lit(f"\r\n{name}: ")), F.regexp_replace(ends, "%25(?=0D|0A|25)", "%").cast(kind))
 
 
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,6 +55,14 @@ def test_records_come_back_exactly(spark, folder):
             assert bytes(r.payload) == html[r.page_id]
 
 
+def test_urls_come_back_exactly(spark, folder):
+    urls = [None, "", " ", "http://a/%0D%0A", "a\r\nb", "%0D\r", "%", "%%25", "%2525", "%250D\n", "%25%0a", "%2\n5", "x%20y", "WARC-Type: x\r\nWARC-Type: y"]
+    warc.write(frame(spark, [(i, u, f"page {i}") for i, u in enumerate(urls)]), folder)
+    rows = {r.page_id: r for r in warc.read_headers(spark, folder).collect()}
+    assert [rows[i].url for i in range(len(urls))] == urls
+    assert all(r.record_type == "response" and r.header.count("\r\n\r\n") == 1 for r in rows.values())
+
+
 def test_small_payloads_are_all_responses(spark, folder):
     warc.write(frame(spark, ROWS), folder, least_bytes=5)
     kinds = {(r.page_id, r.record_type) for r in warc.read_back(spark, folder).collect()}
