@@ -5,8 +5,8 @@ gives weights w. One aggregation at w gives every group's share of the sums that
 group* is the system of the rows outside it, standardisation included; the small systems are solved in parallel, group
 by group. For a group that holds a small share of the rows this step ends so close to its optimum that what remains can
 be bounded: the gradient there is at most max|s''| / 2 * d' M d, where d is the step, s the logistic function and M the
-sum of |x| x x' over all rows. Groups beyond the tolerance, those with large shares, go on together: one pass over the
-rows is one Newton step of a whole block of models. Passes do not grow in number with the groups.
+sum of |x| x x' over all rows. Groups with a row whose class that may still change go on together: one pass over the
+rows is one Newton step of a whole block of models. The bound falls faster than the groups grow in number.
 
 Samples are (group, label, features); groups may hold any share of the rows. What comes back to the driver is as large
 as a block of models or the square of the features.
@@ -192,7 +192,8 @@ def _group_sums(rows: DataFrame, w: np.ndarray, mean: np.ndarray, scale: np.ndar
     return rows.mapInArrow(partial, "key string, sums array<double>")
 
 
-_SOLVED = "key string, weights array<double>, penalty array<double>, constant int, settled boolean"
+_SOLVED = "key string, weights array<double>, penalty array<double>, constant int, settled boolean, ahead double"
+_SOLVED_COLUMNS = ["key", "weights", "penalty", "constant", "settled", "ahead"]
 
 
 def _one_step(sums: DataFrame, total: np.ndarray, cubic: np.ndarray, w: np.ndarray, scale: np.ndarray,
@@ -203,16 +204,14 @@ def _one_step(sums: DataFrame, total: np.ndarray, cubic: np.ndarray, w: np.ndarr
         q = len(w)
         rest = System.of(total - np.sum(np.stack(part["sums"]), axis=0), q)
         if rest.n < 0.5:
-            return pd.DataFrame([(key[0], None, None, -1, True)], columns=["key", "weights", "penalty", "constant", "settled"])
+            return pd.DataFrame([(key[0], None, None, -1, True, 0.0)], columns=_SOLVED_COLUMNS)
         if rest.ones < 0.5 or rest.n - rest.ones < 0.5:
-            return pd.DataFrame([(key[0], None, None, int(rest.ones > 0.5), True)],
-                                columns=["key", "weights", "penalty", "constant", "settled"])
+            return pd.DataFrame([(key[0], None, None, int(rest.ones > 0.5), True, 0.0)], columns=_SOLVED_COLUMNS)
         penalty = rest.penalty(scale, strength)
         step = _newton(rest.hessian, rest.gradient, penalty, w)
         least = np.linalg.eigvalsh(rest.hessian + np.diag(penalty))[0]
         ahead = CURVATURE / 2.0 * step @ cubic @ step / least if least > 0 else np.inf
-        return pd.DataFrame([(key[0], w + step, penalty, None, bool(ahead <= tolerance))],
-                            columns=["key", "weights", "penalty", "constant", "settled"])
+        return pd.DataFrame([(key[0], w + step, penalty, None, bool(ahead <= tolerance), ahead)], columns=_SOLVED_COLUMNS)
     return sums.groupBy("key").applyInPandas(solve, _SOLVED)
 
 
@@ -222,14 +221,41 @@ def fit_all(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, strength: floa
     return _descend(rows, {None: (np.zeros(len(mean) + 1), ridge)}, mean, scale, tolerance, steps)[None]
 
 
+def _standardised(x: Column, mean: np.ndarray, scale: np.ndarray) -> Column:
+    units = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, scale)])
+    return F.zip_with(x, units, lambda x, u: (x - u["m"]) / u["s"])
+
+
+def _margin(z: Column, weights: Column, features: int) -> Column:
+    return F.aggregate(F.zip_with(z, F.slice(weights, 1, features), lambda a, b: a * b),
+                       F.get(weights, F.lit(features)), lambda a, b: a + b)
+
+
+def _doubtful(asked: DataFrame, open_: DataFrame, mean: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """Keys of the open groups with a row in ``asked`` (key, x) whose class what is ahead may still change."""
+    z = _standardised(F.col("x"), mean, scale)
+    length = F.sqrt(F.aggregate(z, F.lit(1.0), lambda total, a: total + a * a))
+    margin = F.abs(_margin(z, F.col("weights"), len(mean)))
+    certain = margin > 2.0 * F.col("ahead") * length + 1e-9
+    return asked.join(open_.select("key", "weights", "ahead"), "key").where(~F.coalesce(certain, F.lit(False))).select("key").distinct()
+
+
 def held_out_weights(rows: DataFrame, w: np.ndarray, mean: np.ndarray, scale: np.ndarray, strength: float = 1.0,
-                     tolerance: float = 1e-6, steps: int = 50) -> DataFrame:
+                     tolerance: float = 1e-6, steps: int = 50, asked: DataFrame | None = None) -> DataFrame:
     """key, weights, constant (of the only class of the other rows; -1 without other rows): the model of the rows outside
-    each group of ``rows``, from the weights ``w`` of all rows."""
+    each group of ``rows``, from the weights ``w`` of all rows. With ``asked`` (key, x) only the classes of those rows are
+    wanted: a group goes on only while one of its rows lies closer to the border than its weights may still move. That
+    distance falls with the square of the number of rows, so few groups go on, however many there are."""
     total, cubic = _total(rows, w, mean, scale)
     solved = materialised(_one_step(_group_sums(rows, w, mean, scale), total, cubic, w, scale, strength, tolerance))
-    done = solved.where("settled").select("key", "weights", "constant")
-    open_ = solved.where("not settled").select("key", "weights", "penalty")
+    open_ = solved.where("not settled")
+    if asked is not None:
+        doubtful = materialised(_doubtful(asked, open_, mean, scale))
+        done = solved.join(doubtful, "key", "left_anti").select("key", "weights", "constant")
+        open_ = open_.join(doubtful, "key", "left_semi")
+    else:
+        done = solved.where("settled").select("key", "weights", "constant")
+    open_ = open_.select("key", "weights", "penalty")
     keys = materialised(open_.withColumn("_block", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-open_.count() // BLOCK) * 2)))))
     for block in [r["_block"] for r in keys.select("_block").distinct().collect()]:
         models = {r["key"]: (np.array(r["weights"]), np.array(r["penalty"])) for r in keys.where(F.col("_block") == block).collect()}
@@ -257,16 +283,14 @@ def leave_one_group_out(df: DataFrame, features: list[str], group: str, label: s
     mean, scale = (np.array([held[f][name] for f in features]) for name in ("mean", "scale"))
     mixed = 0 < size["ones"] < size["n"]
     w = fit_all(rows, mean, scale, strength, tolerance) if mixed else np.zeros(len(features) + 1)
-    models = held_out_weights(rows, w, mean, scale, strength, tolerance)
+    asked = table.select(F.col("_key").alias("key"), F.col("_x").alias("x"))
+    models = held_out_weights(rows, w, mean, scale, strength, tolerance, asked=asked)
     models = models.select(F.col("key").alias("_key"), F.col("weights").alias("_weights"), F.col("constant").alias("_constant"))
     seen = null_safe_join(table, models, ["_key"], "left")
 
     # a group without labelled rows takes nothing away: the fit of all rows is its model
     weights = F.coalesce("_weights", F.array(*[F.lit(float(x)) for x in w]))
-    units = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, scale)])
-    z = F.zip_with("_x", units, lambda x, u: (x - u["m"]) / u["s"])
-    margin = F.aggregate(F.zip_with(z, F.slice(weights, 1, len(features)), lambda a, b: a * b),
-                         F.get(weights, F.lit(len(features))), lambda a, b: a + b)
+    margin = _margin(_standardised(F.col("_x"), mean, scale), weights, len(features))
     only = F.coalesce("_constant", F.lit(None if mixed else int(size["ones"] > 0)).cast("int"))
     predicted = F.coalesce(only, (margin > 0).cast("int"))
     return seen.withColumn("prediction", predicted).where(F.col("prediction") >= 0).drop("_key", "_x", "_weights", "_constant")

@@ -108,3 +108,17 @@ def test_agrees_with_a_fit_per_fold(spark):
     fitted = {r["sample_id"]: int(r["prediction"]) for r in models.cv_predictions(folds, FEATURES, models.logreg()).collect()}
     got = run(spark, rows)
     assert np.mean([fitted[i] == p for i, p in got.items()]) > 0.99
+
+
+def test_groups_whose_rows_are_certain_do_not_go_on(spark, monkeypatch):
+    """Many small groups beyond the weights' tolerance, but nearly all rows far from the border: few models go on, and all
+    predictions are those of a refit."""
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 2, 600)
+    x = rng.normal(size=(600, 3)) + y[:, None] * np.array([1.5, -1.0, 0.3])
+    rows = [(i, f"p{i // 3}", int(y[i]), *map(float, x[i]), 1.0, None) for i in range(600)]
+    went_on, descend = [], held_out._descend
+    monkeypatch.setattr(held_out, "_descend", lambda rows, models, *rest: went_on.append(len(models)) or descend(rows, models, *rest))
+    got = leave_one_group_out(spark.createDataFrame(rows, SCHEMA), FEATURES, "problem", tolerance=1e-9)
+    assert {r.sample_id: r.prediction for r in got.collect()} == brute(rows)
+    assert sum(went_on) < 50  # the fit of all rows is one of them
