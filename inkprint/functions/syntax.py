@@ -45,6 +45,7 @@ NODE_FIELDS = [
     ("has_finally", _BOOL), ("guarded", _BOOL),
 ]
 NODES = T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in NODE_FIELDS]))
+PIECE = 200  # texts that are parsed before their nodes are packed
 _ARROW = {"integer": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 _COUNTED = frozenset(COUNTED)
 _NESTING = frozenset(NESTING)
@@ -119,8 +120,7 @@ def list_nodes(code: str) -> list[dict] | None:
     return rows
 
 
-@F.arrow_udf(NODES)
-def node_array(codes: pa.Array) -> pa.Array:
+def _listed(codes: pa.Array) -> pa.Array:
     offsets, rows = [], []
     for code in codes.to_pylist():
         nodes = None if code is None else list_nodes(code)
@@ -133,6 +133,12 @@ def node_array(codes: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), items)
 
 
+@F.arrow_udf(NODES)
+def node_array(codes: pa.Array) -> pa.Array:
+    """Nodes of every text. Python objects are held for ``PIECE`` texts at a time, however many rows a batch has."""
+    return pa.concat_arrays([_listed(codes.slice(i, PIECE)) for i in range(0, max(len(codes), 1), PIECE)])
+
+
 def _nodes_of(df: DataFrame, code: str, language: str) -> Column:
     # Other languages reach the UDF as NULL, so only Python text crosses into the worker's parser.
     return node_array(F.when(F.lower(f"`{language}`") == "python", F.col(f"`{code}`")))

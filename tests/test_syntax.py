@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pytest
 
+from inkprint.functions import syntax
 from inkprint.functions.syntax import (
     SYNTAX_FEATURES, context_features, node_context, syntax_features, syntax_nodes)
 from inkprint.plans.studies import feature_matrix, parse_rate_by_class
@@ -120,3 +122,14 @@ def test_intervals_hold_one_another_or_lie_apart(spark):
     spans = sorted((r.node_id, r.last_id) for r in syntax_nodes(df).collect())
     for i, (a, b) in enumerate(spans):
         assert a <= b and all(c > b or d <= b for c, d in spans[i + 1:])
+
+
+def test_texts_are_parsed_in_pieces(monkeypatch):
+    """The Python objects of a batch's nodes are never held all at once; the pieces together are the whole."""
+    held, listed = [], syntax._listed
+    monkeypatch.setattr(syntax, "PIECE", 2)
+    monkeypatch.setattr(syntax, "_listed", lambda codes: held.append(len(codes)) or listed(codes))
+    codes = pa.array(["def f():\n  return 1", None, "x = (", "import os", "class A: pass"])
+    assert syntax.node_array.func(codes).to_pylist() == listed(codes).to_pylist()
+    assert max(held) == 2 and sum(held) == 5
+    assert len(syntax.node_array.func(codes.slice(0, 0))) == 0
