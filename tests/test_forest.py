@@ -83,3 +83,10 @@ def test_labels_are_numbers_from_zero(matrix):
     for bad in (F.lit(None).cast("int"), F.lit(-1)):
         with pytest.raises(ValueError):
             models.fit(matrix.withColumn("label", F.when(F.col("sample_id") == 3, bad).otherwise(F.col("label"))), FEATURES, models.random_forest(3, 3))
+
+
+def test_values_behind_a_crowded_one_get_thresholds_of_their_own():
+    values = np.concatenate([np.zeros(600), np.arange(1.0, 401.0)])
+    cuts = forest._cuts(values)
+    assert len(cuts) == 31 and list(cuts[:5]) == [0.5, 1.5, 2.5, 3.5, 4.5]
+    assert list(forest._cuts(np.array([3.0, 1.0, 1.0, 2.0]))) == [1.5, 2.5]
