@@ -6,6 +6,7 @@ No piece reaches across the start of a run of spaces, or over a line end, so all
 word runs between such places can be remembered.
 """
 
+import hashlib
 import re
 import zlib
 from array import array
@@ -20,6 +21,7 @@ from inkprint.llm.common import whole_text, worker_table
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # as far below the lowest score as the library's unigram search puts an unknown character
 CACHE_RUNS = 400_000
+PART = 256  # texts that are encoded and decoded before their results are handed on
 _RUN = re.compile(r" *[^ \n]+| +|\n+")
 
 
@@ -208,7 +210,23 @@ def decoded(tokens: DataFrame, model: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """Encode and decode every whole text: doc_id, n_ids, ids_crc32, decoded_sha256, exact (the text came back)."""
-    return decoded(encoded(docs, model), model).select(
-        "doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("exact"))
+    """Encode and decode every whole text: doc_id, n_ids, ids_crc32, decoded_sha256, exact (the text came back).
+
+    Rows are as ``decoded`` of ``encoded`` would give them. Both ways are gone in one worker per task with one vocabulary,
+    ``PART`` texts at a time, so neither texts nor ids travel back or wait for a whole batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = encoder(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                part, rows = batch.slice(at, PART), []
+                for text in part.column(1):
+                    text = text.as_py()
+                    ids = table.encode(text)
+                    back = table.decode(ids)
+                    rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
+                n_ids, crc32, sha256, exact = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n_ids, pa.int64()), pa.array(crc32, pa.int64()), pa.array(sha256, pa.string()),
+                     pa.array(exact, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "exact"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(
+        run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, exact boolean")

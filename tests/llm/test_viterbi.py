@@ -94,3 +94,15 @@ def test_odd_rows(spark):
     got = {(r.doc_id, r.n_ids) for r in viterbi.round_trip(df, PATH).where("exact").collect()}
     assert len(got) == 5 and (1, 0) in got and (2, 0) in got
     assert viterbi.round_trip(df.where("doc_id = 99"), PATH).count() == 0
+
+
+def test_round_trip_needs_one_python_worker_and_equals_the_two_steps(spark):
+    df = spark.createDataFrame([(i if i % 7 else None, TEXTS[i % len(TEXTS)] if i % 5 else None) for i in range(600)],
+                               "doc_id long, text string").coalesce(1)
+    got = viterbi.round_trip(df, PATH)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+    steps = viterbi.decoded(viterbi.encoded(df, PATH), PATH).selectExpr(
+        "doc_id", "n_ids", "ids_crc32", "sha2(decoded, 256) AS decoded_sha256", "decoded = text AS exact")
+    assert got.schema.simpleString() == steps.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, steps.collect()))
