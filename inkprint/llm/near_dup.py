@@ -1,13 +1,12 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
 Texts with equal words are one class. Class signatures are banded; within a band's bucket every class meets the bucket's
-first class. Classes of buckets that still hold several components then meet where they share one of the rare shingles
-that similar sets must share. Candidate pairs compare their signatures batch by batch and are dropped as soon as the
+first class. Of the classes of buckets that still hold several components, those with enough shingles that other components
+have then meet where they share one of the rare shingles that similar sets must share. Candidate pairs compare their signatures batch by batch and are dropped as soon as the
 posterior chance of reaching the threshold falls below ``MISS``; survivors are verified exactly on their full shingle
 sets. Components grow over the verified links only.
 """
 
-import math
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -16,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import dealt, materialised, whole_text, worker_table
@@ -26,7 +26,7 @@ BANDS, ROWS = 24, 5  # a pair at the threshold shares no band with a chance of (
 HASHES = BANDS * ROWS
 BATCH = 12  # signature positions compared at a time
 MISS = 1e-6  # chance, at the threshold or above, that a pair may be dropped by its signature
-CLASS_STEP = 1.03  # ratio of the size classes for which prefixes are told apart
+PART = 64  # sets whose shingles are spelt at a time
 SLOTS, PAGE = 1 << 21, 1 << 16  # slots in which shingles are counted to order them, whatever the corpus
 CACHE_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -191,31 +191,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _size_class(n: int) -> int:
-    return int(math.log(n) / math.log(CLASS_STEP) + 1e-9)
-
-
-def prefixes(found: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    """Keys of which two similar sets share at least one. A set's shingles are ordered from rare to frequent, alike for all
-    sets; two sets with the overlap that the threshold asks of their sizes must meet within the first size - overlap + 1
-    of either. There is a list of keys per size class of the partner; shingles that no other set has are left out."""
-    n = len(found)
-    if not n:
-        return []
-    seen = weight[(found % np.uint64(SLOTS)).astype(np.int64)]
-    order = np.lexsort((found, seen))
-    ranked, shared = found[order], seen[order] > 1
-    least, most = -(-n * NUMERATOR // DENOMINATOR), n * DENOMINATOR // NUMERATOR
-    own, keys = _size_class(n), []
-    for other in range(_size_class(least), _size_class(most) + 1):
-        smallest = max(least, math.floor(CLASS_STEP ** other) - 1)
-        overlap = -(-NUMERATOR * (n + smallest) // (NUMERATOR + DENOMINATOR))
-        first = ranked[:max(0, n - overlap + 1)][shared[:max(0, n - overlap + 1)]]
-        pair = np.array([min(own, other) * 4096 + max(own, other)], np.uint64)
-        keys.append(_mix(first + pair * _PLACES[0]))
-    return keys
-
-
 def _weights(sets: DataFrame) -> np.ndarray:
     """How many of ``sets`` have a shingle in each of ``SLOTS`` slots; a table of fixed size, packed page by page."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,26 +224,55 @@ def _centrality(sets: DataFrame, weight: np.ndarray) -> DataFrame:
     return sets.select("id", "found").mapInArrow(run, "id long, o double").groupBy("id").agg(F.min("o").alias("o"))
 
 
-def _meetings(members: DataFrame, weight: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of ``members`` (id, comp, found) in different components that share a prefix key: among them are all
-    similar ones. Of the largest component at a key only the others look at it, so a crowd of linked copies costs nothing."""
+def _postings(members: DataFrame) -> DataFrame:
+    """g (a shingle), id, comp, n (size of the set) of all shingles of ``members`` (id, comp, found)."""
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, comp, found in zip(*[batch.column(c).to_pylist() for c in ("id", "comp", "found")]):
-                keys = prefixes(np.frombuffer(found, np.uint64), weight)
-                keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), doc)), pa.array(np.full(len(keys), comp))],
-                        ["key", "id", "comp"])
-    spelt = materialised(members.select("id", "comp", "found").mapInArrow(spell, "key long, id long, comp long"))
-    shares = spelt.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = shares.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
-    placed = materialised(spelt.join(dealt(mixed.where("comps > 1").select("key", "main")), "key"))
-    left = placed.where("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    right = placed.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"))
-    return left.join(right, "key").where("cx <> cy").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                packed = part.column("found").to_pylist()
+                sizes = np.array([len(x) // 8 for x in packed], np.int64)
+                each = lambda c: pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(b"".join(packed), np.int64)), each("id"), each("comp"), pa.array(np.repeat(sizes, sizes))],
+                    ["g", "id", "comp", "n"])
+    once = members.groupBy("id").agg(F.first("comp").alias("comp"), F.first("found").alias("found"))
+    return once.mapInArrow(spell, "g long, id long, comp long, n long")
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members`` (id, comp, found) in different components that may be similar; all similar ones are
+    among them.
+
+    What a set has in common with one of another component are shingles that other components have, so a set with too few
+    of those is like none and goes, with its shingles; that is repeated while many go. A group of copies that are unlike
+    each other by edits of their own is settled so without a pair. Sets that stay are ordered from rare to frequent
+    shingles, by exact counts among them; two similar ones meet in a shingle after which either has enough left for the
+    overlap that the threshold asks of their sizes. Of the largest component at a shingle only the others look at it."""
+    c = F.col
+    rows, before = materialised(_postings(members)), None
+    while True:
+        foreign = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
+        common = rows.select("g", "id", "comp", "n").join(dealt(foreign), "g")
+        rows = materialised(common.withColumn("k", F.count("*").over(W.partitionBy("id"))).where(
+            c("k") * DENOMINATOR >= c("n") * NUMERATOR))
+        now = rows.count()
+        if not now or before is not None and now > 0.9 * before:
+            break
+        before = now
+    counts = rows.groupBy("g").agg(F.count("*").alias("size"))
+    ranked = rows.join(dealt(counts), "g").withColumn("at", F.row_number().over(W.partitionBy("id").orderBy("size", "g")))
+    least = F.ceil(c("n") * NUMERATOR / DENOMINATOR)  # of the overlap with any set
+    first = materialised(ranked.where(c("k") - c("at") + 1 >= least).select("g", "id", "comp", "n", (c("k") - c("at") + 1).alias("left")))
+    shares = first.groupBy("g", "comp").agg(F.count("*").alias("size"))
+    mixed = shares.groupBy("g").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
+    placed = materialised(first.join(dealt(mixed.where("comps > 1").select("g", "main")), "g"))
+    side = lambda s: [c(k).alias(f"{k}_{s}") for k in ("id", "comp", "n", "left")]
+    met = placed.where("comp <> main").select("g", *side("x")).join(placed.select("g", *side("y")), "g")
+    overlap = (c("n_x") + c("n_y")) * NUMERATOR <= F.least("left_x", "left_y") * (NUMERATOR + DENOMINATOR)
+    return met.where((c("comp_x") != c("comp_y")) & overlap & (
+        F.least("n_x", "n_y") * DENOMINATOR >= F.greatest("n_x", "n_y") * NUMERATOR)).select(
+        F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -373,7 +377,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = materialised(crowd.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     unsettled = placed.join(dealt(mixed), "key", "left_semi").select("id", "comp").distinct()
-    met = _meetings(sets.join(unsettled, "id"), weight)
+    met = _meetings(sets.join(unsettled, "id"))
     tried = alive.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     comps = merged(_verified(_survivors(met.join(tried, ["a", "b"], "left_anti"), reps), sets))
 

@@ -120,3 +120,21 @@ def test_kept_takes_a_table_with_a_column_of_ids(spark):
     got = nd.kept(docs)
     assert got.columns == docs.columns
     assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2], rows[3]]
+
+
+def test_a_family_of_near_misses_meets_in_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SLOTS", 1 << 10)  # a table of counts that a large corpus has filled
+    monkeypatch.setattr(nd, "PAGE", 1 << 10)
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(5000)}" for _ in range(300)]
+    texts = [edited(rng, words, 14) for _ in range(120)]  # about 0.65 like each other
+    close = [edited(rng, t.split(), 2) for t in texts[:6]]  # like one of them
+    sets = [nd.shingles(t) for t in texts + close]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if nd.similar(sets[i], sets[j])}
+    assert len(want) == 6
+    members = spark.createDataFrame([(i, i, bytearray(x.tobytes())) for i, x in enumerate(sets)] * 2, "id long, comp long, found binary")
+    met = {(r.a, r.b) for r in nd._meetings(members).collect()}
+    assert want <= met and len(met) <= 2 * len(want)
+    apart = members.withColumn("comp", members.id % 2)  # pairs within a component are not looked for
+    met = {(r.a, r.b) for r in nd._meetings(apart).collect()}
+    assert {(i, j) for i, j in want if i % 2 != j % 2} <= met
