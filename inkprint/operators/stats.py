@@ -280,7 +280,11 @@ def strongest_signals(signals: DataFrame, n: int = 5) -> DataFrame:
 
 
 def _class_means(df: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
-    cells = moments(df, [*keys, label], features)
+    return _sides(moments(df, [*keys, label], features), keys, label)
+
+
+def _sides(cells: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Class means and sizes side by side, of cells (keys, label, feature, n, mean)."""
     side = lambda name, of: F.max(F.when(F.col(label) == of, F.col(name)))
     return cells.groupBy(*keys, "feature").agg(
         side("mean", 0).alias("human_mean"), side("mean", 1).alias("ai_mean"),
@@ -290,7 +294,7 @@ def _class_means(df: DataFrame, keys: list[str], features: list[str], label: str
 def shift_directions(first: DataFrame, second: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """Class means and direction per feature in two corpora; ``stable`` where the directions agree. Features with
     no value in one of the four cells are left out."""
-    return _directions(_stack(first, second, features, label), features, label, 1)
+    return _directions(_class_means(_stack(first, second, features, label), ["corpus"], features, label), 1)
 
 
 def _stack(first: DataFrame, second: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -298,9 +302,8 @@ def _stack(first: DataFrame, second: DataFrame, features: list[str], label: str)
     return of(first, "first").unionByName(of(second, "second"))
 
 
-def _directions(stacked: DataFrame, features: list[str], label: str, min_cell: int) -> DataFrame:
+def _directions(means: DataFrame, min_cell: int) -> DataFrame:
     c = F.col
-    means = _class_means(stacked, ["corpus"], features, label)
     means = means.where(F.least("n_human", "n_ai") >= min_cell)
     side = lambda name, corpus: F.max(F.when(c("corpus") == corpus, c(name))).alias(f"{corpus}_{name}")
     wide = means.groupBy("feature").agg(
@@ -328,21 +331,24 @@ def _counted(stacked: DataFrame, features: list[str], label: str) -> DataFrame:
     return materialised(value_counts_of(melt(stacked, ["corpus", label], features), ["corpus", label, "feature"], "value"))
 
 
-def _tested(stacked: DataFrame, counts: DataFrame, features: list[str], label: str, min_cell: int) -> DataFrame:
+def _tested(counts: DataFrame, label: str, min_cell: int) -> DataFrame:
+    """Directions and tests from the value counts alone; the rows are not read again."""
     c = F.col
     tests = rank_sum_test(materialised(two_sides(counts, ["corpus", "feature"], c(label))), ["corpus", "feature"])
     side = lambda name, corpus, alias: F.max(F.when(c("corpus") == corpus, c(name))).alias(alias)
     paired = tests.groupBy("feature").agg(
         side("z", "first", "z_first"), side("z", "second", "z_second"),
         side("p_value", "first", "p_first"), side("p_value", "second", "p_second"))
-    return _directions(stacked, features, label, min_cell).join(paired, "feature")
+    cells = counts.groupBy("corpus", label, "feature").agg(
+        F.sum("n").alias("n"), (F.sum(c("value") * c("n")) / F.sum("n")).alias("mean"))
+    return _directions(_sides(cells, ["corpus"], label), min_cell).join(paired, "feature")
 
 
 def stable_conflict_features(first: DataFrame, second: DataFrame, features: list[str], label: str = "label",
                              min_cell: int = 10) -> DataFrame:
     """Features significant in both corpora, as 'stable' (same direction) or 'conflict' (opposite)."""
     stacked = _stack(first, second, features, label)
-    tested = _tested(stacked, _counted(stacked, features, label), features, label, min_cell)
+    tested = _tested(_counted(stacked, features, label), label, min_cell)
     return classify_shift(tested).where(F.col("kind").isNotNull())
 
 
@@ -356,7 +362,7 @@ def shift_report(first: DataFrame, second: DataFrame, features: list[str], label
     moved = transport_distance(materialised(corpora), [label, "feature"])
     side = lambda of, alias: F.max(F.when(F.col(label) == of, F.col("distance"))).alias(alias)
     moved = moved.groupBy("feature").agg(side(1, "ai_shift_w"), side(0, "human_shift_w"))
-    return classify_shift(_tested(stacked, counts, features, label, min_cell)).join(moved, "feature")
+    return classify_shift(_tested(counts, label, min_cell)).join(moved, "feature")
 
 
 def shift_counts(report: DataFrame) -> DataFrame:

@@ -213,3 +213,21 @@ def test_small_sides_without_ties_are_exact(spark):
         else:
             orders, low = every_order(len(a), len(b)), min(r.u1, r.u0)
             assert r.p_value == pytest.approx(min(1.0, 2 * sum(x <= low for x in orders) / len(orders)))
+
+
+def test_a_shift_report_reads_the_rows_once(spark):
+    rows = [(i % 2, float(i % 7) / 3, float("nan") if i % 5 == 0 else None if i % 11 == 0 else i * 0.1) for i in range(60)]
+    df = spark.createDataFrame(rows, "label int, x double, y double")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+    counting = df.mapInArrow(seen, df.schema)
+    got = {r.feature: r for r in stats.shift_report(counting, counting.where("label >= 0"), ["x", "y"]).collect()}
+    assert read.value == 2 * len(rows)
+    for k, name in ((1, "x"), (2, "y")):
+        for side, of in ((0, "human"), (1, "ai")):
+            values = [r[k] for r in rows if r[0] == side and r[k] is not None and r[k] == r[k]]
+            assert abs(got[name][f"first_{of}_mean"] - sum(values) / len(values)) < 1e-12
