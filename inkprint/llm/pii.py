@@ -33,7 +33,8 @@ CONTEXT = 24  # words of one context
 LEAST_JOINT = 3  # distinct contexts in which a word must meet an entity before it can reveal it
 DISCLOSURE = 0.85  # share of the entity's information from which a word counts as revealing
 STEM, STEM_FROM = 4, 6  # letters of a stem; shortest word that has one
-FILTER_BITS = 1 << 20  # bits of the filter that words pass before they are shuffled, whatever the corpus
+FILTER_BITS = 1 << 20  # bits of the filter that words pass before they are counted, whatever the corpus
+COPY_BITS = 1 << 23  # bits of the filter that tells contexts without copies, whatever the corpus
 WORD = r"[^\x20\x09-\x0D]+"
 _GAP = r"[\x20\x09-\x0D]+"
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -130,22 +131,37 @@ def _entities(text: str) -> Column:
     return F.array_distinct(F.flatten(F.array(*map(one, BASE_KINDS))))
 
 
-def _filter_of(terms: DataFrame) -> Column:
-    """A one-row table of ``FILTER_BITS`` bits, those of the hashes of ``terms`` (term) set. It lets every one of them
+def _filter_of(terms: DataFrame, size: int = FILTER_BITS) -> Column:
+    """A one-row table of ``size`` bits, those of the hashes of ``terms`` (term) set. It lets every one of them
     pass, and others by chance only; its size does not depend on the corpus."""
-    place = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
+    place = F.pmod(F.xxhash64("term"), F.lit(size))
     filled = terms.select(F.shiftright(place, 6).alias("word"), (place % 64).cast("int").alias("bit")).groupBy("word").agg(
         F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    empty = terms.sparkSession.range(FILTER_BITS // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    empty = terms.sparkSession.range(size // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
     whole = filled.select(F.col("word").cast("long"), "bits").unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     return whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits")).scalar()
 
 
-def _passes(term: Column, bits: Column) -> Column:
-    place = F.pmod(F.xxhash64(term), F.lit(FILTER_BITS))
+def _passes(term: Column, bits: Column, size: int = FILTER_BITS) -> Column:
+    place = F.pmod(F.xxhash64(term), F.lit(size))
     return F.bit_get(F.element_at(bits, F.shiftright(place, 6).cast("int") + 1), (place % 64).cast("int")) == 1
 
 
+def _with_stems(terms: Column) -> Column:
+    return F.concat(terms, F.array_distinct(F.array_compact(F.transform(terms, stem_of))))
+
+
+def _counted(every: DataFrame, bits: Column, several: Column) -> DataFrame:
+    """h, term, n: of contexts (h, words) that pass the filter ``several`` one row each, with all terms in ``term``; of the
+    others, with a null h, the number of contexts per term or stem that passes ``bits``."""
+    words = every.select("h", _terms(F.col("words")).alias("terms"))
+    words = words.select(F.when(_passes(F.col("h"), several, COPY_BITS), F.col("h")).alias("h"), "terms")
+    doubtful = F.col("h").isNotNull()
+    words = words.select("h", F.explode(F.when(doubtful, F.array(F.array_join("terms", " "))).otherwise(
+        _with_stems(F.col("terms")))).alias("term")).where(doubtful | _passes(F.col("term"), bits))
+    return words.groupBy("h", "term").agg(F.count("*").alias("n"))
+
+
 def disclosures(docs: DataFrame) -> DataFrame:
     """The terms and stems that reveal an entity: term, disclosure (the largest share of an entity's information).
 
@@ -165,16 +181,16 @@ def disclosures(docs: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST_JOINT)
     pairs = materialised(dealt(pairs).join(dealt(entities), "entity"))
     bits = _filter_of(pairs.select("term").distinct())
-    # Only contexts that have copies, told by a second filter, are shuffled by their hash; others are distinct as they are.
-    every = _contexts(texts).withColumn("h", F.md5(F.array_join("words", " ")))
+    # Only contexts that may have copies, told by a second filter, are shuffled by their hash, each as one row of its terms:
+    # at most one row per context, however full the filter is. The others are distinct as they are and only add to counts.
+    every = _contexts(texts).withColumn("h", F.unhex(F.md5(F.array_join("words", " "))))
     copied = every.groupBy("h").agg(F.count("*").alias("n")).select(F.when(F.col("n") > 1, F.col("h")).alias("term"))
     copied = materialised(copied.groupBy("term").agg(F.count("*").alias("n")))  # null: the contexts without copies
-    several = _filter_of(copied.where("term IS NOT NULL").select("term"))
-    words = every.select("h", _terms(F.col("words")).alias("terms"))
-    words = words.select("h", F.explode(F.concat("terms", F.array_distinct(F.array_compact(F.transform("terms", stem_of))))).alias("term"))
-    words = words.where(_passes(F.col("term"), bits)).withColumn("h", F.when(_passes(F.col("h"), several), F.col("h")))
-    counts = words.groupBy("h", "term").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("term").agg(F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+    several = _filter_of(copied.where("term IS NOT NULL").select("term"), COPY_BITS)
+    counts = _counted(every, bits, several)
+    each = F.when(F.col("h").isNotNull(), _with_stems(F.split("term", " "))).otherwise(F.array("term"))
+    counts = counts.select(F.when(F.col("h").isNotNull(), 1).otherwise(F.col("n")).alias("n"), F.explode(each).alias("term"))
+    counts = counts.where(_passes(F.col("term"), bits)).groupBy("term").agg(F.sum("n").alias("n_term"))
     total = copied.agg(F.sum("n")).scalar()
     information = F.log2(total / F.col("n_entity"))
     shared = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))

@@ -141,3 +141,14 @@ def test_copies_and_repeats_do_not_hide_a_revealing_word(spark):
     got = {r.term: r.disclosure for r in pii.disclosures(df).collect()}
     assert math.isclose(got["quillwort"], 1.0)
     assert math.isclose(got["quil*"], 1.0)
+
+
+def test_a_copied_context_is_shuffled_as_one_row(spark):
+    names = [chr(97 + i) for i in range(20)]
+    lines = [" ".join(f"garden{a}{b}" for b in names) for a in names]
+    every = spark.createDataFrame([(line.encode(), line.split()) for line in lines * 3 + ["some single line"]], "h binary, words array<string>")
+    copied = spark.createDataFrame([(line.encode(),) for line in lines], "term binary")
+    some = spark.createDataFrame([("gardenaa",), ("single",)], "term string")
+    got = pii._counted(every, pii._filter_of(some), pii._filter_of(copied, pii.COPY_BITS)).collect()
+    assert sorted((bytes(r.h), r.term, r.n) for r in got if r.h is not None) == sorted((x.encode(), x, 3) for x in lines)
+    assert ("single", 1) in {(r.term, r.n) for r in got if r.h is None}
