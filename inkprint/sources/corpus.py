@@ -1,7 +1,12 @@
 """Reading and writing corpora: shards, labelled sources, JSON records, label columns, routed and sharded output."""
 
+import os
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,10 +66,43 @@ def union_sources(sources: list[tuple[DataFrame, int]], label: str = "label") ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
 
 
-def scan_json_records(spark: SparkSession, directory: str, schema: T.StructType) -> DataFrame:
-    """One JSON document per file, with the file name kept as ``source_file``."""
+def scan_json_records(spark: SparkSession, directory: str | list[str], schema: T.StructType) -> DataFrame:
+    """One JSON document per file, with the file name kept as ``source_file``; ``directory`` may be a list of folders.
+    Spark's own deal of at most 32 small files per task is mostly task start; a few tasks per core share them instead."""
     records = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(directory)
-    return records.withColumn("source_file", F.col("_metadata.file_name"))
+    records = records.withColumn("source_file", F.col("_metadata.file_name"))
+    return records.coalesce(spark.sparkContext.defaultParallelism * 8)
+
+
+def _record_files(directory: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = f"{TaskContext.get().partitionId():05d}"
+        folder = f"{task}-{uuid.uuid4().hex}"
+        os.makedirs(f"{directory}/{folder}")
+        records = (record for batch in batches for record in batch.column(0))
+        for number, record in enumerate(records):
+            with open(f"{directory}/{folder}/{task}-{number:07d}.json", "xb") as file:
+                file.write(record.as_py() + b"\n")
+        yield pa.RecordBatch.from_pydict({"folder": [folder]})
+    return write
+
+
+def write_json_records(df: DataFrame, directory: str) -> list[str]:
+    """One JSON document per row and file, as collectors leave them; returns the folders to scan, one per task that ended
+    well, so that files of a failed or repeated task are never read. Rows are dealt out evenly, whatever their keys.
+
+    On a mounted file system the tasks create the files themselves, as Hadoop's local one starts two ``chmod`` processes
+    per file, which took most of the time. Other stores get Spark's writer."""
+    spark = df.sparkSession
+    rows = df.repartition(spark.sparkContext.defaultParallelism * 3)
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    if uri.getScheme() != "file":
+        rows.write.option("maxRecordsPerFile", 1).json(directory)
+        return [directory]
+    documents = rows.select(F.to_json(F.struct("*")).cast("binary").alias("document"))
+    written = documents.mapInArrow(_record_files(uri.getPath()), "folder string").collect()
+    return [f"{directory}/{row.folder}" for row in written]
 
 
 def parse_json_column(df: DataFrame, column: str, schema: str) -> DataFrame:

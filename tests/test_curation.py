@@ -1,11 +1,13 @@
 import html
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkprint.operators import curation
 from inkprint.sources import corpus as io
+from registry.queries import QUERIES
 
 
 def test_blank_and_strip(spark):
@@ -93,6 +95,49 @@ def test_json_records(spark, tmp_path):
     assert rows["b.json"].code == "x\ny" and rows["a.json"].problem.rating == 900 and rows["b.json"].author is None
 
 
+ODD_RECORDS = [("a", 1, None), ("a", 1, None), ("\u00e9\U0001f600\n\t\"\\", 2, ["x", ""]), (None, None, None), ("", 0, [])]
+RECORD = "code string, n long, tags array<string>"
+
+
+def test_json_records_written_and_read_back(spark, tmp_path):
+    df = spark.createDataFrame(ODD_RECORDS, RECORD)
+    folders = io.write_json_records(df, f"file://{tmp_path}/out")
+    (tmp_path / "out" / "left-by-a-failed-task").mkdir()
+    (tmp_path / "out" / "left-by-a-failed-task" / "x.json").write_text('{"code": "twice"}')
+    rows = io.scan_json_records(spark, folders, df.schema).collect()
+    key = lambda row: repr(tuple(row)[:3])
+    assert sorted(map(key, rows)) == sorted(repr(r) for r in ODD_RECORDS)
+    assert len({r.source_file for r in rows}) == len(ODD_RECORDS) and all(r.source_file.endswith(".json") for r in rows)
+    empty = io.write_json_records(df.limit(0), f"{tmp_path}/none")
+    assert io.scan_json_records(spark, empty, df.schema).drop("source_file").schema == df.schema
+    assert io.scan_json_records(spark, empty, df.schema).count() == 0
+
+
+def test_json_records_of_a_store_that_is_not_mounted(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.records.link./in", f"file://{tmp_path}")
+    df = spark.createDataFrame(ODD_RECORDS, RECORD)
+    folders = io.write_json_records(df, "viewfs://records/in/out")
+    rows = io.scan_json_records(spark, folders, df.schema).drop("source_file").collect()
+    assert folders == ["viewfs://records/in/out"] and sorted(map(repr, map(tuple, rows))) == sorted(map(repr, ODD_RECORDS))
+
+
+def test_json_records_cost_no_process_and_no_task_each(spark, tmp_path):
+    """All turns in one conversation: files come from all tasks, no process is started per file, no task reads a few."""
+    started = lambda: next(int(line.split()[1]) for line in open("/proc/stat") if line.startswith("processes"))
+    turns = spark.range(0, 3000, 1, 1).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                              F.lit("user").alias("role"), F.lit("text").alias("text"))
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before, then = set(Path(shared).glob("inkprint-*")), started()
+    result = QUERIES["scan_json_records"](spark, str(tmp_path))
+    assert started() - then < 3000
+    (folder,) = set(Path(shared).glob("inkprint-*")) - before
+    names = [path.name.removeprefix("part-") for path in folder.rglob("*.json")]
+    assert len(names) == 3000 and len({name.split("-")[0] for name in names}) > 1  # names begin with the task
+    assert result.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism * 8
+    assert result.agg(F.count("*"), F.countDistinct("turn"), F.min("kind")).first() == (3000, 3000, "turn")
+
+
 def test_empty_directory_keeps_the_schema(spark, tmp_path):
     assert io.scan_shards(spark, str(tmp_path)).schema == io.SAMPLE_SCHEMA
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
