@@ -56,19 +56,19 @@ def corpus_report(df: DataFrame, columns: list[str], code: str = "code", label:
 
 
 def transfer(first: DataFrame, second: DataFrame, report: DataFrame, features: list[str], recipe: Recipe = random_forest(),
-             id_col: str = "sample_id", cap: int | None = 50_000) -> DataFrame:
+             id_col: str = "sample_id") -> DataFrame:
     """Transfer from the first corpus to the second on all features, and on the stable ones of a shift report if there are
-    any. ``cap`` bounds the rows per class that are fit; all rows of the second corpus are predicted."""
+    any. All rows of the first corpus are fit, all of the second predicted."""
     stable = [r["feature"] for r in report.where(F.col("kind") == "stable").select("feature").collect()]
     sets = {"all": features} | ({"stable": sorted(stable)} if stable else {})
-    return cross_corpus_eval({"first": first}, {"second": second}, sets, recipe, id_col=id_col, cap=cap)
+    return cross_corpus_eval({"first": first}, {"second": second}, sets, recipe, id_col=id_col)
 
 
 def forensics(first: DataFrame, second: DataFrame, features: list[str], recipe: Recipe = random_forest(),
-              id_col: str = "sample_id", cap: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
+              id_col: str = "sample_id") -> tuple[DataFrame, DataFrame]:
     """(shift report of two corpora, transfer from the first to the second on all versus stable features)."""
     report = materialised(shift_report(first, second, features))
-    return report, transfer(first, second, report, features, recipe, id_col, cap)
+    return report, transfer(first, second, report, features, recipe, id_col)
 
 
 def model_comparison(matrix: DataFrame, features: list[str], recipes: dict[str, Recipe], label: str = "label",
@@ -89,15 +89,15 @@ def model_comparison(matrix: DataFrame, features: list[str], recipes: dict[str,
 
 
 def third_corpus_validation(first: DataFrame, second: DataFrame, third: DataFrame, features: list[str],
-                            recipe: Recipe = random_forest(), id_col: str = "sample_id",
-                            cap: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
+                            recipe: Recipe = random_forest(), id_col: str = "sample_id") -> tuple[DataFrame, DataFrame]:
     """Features that are stable between two corpora, put to the test on an unseen third: (results of three training sets
-    and both feature sets, gain of the stable features per training set). Without stable features only all are tried."""
+    and both feature sets, gain of the stable features per training set). Without stable features only all are tried.
+    Every row of a training set is fit."""
     kinds = stable_conflict_features(first, second, features)
     stable = sorted(r["feature"] for r in kinds.where(F.col("kind") == "stable").select("feature").collect())
     sets = {"all": features} | ({"stable": stable} if stable else {})
     trains = {"first": first, "second": second, "both": first.unionByName(second, allowMissingColumns=True)}
-    results = cross_corpus_eval(trains, {"third": third}, sets, recipe, id_col=id_col, cap=cap)
+    results = cross_corpus_eval(trains, {"third": third}, sets, recipe, id_col=id_col)
     return results, subset_lift(results, "stable", "all")
 
 
