@@ -34,3 +34,9 @@ def test_balanced_classes_have_the_size_of_the_smallest(corpus):
     fitted: list[int] = []
     models.cross_corpus_eval({"x": corpus.where("label = 0 OR a < 2")}, {"y": corpus.limit(10)}, {"one": ["b"]}, counting(fitted), balanced=True)
     assert fitted == [2 * corpus.where("label = 1 AND a < 2").count()]
+
+
+def test_forensics_fits_every_row(corpus):
+    fitted: list[int] = []
+    _, moved = studies.forensics(corpus, corpus, ["a", "b"], counting(fitted))
+    assert set(fitted) == {2 * N} and {r.n for r in moved.collect()} == {2 * N}
