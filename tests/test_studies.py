@@ -40,3 +40,9 @@ def test_forensics_fits_every_row(corpus):
     fitted: list[int] = []
     _, moved = studies.forensics(corpus, corpus, ["a", "b"], counting(fitted))
     assert set(fitted) == {2 * N} and {r.n for r in moved.collect()} == {2 * N}
+
+
+def test_third_corpus_validation_fits_every_row(corpus):
+    fitted: list[int] = []
+    results, _ = studies.third_corpus_validation(corpus, corpus, corpus.limit(50), ["a", "b"], counting(fitted))
+    assert set(fitted) == {2 * N, 4 * N} and {r.train for r in results.collect()} == {"first", "second", "both"}
