@@ -6,10 +6,8 @@ rows, and every list returns the entries of at least cutoff / LISTS: a row whose
 the cutoff. Phase 3 drops rows that cannot reach it with what is known, and scores the rest exactly.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +17,9 @@ LISTS = 2  # the share of a list is cutoff / LISTS: with few lists it is high, a
 SCALE = 256
 PROBES = 4  # times k + 1 rows of each list are scored for the cutoff: the higher it is, the fewer entries reach its share
 BLOCK_ROWS = 8192  # rows of one block of vectors
-BLOCK_QUERIES = 512  # queries of one block
+BLOCK_QUERIES = 512  # queries whose products with a block of rows are held at once
+GROUP_QUERIES = 8192  # queries that meet a block of rows in one task
+BROADCAST_BYTES = 16_000_000  # vectors beyond that are never sent through the driver, however small their files are
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -38,51 +38,50 @@ def _smallest(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def _packed(rows: DataFrame, keys: list[str], block: Column, width: int) -> DataFrame:
-    """Blocks of whole vectors: for every block the ids and, per list of components, one row with the packed parts."""
+def _lists(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """One row per vector and list of components, with the list's part of the vector, padded with zeros."""
     part = -(-width // LISTS)
-    parts = F.array(*[F.slice("v", 1 + j * part, part) for j in range(LISTS)])
-    lists = rows.select(block.alias("block"), *keys, F.posexplode(parts).alias("list", "part"))
-    return lists.groupBy("block", "list").agg(F.collect_list(F.struct(*keys, "part")).alias("rows"))
+    whole = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(part * LISTS) - F.size("v")))
+    parts = F.array(*[F.slice(whole, 1 + j * part, part) for j in range(LISTS)])
+    return rows.select(*keys, F.posexplode(parts).alias("list", "part"))
 
 
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.fromiter((r["vid"] for r in rows), np.int64, len(rows))
-    wide = max((len(r["part"]) for r in rows), default=0)
-    m = np.zeros((len(rows), wide), np.int64)
-    for i, r in enumerate(rows):
-        m[i, :len(r["part"])] = r["part"]
-    return ids, m
+def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = rows.column("vid").to_numpy()
+    parts = rows.column("part").combine_chunks()
+    return ids, parts.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products; in floating point where every sum stays below 2**53."""
-    wide = min(a.shape[1], b.shape[1])
-    a, b = a[:, :wide], b[:, :wide]
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, wide)
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if bound < 2 ** 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return a @ b.T
 
 
 def _partials(k: int):
-    """Phases 1 and 2 on one block of rows and one of queries: the k best rows of every query, or those at the cutoff."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for of, rows, queries in zip(batch["list"], batch["rows"], batch["queries"]):
-                ids, m = _matrix(rows)
-                qids, q = _matrix(queries)
+    """Phases 1 and 2 on one list of a block of rows and of a block of queries: the k best rows of every query, or those at
+    the cutoff."""
+    def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64),) * 3]
+        if rows.num_rows and queries.num_rows:
+            ids, m = _matrix(rows)
+            for start in range(0, queries.num_rows, BLOCK_QUERIES):
+                some = queries.slice(start, BLOCK_QUERIES)
+                qids, q = _matrix(some)
                 scores = _products(q, m)
-                if "cutoff" in queries[0]:
+                if "cutoff" in some.column_names:
                     # at least cutoff / LISTS, in integers; without a cutoff every row is sent
-                    need = [None if r["cutoff"] is None else -(-r["cutoff"] // LISTS) for r in queries]
-                    floor = np.array([np.iinfo(np.int64).min if n is None else n for n in need])
-                    qi, ri = np.nonzero(scores >= floor[:, None])
+                    need = [np.iinfo(np.int64).min if c is None else -(-c // LISTS) for c in some.column("cutoff").to_pylist()]
+                    qi, ri = np.nonzero(scores >= np.array(need)[:, None])
                 else:
                     take = min(k, scores.shape[1])
-                    ri = np.argpartition(-scores, take - 1, axis=1)[:, :take].ravel() if take else np.zeros(0, int)
+                    ri = np.argpartition(-scores, take - 1, axis=1)[:, :take].ravel()
                     qi = np.repeat(np.arange(len(qids)), take)
-                yield pd.DataFrame({"qid": qids[qi], "list": of, "vid": ids[ri], "partial": scores[qi, ri]})
+                found.append((qids[qi], ids[ri], scores[qi, ri]))
+        qid, vid, partial = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"qid": qid, "list": np.full(len(qid), key[-1].as_py(), np.int32), "vid": vid, "partial": partial})
     return run
 
 
@@ -115,31 +114,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     width = classes.agg(F.max(F.size("v"))).first()[0] or 1
     n_rows, n_queries = classes.count(), asked.count()
-    block = lambda n, size: F.pmod(F.xxhash64("vid"), F.lit(max(1, -(-n // size)))).cast("int")
-    rows = _packed(classes.select("vid", "v"), ["vid"], block(n_rows, BLOCK_ROWS), width)
-    row_blocks = max(1, -(-n_rows // BLOCK_ROWS))
+    row_blocks, query_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // GROUP_QUERIES))
+    block = lambda n: F.pmod(F.xxhash64("vid"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = ["block", "group", "list"]
+    rows = _lists(classes, ["vid", block(row_blocks).alias("block")], width).select("*", every(query_blocks).alias("group"))
 
     probes = PROBES * (k + 1)
 
     def compare(queries: DataFrame, keys: list[str]) -> DataFrame:
-        """Every block of queries meets every block of rows, list by list."""
-        packed = _packed(queries, keys, block(n_queries, BLOCK_QUERIES), width)
-        spread = packed.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("block"), "list",
-                               F.col("rows").alias("queries"))
-        return rows.join(spread, ["block", "list"]).select("list", "rows", "queries").mapInPandas(_partials(probes), _PARTIAL)
+        """Every block of queries meets every block of rows, list by list. Both are shuffled: as blocks of rows and queries
+        multiply, the queries' side outgrows any estimate from their files, and a broadcast of it the driver."""
+        spread = _lists(queries, [*keys, block(query_blocks).alias("group")], width).select("*", every(row_blocks).alias("block"))
+        return rows.groupBy(*met).cogroup(spread.groupBy(*met)).applyInArrow(_partials(probes), _PARTIAL)
+
+    def bounded(vectors: DataFrame, n: int) -> DataFrame:
+        """``vectors`` for a join, never broadcast if the ``n`` vectors themselves, not their files, are large."""
+        return vectors.hint("merge") if n * width * 8 > BROADCAST_BYTES else vectors
 
-    full = classes.select(F.col("vid").alias("_vid"), F.col("v").alias("_v"))
-    query_vectors = asked.select(F.col("vid").alias("_qid"), F.col("v").alias("_qv"))
+    full = bounded(classes.select(F.col("vid").alias("_vid"), F.col("v").alias("_v")), n_rows)
+    query_vectors = bounded(asked.select(F.col("vid").alias("_qid"), F.col("v").alias("_qv")), n_queries)
 
     def exact(pairs: DataFrame) -> DataFrame:
+        """Scores of (qid, vid, known); a score that is known is kept."""
         return pairs.join(full, F.col("vid") == F.col("_vid")).join(query_vectors, F.col("qid") == F.col("_qid")).select(
-            "qid", "vid", _dot(F.col("_v"), F.col("_qv")).alias("score"))
+            "qid", "vid", F.coalesce("known", _dot(F.col("_v"), F.col("_qv"))).alias("score"))
 
     # Phase 1. The best of each list, scored fully; a class counts once, which keeps the cutoff safe.
     best = Window.partitionBy("qid", "list").orderBy(F.desc("partial"), "vid")
     first = compare(asked, ["vid"]).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= probes)
     ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
-    cutoffs = exact(first.select("qid", "vid").distinct()).withColumn("_n", F.row_number().over(ranked)).where(
+    cutoffs = exact(first.select("qid", "vid", F.lit(None).cast("long").alias("known")).distinct()).withColumn("_n", F.row_number().over(ranked)).where(
         F.col("_n") == k + 1).select(F.col("qid").alias("_cut"), F.col("score").alias("cutoff"))
     cut = materialised(asked.join(cutoffs, F.col("vid") == F.col("_cut"), "left").select("vid", "v", "cutoff"))
 
@@ -154,9 +159,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         F.col("cutoff").isNull() | F.when(whole, F.col("known") >= F.col("cutoff")).otherwise(
             F.col("known") + (LISTS - F.col("lists")) * (share - 1) >= F.col("cutoff")))
 
-    # Phase 3. Exact scores of the rest; where all lists have answered, their sum is exact already.
-    done = able.where(whole).select("qid", "vid", F.col("known").alias("score"))
-    resolved = done.unionByName(exact(able.where(~whole).select("qid", "vid")))
+    # Phase 3. Exact scores of the rest; where all lists have answered, their sum is exact already. One pass over the entries.
+    resolved = exact(able.select("qid", "vid", F.when(whole, F.col("known")).alias("known")))
     top = resolved.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k + 1)
     by_class = classes.select(F.col("vid").alias("_vid"), F.col("same").alias("_of"))
     hits = top.select("qid", "vid", "score").join(by_class, F.col("vid") == F.col("_vid")).join(

@@ -51,3 +51,22 @@ def test_small_and_empty_tables(spark):
 def test_large_components(spark):
     rows = [(i, [float(2 ** 20) * (i % 7 - 3), float(i)]) for i in range(60)]
     assert run(spark, rows) == brute(rows, 5, 50)
+
+
+def test_blocks_of_queries_are_not_broadcast(spark, monkeypatch, plan):
+    """The queries' side is repeated for every block of rows, so its files, which Spark's estimate follows, say little of its
+    size: with many blocks it filled the driver. It is shuffled however small the files are."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(topk, "GROUP_QUERIES", 3, raising=False)
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 0, raising=False)
+    plans = []
+    plain = topk.materialised
+    monkeypatch.setattr(topk, "materialised", lambda df: plans.append(plan(df)) or plain(df))
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(c) for c in rng.normal(0, 0.3, 6).astype("float32")]) for i in range(120)]
+    df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], SCHEMA)
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, 3)
+    text = "\n".join([*plans, plan(got)])
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 3, 10)
+    compared = [i for i, line in enumerate(text.splitlines()) if "MapInPandas" in line or "FlatMapCoGroupsInArrow" in line]
+    assert compared and not any("Broadcast" in line for i in compared for line in text.splitlines()[i + 1:i + 4])
