@@ -17,7 +17,7 @@ from inkprint.operators.models import (
     Recipe, cross_corpus_eval, cv_predictions, feature_importance, fit, random_forest, subset_lift)
 from inkprint.operators.profile import code_length_stats, corpus_balance, value_counts
 from inkprint.operators.sampling import (
-    cap_per_class, group_folds, hash_rank, mark_capped, stratified_folds, union_corpora)
+    cap_per_class, group_folds, mark_capped, stratified_folds, union_corpora)
 from inkprint.operators.stats import (
     anova_f, overlap_zone, shift_report, signal_table, stable_conflict_features, top_features)
 from inkprint.session import materialised, spread
@@ -120,17 +120,15 @@ def baseline_report(corpora: dict[str, tuple[DataFrame, int | None]], features:
     return scored, score_summary(scored, ["corpus", label]), score_auroc(scored, label=label)
 
 
-def fingerprint_report(matrix: DataFrame, features: list[str], id_col: str = "sample_id", cap: int | None = 1000, k: int = 5,
+def fingerprint_report(matrix: DataFrame, features: list[str], id_col: str = "sample_id", k: int = 5,
                        recipe: Recipe = random_forest(depth=20)) -> dict[str, DataFrame]:
     """Many-class study: pooled predictions, per-class report, confusion rates, confused pairs, linkage, and the
-    features that tell the classes apart. ``cap`` bounds the rows per class that models are fit on; every row is
-    predicted and counted. Classes and predictions are written once."""
+    features that tell the classes apart. Models are fit on every row of the other folds; every row is predicted and
+    counted. Classes and predictions are written once."""
     named = derive_class(matrix)
     classes = materialised(index_classes(named))
-    ranked = hash_rank(named, ["class"], id_col).withColumn("fold", (F.col("hash_rank") - 1) % k)
-    fits = F.lit(True) if cap is None else F.col("hash_rank") <= cap
-    indexed = ranked.withColumn("in_fit", fits).drop("hash_rank").join(classes, "class")
-    predicted = cv_predictions(indexed, features, recipe, label="class_index", in_fit="in_fit")
+    indexed = stratified_folds(named, "class", id_col, k).join(classes, "class")
+    predicted = cv_predictions(indexed, features, recipe, label="class_index")
     back = classes.select(F.col("class_index").cast("double").alias("prediction"), F.col("class").alias("predicted_class"))
     pooled = materialised(predicted.join(back, "prediction").drop("prediction"))
     rates = materialised(confusion_rates(pooled, label="class", prediction="predicted_class"))

@@ -46,3 +46,12 @@ def test_third_corpus_validation_fits_every_row(corpus):
     fitted: list[int] = []
     results, _ = studies.third_corpus_validation(corpus, corpus, corpus.limit(50), ["a", "b"], counting(fitted))
     assert set(fitted) == {2 * N, 4 * N} and {r.train for r in results.collect()} == {"first", "second", "both"}
+
+
+def test_fingerprint_report_fits_every_row_of_the_other_folds(corpus):
+    fitted: list[int] = []
+    matrix = corpus.limit(6000).withColumn("generator", F.when(F.col("label") == 1, "gen")).cache()
+    sizes = {r["generator"]: r["count"] for r in matrix.groupBy("generator").count().collect()}
+    report = studies.fingerprint_report(matrix, ["a", "b"], k=2, recipe=counting(fitted))
+    assert sum(fitted) == sum(sizes.values()) == 6000 and min(sizes.values()) > 2000
+    assert report["predictions"].count() == 6000
