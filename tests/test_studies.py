@@ -55,3 +55,24 @@ def test_fingerprint_report_fits_every_row_of_the_other_folds(corpus):
     report = studies.fingerprint_report(matrix, ["a", "b"], k=2, recipe=counting(fitted))
     assert sum(fitted) == sum(sizes.values()) == 6000 and min(sizes.values()) > 2000
     assert report["predictions"].count() == 6000
+
+
+def test_multiclass_fingerprint_fits_every_row_of_the_other_folds(spark, tmp_path, monkeypatch):
+    """The registered query: each of five folds is left out of one fit, so four times all rows are fit."""
+    fitted: list[int] = []
+
+    class Counted(forest.Forest):
+        def __init__(self, trees, depth, seed):
+            super().__init__(2, 3, seed)
+
+        def fit(self, train):
+            fitted.append(train.count())
+            return super().fit(train)
+
+    monkeypatch.setattr(models, "Forest", Counted)
+    i = F.col("id")
+    spark.range(2400).select(i.alias("vec_id"), (i % 2).cast("int").alias("label"), F.transform(
+        F.sequence(F.lit(0), F.lit(63)), lambda c: ((i % 2 + c) % 7).cast("float")).alias("embedding")).write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    classes = {r["class"]: r["support"] for r in QUERIES["multiclass_fingerprint"](spark, str(tmp_path)).collect()}
+    assert sum(fitted) == 4 * 2400 and len(fitted) == 5 and set(classes.values()) == {1200}
